@@ -52,3 +52,58 @@ def bilinear(queries: str, key: str, image: str, pixels: str, values: list[str],
 # the cameras of the rig with images of 20 x 20, to go with the pixel frames
 SMALL = """small AS (SELECT * REPLACE (20 AS width, 20 AS height, CAST(12 AS DOUBLE) AS fx, CAST(12 AS DOUBLE) AS fy,
   CAST(10 AS DOUBLE) AS cx, CAST(10 AS DOUBLE) AS cy, CAST(9 AS DOUBLE) AS radius_at_90) FROM cams)"""
+
+
+def _mirror(e: str, n: int) -> str:
+    return f"(CASE WHEN {e} < 0 THEN -({e}) WHEN {e} > {n - 1} THEN {2 * (n - 1)} - ({e}) ELSE {e} END)"
+
+
+def blur(src: str, cols: list[str], size: int, sigma: float, h: int, w: int, out: str, key: str = "frame_idx") -> str:
+    """CTEs replacing cols of src by their blurred values."""
+    import math
+
+    half = size // 2
+    raw = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-half, half + 1)]
+    taps = ", ".join(f"({d}, CAST({r / sum(raw)!r} AS DOUBLE))" for d, r in zip(range(-half, half + 1), raw))
+    k = key.split(",")
+    on = " AND ".join(f"q.{c.strip()} = p.{c.strip()}" for c in k)
+    ks = ", ".join(f"p.{c.strip()}" for c in k)
+    sums = ", ".join(f"sum(t.wt * q.{c}) AS {c}" for c in cols)
+    cl = ", ".join(cols)
+    return f"""{out}_x AS (SELECT {ks}, p.y, p.x, {sums} FROM {src} p CROSS JOIN (VALUES {taps}) t(d, wt)
+  JOIN {src} q ON {on} AND q.y = p.y AND q.x = {_mirror('p.x + t.d', w)} GROUP BY {ks}, p.y, p.x),
+{out}_y AS (SELECT {ks}, p.y, p.x, {sums} FROM {out}_x p CROSS JOIN (VALUES {taps}) t(d, wt)
+  JOIN {out}_x q ON {on} AND q.x = p.x AND q.y = {_mirror('p.y + t.d', h)} GROUP BY {ks}, p.y, p.x),
+{out} AS (SELECT s.* EXCLUDE ({cl}), {', '.join('b.' + c for c in cols)} FROM {src} s JOIN {out}_y b USING ({key}, y, x))"""
+
+
+def morph(src: str, fn: str, cols: list[str], k: int, out: str, key: str = "frame_idx") -> str:
+    def win(axis: str, other: str) -> str:
+        return ", ".join(
+            f"{fn}({c}) OVER (PARTITION BY {key}, {other} ORDER BY {axis} RANGE BETWEEN {k} PRECEDING AND {k} FOLLOWING) AS {c}"
+            for c in cols
+        )
+
+    return f"""{out}_x AS (SELECT * REPLACE ({win('x', 'y')}) FROM {src}),
+{out} AS (SELECT * REPLACE ({win('y', 'x')}) FROM {out}_x)"""
+
+
+def median(src: str, col: str, h: int, w: int, out: str) -> str:
+    return f"""{out}_m AS (SELECT p.frame_idx, p.y, p.x, median(q.{col}) AS {col} FROM {src} p
+  CROSS JOIN (VALUES (-1), (0), (1)) a(i) CROSS JOIN (VALUES (-1), (0), (1)) c(j)
+  JOIN {src} q ON q.frame_idx = p.frame_idx AND q.y = least(greatest(p.y + a.i, 0), {h - 1})
+  AND q.x = least(greatest(p.x + c.j, 0), {w - 1}) GROUP BY p.frame_idx, p.y, p.x),
+{out} AS (SELECT s.* EXCLUDE ({col}), b.{col} FROM {src} s JOIN {out}_m b USING (frame_idx, y, x))"""
+
+
+def shrink(src: str, cols: list[str], f: int, out: str) -> str:
+    avgs = ", ".join(f"avg({c}) AS {c}" for c in cols)
+    return f"{out} AS (SELECT frame_idx, y // {f} AS y, x // {f} AS x, {avgs} FROM {src} GROUP BY ALL)"
+
+
+def enlarge(src: str, cols: list[str], f: int, h: int, w: int, out: str) -> str:
+    q = f"""{out}_q AS (SELECT fr.frame_idx, oy.i AS oy, ox.i AS ox, (oy.i + 0.5) / {f} - 0.5 AS v, (ox.i + 0.5) / {f} - 0.5 AS u
+  FROM (SELECT DISTINCT frame_idx FROM {src}) fr, range({h * f}) oy(i), range({w * f}) ox(i))"""
+    b = bilinear(f"{out}_q", "frame_idx, oy, ox", "frame_idx", src, cols, str(w), str(h), out=f"{out}_b")
+    b = b.replace("bc_", f"{out}_c").replace("SELECT frame_idx, oy, ox, frame_idx,", "SELECT frame_idx, oy, ox,")
+    return f"{q}, {b}, {out} AS (SELECT * RENAME (oy AS y, ox AS x) FROM {out}_b)"
