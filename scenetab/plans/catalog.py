@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from scenetab.plans import frames_queries, points_queries  # noqa: F401
+from scenetab.plans import frames_queries, points_queries, splats_queries  # noqa: F401
 from scenetab.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

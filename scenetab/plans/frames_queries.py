@@ -44,14 +44,14 @@ def _(t):
 
 for _op, _fn in (("erode", "min"), ("dilate", "max"), ("box", "avg")):
 
-    _SQL = f"WITH {S.morph('pixels', _fn, ['invd', 'b'], 3, 'm')} SELECT {ID}, {rnd('invd; b')} FROM m"
+    _SQL = f"WITH {S.morph('pixels', _fn, ['invd', 'b'], 3, 'm')} SELECT {ID}, {rnd('invd; b', 9)} FROM m"
     if _op == "box":
-        _SQL = f"""SELECT p.frame_idx, p.y, p.x, {rnd('invd=avg(q.invd); b=avg(q.b)')} FROM pixels p JOIN pixels q ON q.frame_idx = p.frame_idx
+        _SQL = f"""SELECT p.frame_idx, p.y, p.x, {rnd('invd=avg(q.invd); b=avg(q.b)', 9)} FROM pixels p JOIN pixels q ON q.frame_idx = p.frame_idx
         AND q.y BETWEEN p.y - 3 AND p.y + 3 AND q.x BETWEEN p.x - 3 AND p.x + 3 GROUP BY p.frame_idx, p.y, p.x"""
 
     @query(f"{_op}_frames", "pixels", _SQL)
     def _(t, op=_op):
-        return rounded(R.morphology(P(t), op, ["invd", "b"], 3, tile=TILE))
+        return rounded(R.morphology(P(t), op, ["invd", "b"], 3, tile=TILE), 9)
 
 
 @query("gaussian_blur", "pixels", f"WITH {S.blur('pixels', ['invd', 'g'], 5, 1.5, 20, 20, 'bl')} SELECT {ID}, {rnd('invd; g')} FROM bl")
@@ -64,9 +64,9 @@ def _(t):
     return rounded(R.median3(P(t), ["invd"], SIZE, tile=TILE))
 
 
-@query("shrink_frames", "pixels", f"WITH {S.shrink('pixels', ['invd', 'b'], 4, 'sh')} SELECT {ID}, {rnd('invd; b')} FROM sh")
+@query("shrink_frames", "pixels", f"WITH {S.shrink('pixels', ['invd', 'b'], 4, 'sh')} SELECT {ID}, {rnd('invd; b', 9)} FROM sh")
 def _(t):
-    return rounded(ST.shrink(P(t), ["frame_idx"], ["invd", "b"], 4))
+    return rounded(ST.shrink(P(t), ["frame_idx"], ["invd", "b"], 4), 9)
 
 
 @query("enlarge_frames", "pixels", f"""WITH {S.enlarge('pixels', ['invd', 'b'], 3, 20, 20, 'en')}
