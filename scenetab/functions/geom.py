@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scenetab.functions.columns import settle
+
 Getter = Callable[[str], Column]
 
 # fixed values of the data model
@@ -238,7 +240,7 @@ def with_ray(df, cam: Getter, u: Column, v: Column, names=("_rx", "_ry", "_rz"),
         for m, build in others.items():
             c = c.when(F.col("_model") == F.lit(m), build(cam, u, v)[i])
         cols[n] = c
-    return staged.withColumns(cols).drop("_dx", "_dy", "_k1", "_model", "_ph", "_th", "_a")
+    return settle(staged.withColumns(cols).drop("_dx", "_dy", "_k1", "_model", "_ph", "_th", "_a"), list(names))
 
 
 def with_pixel(df, cam: Getter, xyz: tuple[str, str, str] = ("xc", "yc", "zc"), names=("u", "v")):
@@ -254,7 +256,8 @@ def with_pixel(df, cam: Getter, xyz: tuple[str, str, str] = ("xc", "yc", "zc"),
     u = F.when(fish, F.col("_s") * (F.lit(1.0) + cam("tilt")) * x + cam("cx"))
     v = F.when(fish, -F.col("_s") * y + cam("cy"))
     pin = cam("cam_model") == F.lit("rectilinear")
-    return staged.withColumns({names[0]: u.when(pin, flat_u), names[1]: v.when(pin, flat_v)}).drop("_rho", "_ph", "_s")
+    out = staged.withColumns({names[0]: u.when(pin, flat_u), names[1]: v.when(pin, flat_v)}).drop("_rho", "_ph", "_s")
+    return settle(out, list(names))
 
 
 def rig_pixels(rig: Column, x: Column, y: Column, z: Column) -> Column:

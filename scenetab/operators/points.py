@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetab.functions import geom
+from scenetab.functions.columns import settle
 from scenetab.functions.hashing import hash01
 from scenetab.functions.ranks import exact_rank, take_smallest
 from scenetab.functions.session import broadcast_if_small, cut_lineage
@@ -82,7 +83,7 @@ def project_points(points: DataFrame, cams: DataFrame, scene: str = "scene_id")
     """Every point in every camera of its scene: camera-space xc, yc, zc and pixel u, v."""
     pairs = per_camera(points, cams, scene)
     xc, yc, zc = in_cam(F.col("cam"))
-    pairs = pairs.withColumns({"xc": xc, "yc": yc, "zc": zc})
+    pairs = settle(pairs.withColumns({"xc": xc, "yc": yc, "zc": zc}), ["xc", "yc", "zc"])
     pairs = geom.with_pixel(pairs, geom.field(F.col("cam")))
     return pairs.select("*", *[F.col(f"cam.{c}").alias(c) for c in CAM_FIELDS]).drop("cam")
 

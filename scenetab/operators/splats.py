@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetab.functions import geom
+from scenetab.functions.columns import settle
 from scenetab.functions.hashing import hash01
 from scenetab.functions.ranks import exact_rank
 from scenetab.functions.scan import running
@@ -340,7 +341,8 @@ def project_splats(splats: DataFrame, cams: DataFrame, near: float = 0.1, scene:
     )
     pairs = per_camera(src, cams.where(F.col("cam_model") == "rectilinear"), scene)
     xc, yc, zc = in_cam(F.col("cam"))
-    pairs = pairs.withColumns({"_xc": xc, "_yc": -yc, "depth": zc}).where(F.col("depth") >= near)
+    pairs = settle(pairs.withColumns({"_xc": xc, "_yc": -yc, "depth": zc}), ["_xc", "_yc", "depth"])
+    pairs = pairs.where(F.col("depth") >= near)
     cam = geom.field(F.col("cam"))
     z = F.col("depth")
     sign = {0: 1.0, 1: -1.0}
@@ -358,12 +360,13 @@ def project_splats(splats: DataFrame, cams: DataFrame, near: float = 0.1, scene:
     half = (F.col("cov00") - F.col("cov11")) / 2.0
     spread = F.sqrt(half * half + F.col("cov01") * F.col("cov01"))
     pairs = pairs.withColumns({"lambda1": mid + spread, "lambda2": F.greatest(mid - spread, F.lit(0.0))})
-    return pairs.select(
+    out = pairs.select(
         *KEY, cam("cam_idx").alias("cam_idx"), cam("width").alias("width"), cam("height").alias("height"),
         (F.col("_xc") / z * cam("fx") + cam("cx")).alias("u"), (F.col("_yc") / z * cam("fy") + cam("cy")).alias("v"),
         "depth", "cov00", "cov01", "cov11", "lambda1", "lambda2", (3.0 * F.sqrt("lambda1")).alias("radius"),
         "opacity", "col0", "col1", "col2",
     )
+    return settle(out, ["u", "v", "depth", "cov00", "cov01", "cov11", "lambda1", "lambda2", "radius"])
 
 
 def touches_image() -> Column:
@@ -402,7 +405,7 @@ def composite_tiles(tiles: DataFrame, tile: int = 16) -> DataFrame:
     dx, dy = F.col("x") + 0.5 - F.col("u"), F.col("y") + 0.5 - F.col("v")
     power = (F.col("cov11") * dx * dx - 2.0 * F.col("cov01") * dx * dy + F.col("cov00") * dy * dy) / F.col("_det")
     alpha = F.least(F.lit(ALPHA_MAX), F.col("opacity") * F.exp(-0.5 * power))
-    px = px.withColumn("_al", alpha).where(F.col("_al") >= ALPHA_MIN)
+    px = settle(px.withColumn("_al", alpha), ["_al"]).where(F.col("_al") >= ALPHA_MIN)
     keys = ["frame_idx", "cam_idx", "y", "x"]
     px = px.select(*keys, "draw_order", "_al", "depth", "col0", "col1", "col2")
     px = running(px, keys, "draw_order", 1.0 - F.col("_al"), "_t", kind="product")

@@ -130,7 +130,8 @@ def _jit(s: int) -> str:
     return ", ".join(f"({rows[0][j]}) * {v[0]} + ({rows[1][j]}) * {v[1]} + ({rows[2][j]}) * {v[2]} AS o{s}{'xyz'[j]}" for j in range(3))
 
 
-_LT = lambda e: f"ln(({e}) / (1 - ({e})))"
+_IN = lambda e: f"least(greatest({e}, 1e-7), 1 - 1e-7)"
+_LT = lambda e: f"ln({_IN(e)} / (1 - {_IN(e)}))"
 
 
 @query("spawn_splats", "splats", f"""WITH n AS (SELECT frame_idx, count(*) FILTER (WHERE alive) AS p, count(*) AS total FROM splats GROUP BY ALL),
