@@ -291,7 +291,7 @@ def reprojection_residuals(tracks: DataFrame, obs: DataFrame, cams: DataFrame) -
     j = settle(j.withColumns({"xc": xc, "yc": yc, "z": zc}), ["xc", "yc", "z"]).withColumn("zc", F.greatest(F.col("z"), F.lit(0.1)))
     j = geom.with_pixel(j, geom.flat())
     return j.select(
-        "track_id", "img_idx", "weight", "z", (F.col("weight") * (F.col("u") - F.col("x"))).alias("dx"),
+        "track_id", "img_idx", "weight", "z", "mono", (F.col("weight") * (F.col("u") - F.col("x"))).alias("dx"),
         (F.col("weight") * (F.col("v") - F.col("y"))).alias("dy"), (F.col("weight") * (F.col("z") - F.col("mono"))).alias("dz"),
     )
 
@@ -370,7 +370,7 @@ def depth_scale(tracks: DataFrame, obs: DataFrame, cams: DataFrame, min_samples:
     """Median ratio of track depth to monocular depth, taken again within a factor 5; None when too few samples."""
     good = tracks.where(~F.col("pruned") & F.col("has_estimated_3d"))
     res = reprojection_residuals(good.withColumn("weight", F.lit(1.0)), obs, cams)
-    mono = F.col("z") - F.col("dz")
+    mono = F.col("mono")
     ratios = res.select(F.when((F.col("z") >= 0.01) & (mono > 0.01), geom.div(F.col("z"), mono)).alias("ratio"))
     ratios = settle(ratios, ["ratio"]).where(F.col("ratio").isNotNull())
     mid = {"m": F.floor(F.col("n") / 2)}

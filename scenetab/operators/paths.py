@@ -101,15 +101,19 @@ def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id")
     lo, hi = F.coalesce(F.col("b"), F.col("k")), F.coalesce(F.col("n"), F.col("k"))
     k = k.withColumns({"lo": lo, "hi": hi})
     tangent = {f"v{a}": geom.div(F.col(f"hi.p{a}") - F.col(f"lo.p{a}"), f("hi") - f("lo")) for a in "xyz"}
-    chord = _log_rotation(_mul(_mat(col("k"), ""), _mat(col("hi"), ""), ta=True))
-    before = _log_rotation(_mul(_mat(col("lo"), ""), _mat(col("k"), ""), ta=True))
+    to_next = _mul(_mat(col("k"), ""), _mat(col("hi"), ""), ta=True)
+    from_last = _mul(_mat(col("lo"), ""), _mat(col("k"), ""), ta=True)
+    k = k.withColumns({f"_m{i}": c for i, c in enumerate(to_next)} | {f"_l{i}": c for i, c in enumerate(from_last)})
+    k = settle(k, [f"_{a}{i}" for a in "ml" for i in range(9)])
+    chord = _log_rotation([F.col(f"_m{i}") for i in range(9)])
+    before = _log_rotation([F.col(f"_l{i}") for i in range(9)])
     k = k.withColumns({**tangent, **{f"a{i}": c for i, c in enumerate(chord)}, **{f"c{i}": c for i, c in enumerate(before)}})
     d_lo, d_hi = f("k") - f("lo"), f("hi") - f("k")
     turn = {}
     for i in range(3):
         both = geom.div(F.col(f"c{i}") * d_hi + F.col(f"a{i}") * d_lo, d_lo + d_hi)
         turn[f"w{i}"] = F.when(F.col("b").isNull(), F.col(f"a{i}")).when(F.col("n").isNull(), F.col(f"c{i}")).otherwise(both)
-    k = k.withColumns(turn)
+    k = settle(k.withColumns(turn), [*turn, "a0", "a1", "a2"])
     cols = ["focal", *geom.ROT, "px", "py", "pz", "vx", "vy", "vz", "a0", "a1", "a2", "w0", "w1", "w2"]
     seg = _segments(frames, k.select(path, "frame_idx", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]), path, cols)
     seg = seg.withColumns({"p": F.coalesce("p", "n"), "n": F.when(F.col("p").isNull(), F.lit(None)).otherwise(F.col("n"))})

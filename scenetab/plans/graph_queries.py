@@ -164,9 +164,9 @@ o2 AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS rn, count(*) OVER () AS n
 k AS (SELECT 1 / q AS k FROM o2 WHERE rn = n // 2), cp AS (SELECT avg(-(r00*t0 + r10*t1 + r20*t2)) AS mx, avg(-(r01*t0 + r11*t1 + r21*t2)) AS my, avg(-(r02*t0 + r12*t1 + r22*t2)) AS mz FROM cams)"""
 
 
-@query("normalize_scale", "obs tracks cams", f"""WITH {_NS} SELECT track_id, {rnd('x=CASE WHEN has_estimated_3d THEN CASE WHEN pruned THEN x ELSE x * k END - mx * k ELSE x END; z=CASE WHEN has_estimated_3d THEN CASE WHEN pruned THEN z ELSE z * k END - mz * k ELSE z END')} FROM tracks, k, cp""")
+@query("normalize_scale", "obs tracks cams", f"""WITH {_NS} SELECT track_id, {rnd('x=CASE WHEN has_estimated_3d THEN CASE WHEN pruned THEN x ELSE x * k END - mx * k ELSE x END; z=CASE WHEN has_estimated_3d THEN CASE WHEN pruned THEN z ELSE z * k END - mz * k ELSE z END', 9)} FROM tracks, k, cp""")
 def _(t):
-    return rounded(G.normalize_scale(t.tracks, t.obs, t.cams)[1].select("track_id", "x", "z"))
+    return rounded(G.normalize_scale(t.tracks, t.obs, t.cams)[1].select("track_id", "x", "z"), 9)
 
 
 @query("track_points", "tracks obs pixels", f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY img_idx) AS rn FROM obs) q WHERE rn = 1),

@@ -123,10 +123,10 @@ _LIN = "; ".join(f"{c}=CASE WHEN n.frame_idx IS NULL THEN p.{c} ELSE p.{c} + (n.
 
 @query("interpolate_keyframes", "keys", f"""WITH {_FR}, f AS (SELECT fr.* FROM fr JOIN (SELECT path_id, min(frame_idx) AS m FROM keys GROUP BY ALL) k USING (path_id) WHERE frame_idx >= m),
 kn AS (SELECT *, lead(frame_idx) OVER (PARTITION BY path_id ORDER BY frame_idx) AS nf FROM keys)
-SELECT f.path_id, f.frame_idx, {rnd(_LIN)} FROM f JOIN kn p ON p.path_id = f.path_id AND f.frame_idx >= p.frame_idx AND (p.nf IS NULL OR f.frame_idx < p.nf)
+SELECT f.path_id, f.frame_idx, {rnd(_LIN, 11)} FROM f JOIN kn p ON p.path_id = f.path_id AND f.frame_idx >= p.frame_idx AND (p.nf IS NULL OR f.frame_idx < p.nf)
 LEFT JOIN keys n ON n.path_id = p.path_id AND n.frame_idx = p.nf""")
 def _(t):
-    return rounded(C.interpolate_keyframes(_frames(t, True), t.keys))
+    return rounded(C.interpolate_keyframes(_frames(t, True), t.keys), 11)
 
 
 @query("interpolate_path")
