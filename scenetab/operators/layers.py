@@ -331,7 +331,8 @@ def flow_splat(flow: DataFrame, frame: Size, t: float, radius: int = 3, sigma: f
     g = F.exp(-0.5 * (dx * dx + dy * dy) / (sigma * sigma))
     rows = src.select("frame_idx", "y", "x", "src", (-F.col("_fx")).alias("vx"), (-F.col("_fy")).alias("vy"), g.alias("g"))
     rows = rows.repartition("frame_idx", "y", "x").sortWithinPartitions("frame_idx", "y", "x", "src").drop("src")
-    return rows.mapInPandas(_fold, "frame_idx bigint, y bigint, x bigint, wx double, wy double, weight double")
+    hit = rows.mapInPandas(_fold, "frame_idx bigint, y bigint, x bigint, wx double, wy double, weight double")
+    return flow.select(*PIXEL).join(hit, PIXEL, "left").fillna(0.0, ["wx", "wy", "weight"])
 
 
 def blend_views(image0: DataFrame, image1: DataFrame, splat0: DataFrame, splat1: DataFrame, frame: Size, t: float, radius: int = 3, tile: int = S.TILE) -> DataFrame:

@@ -38,7 +38,7 @@ def _scaled(cam: geom.Getter, scale: float) -> geom.Getter:
 def _fisheye_ray(df: DataFrame, cam: geom.Getter) -> DataFrame:
     """Add the fisheye ray of (x, y), whichever model the camera row names."""
     as_fisheye = lambda n: F.lit("equiangular") if n == "cam_model" else cam(n)
-    return geom.with_ray(df, as_fisheye, F.col("x").cast("double"), F.col("y").cast("double"), ("_a", "_b", "_z"), ())
+    return geom.with_ray(df, as_fisheye, F.col("x").cast("double"), F.col("y").cast("double"), ("_fa", "_fb", "_fz"), ())
 
 
 def _fisheye_pixel(df: DataFrame, cam: geom.Getter, xyz: tuple[str, str, str]) -> DataFrame:
@@ -69,7 +69,7 @@ def _fisheye_to_rectified(g: DataFrame, w: int, h: int, **_) -> DataFrame:
 def _rectified_to_fisheye(g: DataFrame, w: int, h: int, rect_width: int, rect_height: int, scale: float = 1.0, **_) -> DataFrame:
     cam = _scaled(geom.flat(), scale)
     g = _fisheye_ray(g, cam)
-    px, py, pz = geom.to_world(geom.flat(), F.col("_a"), F.col("_b"), F.col("_z"))
+    px, py, pz = geom.to_world(geom.flat(), F.col("_fa"), F.col("_fb"), F.col("_fz"))
     g = g.withColumns({"_px": px, "_py": py, "_pz": pz})
     psi = F.atan2(F.col("_px"), geom.norm(F.col("_pz"), F.col("_py")))
     beta = F.atan2(F.col("_pz"), F.col("_py"))
@@ -81,7 +81,7 @@ def _rectified_to_fisheye(g: DataFrame, w: int, h: int, rect_width: int, rect_he
 
 def _fisheye_to_fisheye(g: DataFrame, w: int, h: int, dest: dict, scale: float = 1.0, **_) -> DataFrame:
     cam = _scaled(_fixed(dest), scale)
-    g = _through_pose(_fisheye_ray(g, cam), (F.col("_a"), F.col("_b"), F.col("_z")))
+    g = _through_pose(_fisheye_ray(g, cam), (F.col("_fa"), F.col("_fb"), F.col("_fz")))
     far = geom.norm(_x() - cam("cx"), _y() - cam("cy")) > cam("radius_at_90") * FUDGE
     return g.withColumns({c: F.when(far, F.lit(o)).otherwise(F.col(c)) for c, o in zip("uv", OUTSIDE)})
 
@@ -105,7 +105,7 @@ def _vr180_to_ftheta(g: DataFrame, w: int, h: int, eqr_size: int, scale: float =
     dx, dy = F.col("x") - w // 2, F.col("y") - w // 2
     rmax = scale * w / 2.0
     far = dx * dx + dy * dy > rmax * rmax
-    a, b, c = F.col("_z"), F.col("_a"), -F.col("_b")
+    a, b, c = F.col("_fz"), F.col("_fa"), -F.col("_fb")
     u = 0.5 + F.atan2(b, a) / F.lit(math.pi)
     v = 0.5 + F.atan2(c, geom.norm(a, b)) / F.lit(math.pi)
     return g.withColumns({n: F.when(far, F.lit(o)).otherwise(e * float(eqr_size)) for n, e, o in zip("uv", (u, v), OUTSIDE_VR)})
@@ -115,13 +115,13 @@ def _fisheye_to_pinhole(g: DataFrame, w: int, h: int, focal_multiplier: float =
     f = focal_multiplier * w
     g = g.withColumns({"_p": (_x() - w // 2) / f, "_q": -(_y() - h // 2) / f})
     n = geom.norm(F.col("_p"), F.col("_q"), F.lit(1.0))
-    g = g.withColumns({"_a": F.col("_p") / n, "_b": F.col("_q") / n, "_z": 1.0 / n})
-    return _fisheye_pixel(g, geom.flat(), ("_a", "_b", "_z"))
+    g = g.withColumns({"_fa": F.col("_p") / n, "_fb": F.col("_q") / n, "_fz": 1.0 / n})
+    return _fisheye_pixel(g, geom.flat(), ("_fa", "_fb", "_fz"))
 
 
 def _primary_to_ldi(g: DataFrame, w: int, h: int, dest: dict, **_) -> DataFrame:
-    g = g.withColumns(dict(zip(("_a", "_b", "_z"), geom.ray_inflated(_fixed(dest), _x(), _y()))))
-    return _fisheye_pixel(g, geom.flat(), ("_a", "_b", "_z"))
+    g = g.withColumns(dict(zip(("_fa", "_fb", "_fz"), geom.ray_inflated(_fixed(dest), _x(), _y()))))
+    return _fisheye_pixel(g, geom.flat(), ("_fa", "_fb", "_fz"))
 
 
 def _pinhole_radial(g: DataFrame, w: int, h: int, focal_multiplier: float = 1.0, **_) -> DataFrame:

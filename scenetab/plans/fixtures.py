@@ -117,6 +117,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(needs: str, sql: str) -> str:
     ctes = [f"{n} AS ({text(n, spark=False)})" for n in needs.split()]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body[:5].upper() == "WITH ":
         ctes.append(body[5:])
         return "WITH " + ",\n".join(ctes)

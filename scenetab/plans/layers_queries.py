@@ -212,8 +212,8 @@ m2 AS (SELECT {ID}, invd, greatest(0, least(mid, invd - 1/1024.0)) AS mid, bot F
 
 
 @query("assemble_layers", "pixels", f"""WITH {_ASM}, j AS (SELECT p.frame_idx, p.y, p.x, p.b, p.g, p.r, p.a, en.invd, en.mid, en.bot FROM pixels p JOIN en ON en.frame_idx = p.frame_idx AND en.y = p.y AND en.x = p.x)
-SELECT {ID}, CAST(2 AS INTEGER) AS layer, {rnd('b=b*0.9; a=r*0.9; invd=invd*0.8')} FROM j UNION ALL
-SELECT {ID}, 1, {rnd('b=(g*a + b*(1-a))*0.9; a=g*0.9; invd=mid*0.8')} FROM j UNION ALL SELECT {ID}, 0, {rnd('b=(r*b + b*(1-b))*0.9; a=1; invd=bot*0.8')} FROM j""")
+SELECT {ID}, CAST(2 AS INTEGER) AS layer, {rnd('b=b*0.9; a=r*0.9; invd=invd*0.8', 9)} FROM j UNION ALL
+SELECT {ID}, 1, {rnd('b=(g*a + b*(1-a))*0.9; a=g*0.9; invd=mid*0.8', 9)} FROM j UNION ALL SELECT {ID}, 0, {rnd('b=(r*b + b*(1-b))*0.9; a=1; invd=bot*0.8', 9)} FROM j""")
 def _(t):
     c = F.col
     color = t.pixels.select(
@@ -221,18 +221,18 @@ def _(t):
         c("b").alias("l0_blend"), c("g").alias("l1_alpha"), c("r").alias("l2_alpha"), F.lit(0.9).alias("cv"), F.lit(0.8).alias("dv"),
     )
     depth = L.S.shrink(t.pixels, ["frame_idx"], ["invd", "g", "r"], 2).withColumnsRenamed({"g": "mid", "r": "bot"})
-    return rounded(L.assemble_layers(color, depth, (20, 20), tile=8).select("frame_idx", "y", "x", "layer", "b", "a", "invd"))
+    return rounded(L.assemble_layers(color, depth, (20, 20), tile=8).select("frame_idx", "y", "x", "layer", "b", "a", "invd"), 9)
 
 
 @query("relax_grid")
 def _(t):
     src = t.pixels.withColumn("m", F.col("a") > 0.7)
-    return rounded(L.relax_grid(src, "invd", mask="m", tol=1e-3, tile=16), 4)
+    return rounded(L.relax_grid(src, "invd", mask="m", sweeps=4, tol=1e-3, tile=32), 4)
 
 
 @query("relax_grid_weighted")
 def _(t):
-    return rounded(L.relax_grid(t.pixels, "invd", weight="a", tol=1e-3, tile=16), 4)
+    return rounded(L.relax_grid(t.pixels, "invd", weight="a", smooth=0.3, sweeps=4, tol=1e-3, tile=32), 4)
 
 
 def _flow(t, sign=1.0):
@@ -255,6 +255,8 @@ def _brighten(pdf):
     return pdf.assign(b=pdf["b"] * 0.5 + 0.25)
 
 
-@query("tiled_map", "pixels", f"SELECT {ID}, {rnd('b=b * 0.5 + 0.25', 4)} FROM pixels")
+@query("tiled_map", "pixels", f"SELECT {ID}, {rnd('want=b * 0.5 + 0.25; error=0')} FROM pixels")
 def _(t):
-    return rounded(L.tiled_map(t.pixels, (20, 20), 8, 3, _brighten, ["b"]), 4)
+    got = L.tiled_map(t.pixels, (20, 20), 8, 3, _brighten, ["b"]).withColumnRenamed("b", "got")
+    j = t.pixels.select("frame_idx", "y", "x", (F.col("b") * 0.5 + 0.25).alias("want")).join(got, ["frame_idx", "y", "x"])
+    return rounded(j.select("frame_idx", "y", "x", "want", F.round(F.col("got") - F.col("want"), 5).alias("error")))
