@@ -58,6 +58,8 @@ def local_session(cpus: str | None = None, name: str = "scenetab") -> SparkSessi
         b = b.config(k, v)
     return (
         b.config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
+        # tiny local shuffles still deserve all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -317,6 +317,7 @@ OUTLIER_PX, STEEPNESS = 5.0, 2.0
 
 def reweight_tracks(scores: DataFrame, inlier_frac: float) -> DataFrame:
     """Soft outlier weights around max(5 px, percentile); tracks behind a camera are pruned."""
+    scores = cut_lineage(scores)
     row = pick_at(scores, [], "err", {"p": fraction_index(inlier_frac)}).first()
     thr = F.lit(max(OUTLIER_PX, row["p"] if row and row["p"] is not None else 0.0))
     w = (F.tanh(STEEPNESS * (thr - F.col("err"))) + 1.0) / 2.0
@@ -372,7 +373,7 @@ def depth_scale(tracks: DataFrame, obs: DataFrame, cams: DataFrame, min_samples:
     res = reprojection_residuals(good.withColumn("weight", F.lit(1.0)), obs, cams)
     mono = F.col("mono")
     ratios = res.select(F.when((F.col("z") >= 0.01) & (mono > 0.01), geom.div(F.col("z"), mono)).alias("ratio"))
-    ratios = settle(ratios, ["ratio"]).where(F.col("ratio").isNotNull())
+    ratios = cut_lineage(settle(ratios, ["ratio"]).where(F.col("ratio").isNotNull()))
     mid = {"m": F.floor(F.col("n") / 2)}
     first = pick_at(ratios, [], "ratio", mid).first()
     if first is None or first["n"] is None or first["n"] < min_samples:

@@ -60,7 +60,7 @@ def _mul(a: list[Column], b: list[Column], ta: bool = False) -> list[Column]:
     return [sum((at(i, k) * b[3 * k + j] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)]
 
 
-def _log_rotation(m: list[Column]) -> list[Column]:
+def _log_rotation(m: list[Column]) -> Column:
     """Rotation vector of a rotation matrix by way of its quaternion, chosen by the largest component."""
     tr = m[0] + m[4] + m[8]
     s = lambda e: F.sqrt(F.greatest(e, F.lit(1e-30))) * 2.0
@@ -80,8 +80,7 @@ def _log_rotation(m: list[Column]) -> list[Column]:
         k = F.when(n < 1e-12, F.lit(2.0)).otherwise(geom.div(2.0 * F.atan2(n, F.abs(w)), n)) * F.when(w < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
         return F.array(x * k, y * k, z * k)
 
-    out = geom.let(quat, vector)
-    return [F.get(out, i) for i in range(3)]
+    return geom.let(quat, vector)
 
 
 def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id") -> DataFrame:
@@ -99,7 +98,7 @@ def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id")
     f = lambda s: F.col(f"{s}.frame_idx").cast("double")
     col = lambda s: lambda c: F.col(f"{s}.{c}")
     lo, hi = F.coalesce(F.col("b"), F.col("k")), F.coalesce(F.col("n"), F.col("k"))
-    k = k.withColumns({"lo": lo, "hi": hi})
+    k = settle(k.withColumns({"lo": lo, "hi": hi}), ["lo", "hi"])
     tangent = {f"v{a}": geom.div(F.col(f"hi.p{a}") - F.col(f"lo.p{a}"), f("hi") - f("lo")) for a in "xyz"}
     to_next = _mul(_mat(col("k"), ""), _mat(col("hi"), ""), ta=True)
     from_last = _mul(_mat(col("lo"), ""), _mat(col("k"), ""), ta=True)
@@ -107,7 +106,8 @@ def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id")
     k = settle(k, [f"_{a}{i}" for a in "ml" for i in range(9)])
     chord = _log_rotation([F.col(f"_m{i}") for i in range(9)])
     before = _log_rotation([F.col(f"_l{i}") for i in range(9)])
-    k = k.withColumns({**tangent, **{f"a{i}": c for i, c in enumerate(chord)}, **{f"c{i}": c for i, c in enumerate(before)}})
+    k = settle(k.withColumns({**tangent, "_a": chord, "_c": before}), [*tangent, "_a", "_c"])
+    k = k.withColumns({f"{n}{i}": F.get(f"_{n}", i) for n in "ac" for i in range(3)})
     d_lo, d_hi = f("k") - f("lo"), f("hi") - f("k")
     turn = {}
     for i in range(3):
@@ -117,9 +117,11 @@ def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id")
     cols = ["focal", *geom.ROT, "px", "py", "pz", "vx", "vy", "vz", "a0", "a1", "a2", "w0", "w1", "w2"]
     seg = _segments(frames, k.select(path, "frame_idx", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]), path, cols)
     seg = seg.withColumns({"p": F.coalesce("p", "n"), "n": F.when(F.col("p").isNull(), F.lit(None)).otherwise(F.col("n"))})
+    seg = settle(seg, ["p", "n"])
     gap = f("n") - f("p")
     u = F.coalesce(geom.div(F.col("frame_idx") - f("p"), gap), F.lit(0.0))
-    seg = settle(seg.withColumns({"u": u, "gap": F.coalesce(gap, F.lit(0.0))}), ["u", "gap"]).withColumn("n", F.coalesce("n", "p"))
+    seg = settle(seg.withColumns({"u": u, "gap": F.coalesce(gap, F.lit(0.0))}), ["u", "gap"])
+    seg = settle(seg.withColumn("n", F.coalesce("n", "p")), ["n"])
     uu = F.col("u")
     h10, h01, h11 = uu * uu * uu - 2 * uu * uu + uu, -2 * uu * uu * uu + 3 * uu * uu, uu * uu * uu - uu * uu
     h00 = 1.0 - h01
@@ -132,7 +134,7 @@ def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id")
     seg = seg.withColumns({**hermite, **alpha, "focal": focal})
     seg = settle(seg, ["g0", "g1", "g2", *hermite])
     delta = geom.rotvec_matrix(F.col("g0"), F.col("g1"), F.col("g2"), eps=1e-8)
-    seg = seg.withColumns({f"d{i}": c for i, c in enumerate(delta)})
+    seg = settle(seg.withColumns({f"d{i}": c for i, c in enumerate(delta)}), [f"d{i}" for i in range(9)])
     rot = _mul(_mat(col("p"), ""), [F.col(f"d{i}") for i in range(9)])
     seg = seg.withColumns(dict(zip(geom.ROT, rot)))
     t = {f"t{i}": -sum((F.col(f"r{i}{j}") * F.col(f"p{a}") for j, a in enumerate("xyz")), F.lit(0.0)) for i in range(3)}

@@ -222,7 +222,7 @@ def lift_tracks(obs: DataFrame, cams: DataFrame, radius: float = geom.Z_FAR) ->
 
 # neighbour spacing: fixed values of the rule
 SPACING_LO, SPACING_HI = 0.003, 0.1
-SPACING_RADII = (0.005, 0.02, 0.08, 0.3)
+SPACING_RADII = (0.005, 0.04, 0.3)
 DENSE_CELL = 0.0025
 
 
@@ -243,8 +243,7 @@ def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> D
     located = pos.withColumns({n: _cell(c, DENSE_CELL) for c, n in zip(xyz, cells)})
     done = located.join(crowded, [*scope, *cells], "left_semi").select(*scope, key, F.lit(SPACING_LO).alias("spacing"))
     todo = cut_lineage(located.join(crowded, [*scope, *cells], "left_anti").drop(*cells))
-    for i, radius in enumerate(SPACING_RADII):
-        last = i == len(SPACING_RADII) - 1
+    for radius in SPACING_RADII:
         probe = todo
         for name, arr in _around(radius, xyz, cells).items():
             probe = probe.withColumn(name, F.explode(arr))
@@ -263,13 +262,12 @@ def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> D
         found = sums.select(
             *scope, F.col("_q").alias(key), geom.clamp(F.col("_s") / 3.0, SPACING_LO, SPACING_HI).alias("spacing")
         )
-        if last:
-            rest = todo.select(*scope, key).join(found, [*scope, key], "left")
-            done = done.unionByName(rest.withColumn("spacing", F.coalesce("spacing", F.lit(SPACING_HI))))
-            break
-        found = cut_lineage(found)
-        done = done.unionByName(found)
-        todo = cut_lineage(todo.join(found.select(*scope, key), [*scope, key], "left_anti"))
+        tried = todo.join(found, [*scope, key], "left")
+        if radius == SPACING_RADII[-1]:
+            return done.unionByName(tried.select(*scope, key, F.coalesce("spacing", F.lit(SPACING_HI)).alias("spacing")))
+        tried = cut_lineage(tried)
+        done = done.unionByName(tried.where("spacing IS NOT NULL").select(*scope, key, "spacing"))
+        todo = tried.where("spacing IS NULL").drop("spacing")
         if todo.isEmpty():
             break
     return done

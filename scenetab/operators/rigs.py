@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetab.functions import geom
+from scenetab.functions.columns import settle
 from scenetab.functions.session import BROADCAST_ROWS
 
 CAMS_PER_ROW = 64
@@ -42,7 +43,7 @@ def over_rig(
     Rows whose scene has no camera keep a null value.
     """
     rig, single = rig_table(cams, scene)
-    part = df.join(rig, scene, "left").withColumn("value", value).drop("rig")
+    part = settle(df.join(rig, scene, "left").withColumn("value", value).drop("rig"), ["value"])
     if single:
         return part
     rest = [c for c in df.columns if c not in key]

@@ -39,7 +39,7 @@ WHERE f.rn = 1 AND g.rn = 1 AND f.d < 0.95 * f.nx AND g.d < 0.95 * g.nx""")
 def _(t):
     images = t.descriptors.select("image_idx").distinct()
     pairs = G.candidate_pairs(images, 3, 1_000_000).where(F.col("image_idx2") - F.col("image_idx1") <= 3)
-    return rounded(G.match_descriptors(t.descriptors, pairs, 0.95, block=24))
+    return rounded(G.match_descriptors(t.descriptors, pairs, 0.95))
 
 
 @query("flow_consistent", "matches keypoints pixels", """WITH m AS (SELECT m.*, a.x / 32 AS x1, a.y / 24 AS y1, b.x / 32 AS x2, b.y / 24 AS y2 FROM matches m
