@@ -58,3 +58,27 @@ def carry(
     )
     local = F.last("_v", ignorenulls=True).over(inside)
     return src.join(ends, part).withColumn(out, F.coalesce(local, F.col("_in"))).drop("_c", "_v", "_in")
+
+
+def carry_both(
+    df: DataFrame, keys: list[str], order: str, value: Column, prev: str, nxt: str, inclusive: bool = True, chunk: int = CHUNK
+) -> DataFrame:
+    """``carry`` in both directions with one join: the last value at (``inclusive``) or before, and the first after."""
+    src = with_chunk(df, order, chunk).withColumn("_v", value)
+    part = [*keys, "_c"]
+    at = F.when(F.col("_v").isNotNull(), F.col(order))
+    chunks = Window.partitionBy(*keys).orderBy("_c")
+    ends = (
+        src.groupBy(*part)
+        .agg(F.max_by("_v", at).alias("_l"), F.min_by("_v", at).alias("_f"))
+        .select(
+            *part,
+            F.last("_l", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+            F.first("_f", ignorenulls=True).over(chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        )
+    )
+    rows = Window.partitionBy(*part).orderBy(order)
+    up = F.last("_v", ignorenulls=True).over(rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    down = F.first("_v", ignorenulls=True).over(rows.rowsBetween(1, Window.unboundedFollowing))
+    out = src.join(ends, part).withColumns({prev: F.coalesce(up, F.col("_before")), nxt: F.coalesce(down, F.col("_after"))})
+    return out.drop("_c", "_v", "_before", "_after")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from scenetab.functions import geom
 from scenetab.functions.columns import settle
-from scenetab.functions.scan import carry
+from scenetab.functions.scan import carry_both
+from scenetab.functions.session import cut_lineage
 
 SIX = ["tx", "ty", "tz", "rx", "ry", "rz"]
 
@@ -23,8 +24,7 @@ def _segments(frames: DataFrame, keys: DataFrame, path: str, cols: list[str]) ->
     stacked = frames.select(path, "frame_idx", F.lit(True).alias("want")).join(
         keys.select(path, "frame_idx", payload.alias("k")), [path, "frame_idx"], "full"
     )
-    out = carry(stacked, [path], "frame_idx", F.col("k"), "p")
-    out = carry(out, [path], "frame_idx", F.col("k"), "n", forward=False, inclusive=False)
+    out = carry_both(stacked, [path], "frame_idx", F.col("k"), "p", "n")
     return out.where("want").select(path, "frame_idx", "p", "n")
 
 
@@ -93,8 +93,7 @@ def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id")
     k = settle(keys.select(path, "frame_idx", "focal", *geom.ROT, *[c.alias(f"p{a}") for c, a in zip(pos, "xyz")]), ["px", "py", "pz"])
     body = F.struct("frame_idx", "focal", *geom.ROT, "px", "py", "pz")
     k = k.withColumn("k", body)
-    k = carry(k, [path], "frame_idx", F.col("k"), "b", inclusive=False)
-    k = carry(k, [path], "frame_idx", F.col("k"), "n", forward=False, inclusive=False)
+    k = carry_both(k, [path], "frame_idx", F.col("k"), "b", "n", inclusive=False)
     f = lambda s: F.col(f"{s}.frame_idx").cast("double")
     col = lambda s: lambda c: F.col(f"{s}.{c}")
     lo, hi = F.coalesce(F.col("b"), F.col("k")), F.coalesce(F.col("n"), F.col("k"))
@@ -114,6 +113,7 @@ def interpolate_path(frames: DataFrame, keys: DataFrame, path: str = "path_id")
         both = geom.div(F.col(f"c{i}") * d_hi + F.col(f"a{i}") * d_lo, d_lo + d_hi)
         turn[f"w{i}"] = F.when(F.col("b").isNull(), F.col(f"a{i}")).when(F.col("n").isNull(), F.col(f"c{i}")).otherwise(both)
     k = settle(k.withColumns(turn), [*turn, "a0", "a1", "a2"])
+    k = cut_lineage(k)  # key frames are few and read twice below
     cols = ["focal", *geom.ROT, "px", "py", "pz", "vx", "vy", "vz", "a0", "a1", "a2", "w0", "w1", "w2"]
     seg = _segments(frames, k.select(path, "frame_idx", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols]), path, cols)
     seg = seg.withColumns({"p": F.coalesce("p", "n"), "n": F.when(F.col("p").isNull(), F.lit(None)).otherwise(F.col("n"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scenetab.functions import geom
 from scenetab.functions.hashing import hash01
-from scenetab.functions.ranks import take_smallest
+from scenetab.functions.ranks import exact_rank, take_smallest
 from scenetab.functions.scan import CHUNK, running, with_chunk
 from scenetab.operators.points import sample_bilinear, unproject
 from scenetab.operators.stencil import dilate, tiled, untiled
@@ -111,7 +111,9 @@ def importance_depths(samples: DataFrame, key: str, n: int, seed: int, keep: boo
     den = F.when(hi - lo < 1e-5, F.lit(1.0)).otherwise(hi - lo)
     new = hit.select(key, (F.col("start") + (u - lo) / den * (F.col("end") - F.col("start"))).alias("depth"), F.col("k").cast("bigint").alias("k"))
     if keep:
+        # the ray's own samples come along, however many they are
         new = new.unionByName(samples.select(key, "depth", (F.col("sample_idx") + n).cast("bigint").alias("k")))
+        return exact_rank(new, [key], "depth", "k", out="sample_idx").select(key, "sample_idx", "depth")
     order = Window.partitionBy(key).orderBy("depth", "k")
     return new.select(key, (F.row_number().over(order) - 1).alias("sample_idx"), "depth")
 
@@ -160,8 +162,10 @@ def sample_rays(cams: DataFrame, pixels: DataFrame, n: int, seed: int, limit_rad
             r = geom.norm(F.col("u") - F.col("cx"), F.col("v") - F.col("cy"))
             d = d.where((F.col("cam_model") != "equiangular") | (r <= F.col("useable_radius")))
         ok = d.join(pixels.where("ignore").select("cam_idx", "y", "x"), ["cam_idx", "y", "x"], "left_anti")
-        if m > 1000 * n or ok.limit(n).count() >= n:
+        if ok.limit(n).count() >= n:
             break
+        if m > 1000 * n:
+            raise ValueError("hardly any pixel is left to draw from")
         m *= 2
     first = take_smallest(ok.drop("y", "x"), "id", "id", n)
     colors = sample_bilinear(first.select("id", "cam_idx", "u", "v", "width", "height"), pixels, ["id"], "cam_idx", ["b", "g", "r"], F.col("width"), F.col("height"))
@@ -202,8 +206,10 @@ def sample_depth_points_exact(cams: DataFrame, pixels: DataFrame, size: tuple[in
         got = sample_bilinear(pts, pixels, ["cam_idx", "k", "u", "v"], "cam_idx", ["depth", "b", "g", "r"], F.lit(w), F.lit(h))
         got = got.where(F.col("depth") >= geom.Z_NEAR)
         short = cams.select("cam_idx").join(got.groupBy("cam_idx").agg(F.count(F.lit(1)).alias("c")), "cam_idx", "left")
-        if per > 1000 * n or short.where(F.coalesce("c", F.lit(0)) < n).isEmpty():
+        if short.where(F.coalesce("c", F.lit(0)) < n).isEmpty():
             break
+        if per > 1000 * n:
+            raise ValueError("a camera has hardly any pixel left to draw from")
         per *= 2
     rank = F.row_number().over(Window.partitionBy("cam_idx").orderBy("k"))
     kept = got.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")

@@ -33,16 +33,21 @@ def _lines_as_docs(lines: DataFrame, key: str) -> DataFrame:
     return parts.select(key, F.concat_ws("\n", F.transform("p", lambda s: s.getField("value"))).alias("value"))
 
 
-@query("parse_camera_manifest", "views", f"""SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY cam_idx) - 1 AS cam_idx, name, cam_model, {rnd('fx=CASE WHEN cam_model = ' + "'rectilinear'" + ' THEN fx END; cx; ' + _POSE)} FROM views""")
+def _captures(t) -> DataFrame:
+    """Cameras in captures of a hundred, so that a document stays small at any scale."""
+    return t.views.withColumn("scene_id", F.floor(F.col("cam_idx") / 100))
+
+
+@query("parse_camera_manifest", "views", f"""SELECT cam_idx // 100 AS scene_id, cam_idx % 100 AS cam_idx, name, cam_model, {rnd('fx=CASE WHEN cam_model = ' + "'rectilinear'" + ' THEN fx END; cx; ' + _POSE)} FROM views""")
 def _(t):
-    docs = _lines_as_docs(M.manifest_lines(t.views), "scene_id")
+    docs = _lines_as_docs(M.manifest_lines(_captures(t)), "scene_id")
     return rounded(M.parse_camera_manifest(docs, keep=["scene_id"]).select("scene_id", "cam_idx", "name", "cam_model", "fx", "cx", *geom.POSE))
 
 
-@query("read_camera_manifest", "views", "SELECT scene_id, count(*) AS n_cameras FROM views GROUP BY scene_id")
+@query("read_camera_manifest", "views", "SELECT cam_idx // 100 AS scene_id, count(*) AS n_cameras FROM views GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "manifest")
-    docs = _lines_as_docs(M.manifest_lines(t.views), "scene_id")
+    docs = _lines_as_docs(M.manifest_lines(_captures(t)), "scene_id")
     docs.repartition("scene_id").write.partitionBy("scene_id").text(path)
     cams = M.read_camera_manifest(t.spark, f"{path}/*/*.txt")
     scene = F.regexp_extract("path", r"scene_id=(\d+)", 1).cast("bigint").alias("scene_id")
@@ -175,20 +180,27 @@ def _(t):
     return _graph_lines(t).groupBy(F.col("ord.s").cast("bigint").alias("section")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_DOC_SQL = """SELECT o_custkey % 50 AS g, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS k, o_totalprice FROM orders"""
-
-
-@query("parse_match_graph", "", f"""WITH o AS ({_DOC_SQL}) SELECT g, k AS keypoint_idx1, k + 1 AS keypoint_idx2, {rnd('distance=o_totalprice')} FROM o""")
+@query("parse_match_graph", "", f"SELECT o_orderkey // 500 AS g, o_orderkey % 500 AS keypoint_idx1, o_orderkey % 500 + 1 AS keypoint_idx2, {rnd('distance=o_totalprice')} FROM orders")
 def _(t):
-    """One document per group of orders: its matches are the orders in turn."""
-    from scenetab.functions.ranks import exact_rank
-
-    o = exact_rank(t.orders.select((F.col("o_custkey") % 50).alias("g"), "o_orderkey", "o_totalprice"), ["g"], "o_orderkey", "o_orderkey", out="k")
+    """One document per five hundred orders: its matches are the orders in turn."""
+    o = t.orders.select(F.floor(F.col("o_orderkey") / 500).alias("g"), (F.col("o_orderkey") % 500).alias("k"), "o_totalprice")
     one = F.struct(F.lit(0).alias("image_idx1"), F.col("k").alias("keypoint_idx1"), F.lit(1).alias("image_idx2"), (F.col("k") + 1).alias("keypoint_idx2"), F.col("o_totalprice").alias("distance"))
     docs = o.groupBy("g").agg(F.to_json(F.struct(F.collect_list(one).alias("matches"))).alias("value"))
     return rounded(M.parse_match_graph(docs, keep=["g"])[2].select("g", "keypoint_idx1", "keypoint_idx2", "distance"))
 
 
+@query("first_by_name", "views", f"SELECT cam_idx, name FROM views ORDER BY name LIMIT 700")
+def _(t):
+    return M.first_by_name(t.views, 700).select("cam_idx", "name")
+
+
+@query("resize_cameras", "views", f"""WITH r AS (SELECT *, 333 / 640.0 AS k FROM views) SELECT cam_idx, CAST(333 AS INTEGER) AS width, CAST(floor(480 * k) AS INTEGER) AS height,
+{rnd('fx=fx * k; cx=cx * k; cy=cy * k; radius_at_90=radius_at_90 * k', 9)} FROM r""")
+def _(t):
+    out = M.resize_cameras(t.views, 333)
+    return rounded(out.select("cam_idx", "width", "height", "fx", "cx", "cy", "radius_at_90"), 9)
+
+
 _FILES = "f AS (SELECT file_id, filename, CASE WHEN regexp_matches(filename, '^ldi3_([0-9]{6})\\.(png|jpg)') THEN CAST(regexp_extract(filename, '^ldi3_([0-9]{6})', 1) AS BIGINT) END AS n FROM files)"
 
 

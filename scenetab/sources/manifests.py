@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +84,42 @@ def write_camera_manifest(cams: DataFrame, path: str, scene: str = "scene_id") -
     write_lines(manifest_lines(cams, scene), path, [scene])
 
 
+def first_by_name(cams: DataFrame, n: int) -> DataFrame:
+    """The first n cameras in order of name."""
+    return cams.orderBy("name").limit(n)
+
+
+def resize_cameras(cams: DataFrame, size: int, by: str = "width") -> DataFrame:
+    """Intrinsics for pictures of a new width (or height, or larger side); the other side is truncated."""
+    w, h = F.col("width"), F.col("height")
+    by_width = F.lit(True) if by == "width" else F.lit(False) if by == "height" else w > h
+    k = F.lit(float(size)) / F.when(by_width, w).otherwise(h)
+    other = lambda c: (c * F.col("_k")).cast("int")
+    out = cams.withColumns({"_k": k, "_by_width": by_width})
+    new = {"width": F.when(F.col("_by_width"), F.lit(size)).otherwise(other(w)), "height": F.when(F.col("_by_width"), other(h)).otherwise(F.lit(size))}
+    new |= {c: F.col(c) * F.col("_k") for c in ("fx", "fy", "cx", "cy", "radius_at_90", "useable_radius") if c in cams.columns}
+    return out.withColumns(new).drop("_k", "_by_width")
+
+
+# fixed values of a calibrated wide action camera
+ACTION_CAMERA = {"width": 3840, "k1": 0.06001369441859313, "tilt": 0.0010783222019413348, "radius_at_90": 2662.8540299512697, "useable_radius": 100000.0}
+
+
+def guess_intrinsics(images: DataFrame, fov_deg: float = 120.0, fisheye: bool = False) -> DataFrame:
+    """Start values for pictures of known width and height: a pinhole of the given field of view, or a wide action camera."""
+    w, h = F.col("width"), F.col("height")
+    center = {"cx": w / 2.0, "cy": h / 2.0}
+    if fisheye:
+        k = w / F.lit(float(ACTION_CAMERA["width"]))
+        lens = {n: F.lit(ACTION_CAMERA[n]) * k for n in ("radius_at_90", "useable_radius")} | {n: F.lit(ACTION_CAMERA[n]) for n in ("k1", "tilt")}
+        return images.withColumns({**center, **lens, "cam_model": F.lit("equiangular")})
+    focal = F.greatest(w, h) / F.lit(2.0 * math.tan(math.radians(fov_deg) / 2.0))
+    return images.withColumns({**center, "fx": focal, "fy": focal, "k1": F.lit(0.0), "k2": F.lit(0.0), "cam_model": F.lit("rectilinear")})
+
+
 def convert_rotvec_manifest(rows: DataFrame, num_cameras: int) -> DataFrame:
     """First cameras by name: rotation vector to matrix, y mirrored in row and column, pose written column-major."""
-    src = rows.orderBy("name").limit(num_cameras)
+    src = first_by_name(rows, num_cameras)
     src = src.withColumns({f"_w{i}": F.get("orientation", i) for i in range(3)} | {f"_p{i}": F.get("position", i) for i in range(3)})
     rot = geom.rotvec_matrix(F.col("_w0"), F.col("_w1"), F.col("_w2"))
     src = src.withColumns({f"_r{i}": c for i, c in enumerate(rot)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scenetab.functions import geom
 from scenetab.functions.ranks import exact_rank, fraction_index, pick_at, take_smallest
-from scenetab.functions.scan import carry, running
+from scenetab.functions.scan import carry, carry_both, running
 from scenetab.operators.rays import importance_depths, ray_weights
 from scenetab.operators.series import moving_average
 
@@ -85,6 +85,8 @@ def test_scans_do_not_depend_on_the_chunk(spark):
     df = spark.createDataFrame(rows, "k int, i bigint, v double").repartition(4)
     for chunk in (7, 1000):
         got = {(r.k, r.i): r for r in carry(carry(df, ["k"], "i", F.col("v"), "p", chunk=chunk), ["k"], "i", F.col("v"), "n", forward=False, inclusive=False, chunk=chunk).collect()}
+        both = {(r.k, r.i): r for r in carry_both(df, ["k"], "i", F.col("v"), "p", "n", chunk=chunk).collect()}
+        assert all((both[at].p, both[at].n) == (got[at].p, got[at].n) for at in got)
         run = {(r.k, r.i): r.s for r in running(df, ["k"], "i", F.coalesce("v", F.lit(0.0)), "s", chunk=chunk).collect()}
         for k in range(2):
             last, total = None, 0.0
