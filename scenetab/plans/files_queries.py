@@ -314,8 +314,11 @@ def _(t):
     out = scratch_path(t.spark, "ewma")
     t.loss.repartitionByRange(4, "step").write.parquet(src)
     spark = t.spark
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(t.loss.schema).parquet(src)
     q = stream_ewma(stream, 0.9).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "ewma-state"))
     q.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return rounded(spark.read.parquet(out))

@@ -244,9 +244,9 @@ def _(t):
 
 @query("smoothness_score", "pixels", f"""WITH s AS (SELECT p.frame_idx, p.y, p.x, any_value(p.invd) AS c, sum(q.invd) AS s FROM pixels p JOIN pixels q
 ON q.frame_idx = p.frame_idx AND abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2 GROUP BY ALL)
-SELECT frame_idx, {rnd('smoothness=avg(abs(25 * c - s))')} FROM s GROUP BY frame_idx""")
+SELECT frame_idx, {rnd('smoothness=avg(abs(25 * c - s))', 9)} FROM s GROUP BY frame_idx""")
 def _(t):
-    return rounded(R.smoothness_score(P(t), "invd", tile=TILE))
+    return rounded(R.smoothness_score(P(t), "invd", tile=TILE), 9)
 
 
 @query("alpha_attenuate", "pixels", f"SELECT {ID}, {rnd('invd=invd * (1 - exp(-10 * a))')} FROM pixels")
