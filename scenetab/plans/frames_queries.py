@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scenetab.functions.session import broadcast_if_small
 from scenetab.operators import frames as R
 from scenetab.operators import stencil as ST
 from scenetab.plans import sqltext as S
@@ -38,7 +39,7 @@ def _(t):
     )
     frames = t.events.select(
         (F.col("event_id") % 25).alias("cam_idx"), F.floor(F.col("event_id") / 100).alias("frame_idx")
-    ).distinct().join(F.broadcast(cams.select("scene_id", "cam_idx").limit(1000)), "cam_idx")
+    ).distinct().join(broadcast_if_small(cams.select("scene_id", "cam_idx")), "cam_idx")
     return R.sync_frames(frames, cams)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scenetab.functions.session import broadcast_if_small
 from scenetab.operators import paths as C
 from scenetab.operators import rays as R
 from scenetab.plans import sqltext as S
@@ -78,7 +79,7 @@ def _frame_cams(t):
     """A camera per frame: the rig's cameras in turn."""
     rig = small_cams(t)
     frames = t.pixels.select(F.col("frame_idx").alias("f")).distinct()
-    return frames.join(F.broadcast(rig.limit(1000)), F.col("f") % 25 == F.col("cam_idx")).withColumn("cam_idx", F.col("f")).drop("f")
+    return frames.join(broadcast_if_small(rig), F.col("f") % 25 == F.col("cam_idx")).withColumn("cam_idx", F.col("f")).drop("f")
 
 
 _FRAME_CAMS = f"{S.SMALL}, fcam AS (SELECT s.* REPLACE (f.frame_idx AS cam_idx) FROM (SELECT DISTINCT frame_idx FROM pixels) f JOIN small s ON s.cam_idx = f.frame_idx % 25)"
