@@ -58,3 +58,11 @@ def hot_part(keys: DataFrame, count: str) -> tuple[DataFrame, DataFrame]:
     total = keys.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * HOT_SHARE > F.lit(total)
     return keys.where(hot), keys.where(~hot)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
