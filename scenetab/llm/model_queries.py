@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 
-from scenetab.llm import langid, quality, warc
+from scenetab.llm import jaccard, langid, quality, warc
+from scenetab.llm.common import LOWER, UPPER
 
 QUERIES, ORACLES = {}, {}
 
@@ -27,9 +28,23 @@ def op6_langid(spark, sf_dir):
     return out.select("doc_id", (langid.split_of() == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_jaccard_join(spark, sf_dir):
+    out = jaccard.classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op7_jaccard_join"] = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p:p + 2], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 9 GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * c >= 90 * (na + nb - c)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM s UNION SELECT g.b, r.c FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) g ON g.a = r.a)
+SELECT doc_id, len(s) AS n_shingles, c.c AS component_id FROM s JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) c ON c.a = s.doc_id"""
+
+
 def op9_quality(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.judge(docs, quality.fit(docs, labels))
 
 
-QUERIES |= {f.__name__: f for f in (op5_warc, op6_langid, op9_quality)}
+QUERIES |= {f.__name__: f for f in (op5_warc, op6_langid, op7_jaccard_join, op9_quality)}
