@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenetab.functions.session import broadcast_if_small
-from scenetab.llm.common import ascii_lower, key128, stored, text_of
+from scenetab.llm.common import ascii_lower, fresh, key128, stored, text_of
 
 # fixed value of the contract: what is a word, after A-Z are lowered
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -148,3 +148,12 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         F.coalesce("_items", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    names, row = docs.columns, fresh(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64(id_col, text_of(text_col)))
+    verdict = contamination(keyed, bench, row, text_col, item_col, item_text_col)
+    bad = stored(verdict.where("contaminated").select(row).distinct(), "contaminated")
+    return keyed.join(broadcast_if_small(bad), row, "left_anti").select(*names)

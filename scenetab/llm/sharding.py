@@ -76,3 +76,9 @@ def assign_shards(
         (F.col("_start") + F.col("_nth")).cast("bigint").alias("slot"),
         "grown_shard",
     )
+
+
+def with_shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the column ``shard`` (in place of one of that name), without moving a row."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return docs.withColumn("shard", F.array_min(F.array(*[F.struct(_cost(key, i, w).alias("c"), F.lit(i).alias("s")) for i, w in enumerate(weights)]))["s"])
