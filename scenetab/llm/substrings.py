@@ -15,7 +15,7 @@ from scenetab.llm.jaccard import _mix
 from scenetab.llm.suffixes import Shards
 
 WIDTH = 100
-GRAM = 32
+GRAM = 24
 PIECE = 1 << 20
 # an anchor with more strings than this has its windows dealt out one by one
 CROWD = 4096
@@ -32,7 +32,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Anchors:
-    """Cuts texts into runs of windows that share their anchor, the gram of 32 bytes with the least hash in a window."""
+    """Cuts texts into runs of windows that share their anchor, the gram of 24 bytes with the least hash in a window."""
 
     def __init__(self, width: int):
         self.width = width
@@ -84,7 +84,9 @@ def _runs(width: int):
 
         for batch in batches:
             found, parts, size = [], [], 0
-            for d, text in enumerate(batch.column("text").to_pylist()):
+            ids, ties, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tie", "text"))
+            for d in np.lexsort((ties, ids)):
+                text = texts[d]
                 for at in range(0, len(text) - width + 1, PIECE):
                     parts.append((d, at, text[at : at + PIECE + width - 1]))
                     size += len(parts[-1][2])
@@ -95,10 +97,14 @@ def _runs(width: int):
                 found.append(cut(parts))
             if found:
                 doc, offset, n, gram, whole = (np.concatenate(x) for x in zip(*found))
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(whole), batch.column("id").take(take), batch.column("tie").take(take), pa.array(offset), pa.array(n)], ["gram", "whole", "id", "tie", "start", "n"]
-                )
+                # documents came in order, so of equal runs in this batch the first is the earliest
+                order = np.argsort(_mix(gram.view(np.uint64)) ^ whole.view(np.uint64), kind="stable")
+                g, w = gram[order], whole[order]
+                copy = np.zeros(len(doc), bool)
+                copy[order[1:]] = (g[1:] == g[:-1]) & (w[1:] == w[:-1])
+                key = np.where(copy, _mix(whole.view(np.uint64) + _mix(ids[doc].view(np.uint64) + _mix(offset.view(np.uint64)))).view(np.int64), gram)
+                span = (offset * 128 + n) * 2 + copy
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, whole, ids[doc], ties[doc], span)], ["gram", "whole", "id", "tie", "span"])
 
     return run
 
@@ -187,11 +193,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their text, and rows equal in id and text are one document: they get the same answer, counted once. A null text is
     empty; texts shorter than ``width`` lose nothing; an empty table gives an empty result; other columns are ignored.
 
-    1. Each window of ``width`` bytes has an anchor, the least-hashed gram of 32 bytes in it. Equal windows have equal anchors
-       at the same place, and the windows of one anchor are a run, so one row per run (about one for 35 bytes) stands for
+    1. Each window of ``width`` bytes has an anchor, the least-hashed gram of 24 bytes in it. Equal windows have equal anchors
+       at the same place, and the windows of one anchor are a run, so one row per run (about one for 39 bytes) stands for
        all windows. A run whose anchor occurs once has no repeats.
-    2. Runs that are equal as a whole need no more work: all but the first are repeats. Of anchors with different runs, one of
-       each is cut out of its text.
+    2. Runs that are equal as a whole need no more work: all but the first are repeats. A task settles that for its own rows
+       before they are shuffled, and such rows no longer travel by anchor. Of anchors with different runs, one of each is
+       cut out of its text.
     3. These strings go to shards by anchor. A shard's suffix array (groups still equal are refined by doubling) and common
        prefixes give its equal windows; an anchor that goes on in the next shard is looked up there by binary search.
        Windows of anchors with more than 4096 strings are dealt out by themselves, so that no shard has to hold them all.
@@ -205,11 +212,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("own"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("id"), tie.alias("tie"), text.alias("text"))
     long = own.where(F.octet_length("text") >= width).select("id", "tie", "text")
     long = long if single else long.dropDuplicates(["id", "tie"])
-    runs = long.mapInArrow(_runs(width), "gram long, whole long, id long, tie long, start long, n long").repartition("gram")
-    order, group = Window.partitionBy("gram").orderBy("whole", "id", "tie", "start"), Window.partitionBy("gram")
-    runs = runs.withColumn("copy", F.coalesce(F.lag("whole").over(order) == F.col("whole"), F.lit(False)))
+    keys = ["id"] if single else ["id", "tie"]
+    runs = long.mapInArrow(_runs(width), "gram long, whole long, id long, tie long, span long").select("gram", "whole", *keys, "span").repartition("gram")
+    order, group = Window.partitionBy("gram").orderBy("whole", *keys, "span"), Window.partitionBy("gram")
+    runs = runs.withColumn("copy", (F.col("span") % 2 == 1) | F.coalesce(F.lag("whole").over(order) == F.col("whole"), F.lit(False)))
     runs = runs.withColumn("other", F.min("whole").over(group) != F.max("whole").over(group)).withColumn("times", F.count(F.lit(1)).over(group))
-    runs = stored(runs.where("copy or other").select("gram", "id", "tie", "start", "n", "times", "copy"), "runs")
+    start, n = F.shiftright("span", 8).alias("start"), (F.shiftright("span", 1) % 128).alias("n")
+    runs = stored(runs.where("copy or other").select("gram", "id", F.lit(0).cast("bigint").alias("tie") if single else "tie", start, n, "times", "copy"), "runs")
 
     asked = runs.where("not copy").groupBy("id", "tie").agg(F.collect_list(F.struct("gram", "start", "n", "times")).alias("asked"))
     cut = long.join(asked, ["id", "tie"]).select("id", "tie", "text", "asked")
