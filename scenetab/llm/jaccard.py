@@ -16,6 +16,8 @@ from scenetab.llm.components import components
 
 # words whose hash a task remembers
 CACHE = 200_000
+# parts of the columns in which a set's shingles are counted, and rows of a block of the product
+SKETCH, BLOCK = 128, 512
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -65,10 +67,15 @@ def least_overlap(size: int | Column, percent: int):
 
 
 def _lead(size: int, percent: int) -> tuple[int, int]:
-    """(how many of its first shingles a set shows, how many of them a linked set of that size must show too)."""
+    """(how many of its first shingles a set shows, how many beyond the fewest that linked sets need to meet at all)."""
     short = size - least_overlap(size, percent) + 1
-    more = max(0, min(short // 3, least_overlap(size, percent) - 1))
-    return short + more, 1 + more
+    more = min(short - 1, max(short // 4, size // 5 - short), least_overlap(size, percent) - 1)
+    return short + max(more, 0), max(more, 0)
+
+
+def _need(size: int, percent: int) -> int:
+    """Shown shingles that a set has in common with any set it links with, which may be the smaller one."""
+    return max(1, _lead(least_overlap(size, percent), percent)[1])
 
 
 def _sets(n: int, percent: int):
@@ -86,7 +93,7 @@ def _sets(n: int, percent: int):
                 sizes.append(len(s))
                 signs.append(sign)
                 heads.append(head)
-                needs.append(_lead(least_overlap(len(s), percent), percent)[1] if len(s) else 0)
+                needs.append(_need(len(s), percent) if len(s) else 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()), pa.array(needs, pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
                 ["id", "row", "size", "sign", "need", "head"],
@@ -106,6 +113,76 @@ def _whole_sets(n: int):
     return run
 
 
+def _prefixes(percent: int):
+    """For each set: the shingles that have to meet another set's, and the counts of all its shingles in SKETCH parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, sketches = [], []
+            for size, tokens in zip(batch.column("size").to_pylist(), batch.column("tokens")):
+                t = tokens.values.to_numpy()
+                heads.append(t[: len(t) - least_overlap(size, percent) + 1])
+                counts = np.bincount(t & (SKETCH - 1), minlength=SKETCH)
+                sketches.append((counts if counts.max() < 1 << 16 else counts * 0).astype(np.uint16).tobytes())
+            n = pa.array([len(t) for t in batch.column("tokens")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("sign"), batch.column("size"), n, pa.array(heads, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["sign", "size", "n", "head", "sketch"])
+
+    return run
+
+
+def _column_product(cells: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of one column, of different components, whose overlap may be large enough, block by block."""
+    sign, root, size = cells["sign"], cells["root"], cells["size"]
+    ahead = cells["n"] - cells["at"]
+    sketch = np.frombuffer(b"".join(cells["sketch"]), np.uint16).reshape(-1, SKETCH).astype(np.int32)
+    known = sketch.sum(1) == cells["n"]
+    a, b = [], []
+    for i in range(0, len(sign), BLOCK):
+        for j in range(i, len(sign), BLOCK):
+            x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            need = (size[x, None] + size[None, y]) * percent
+            small, large = np.minimum(size[x, None], size[None, y]), np.maximum(size[x, None], size[None, y])
+            ok = (root[x, None] != root[None, y]) & (small * 100 >= large * percent) & (np.minimum(ahead[x, None], ahead[None, y]) * (100 + percent) >= need)
+            if i == j:
+                ok &= np.tri(*ok.shape, -1, dtype=bool)
+            p, q = np.nonzero(ok)
+            for at in range(0, len(p), 1 << 14):  # at most 16 MB of counts at once
+                u, v = p[at : at + (1 << 14)] + i, q[at : at + (1 << 14)] + j
+                most = np.minimum(sketch[u], sketch[v]).sum(1)
+                fits = (most * (100 + percent) >= (size[u] + size[v]) * percent) | ~known[u] | ~known[v]
+                a.append(np.minimum(sign[u[fits]], sign[v[fits]]))
+                b.append(np.maximum(sign[u[fits]], sign[v[fits]]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (sign[:0], sign[:0])
+
+
+def _products(percent: int):
+    """Multiply the columns of a task, which come one after another; what each batch finds is passed on once."""
+    names = ["token", "sign", "root", "size", "n", "at", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def product(cells):
+            cuts = np.flatnonzero(np.r_[True, cells["token"][1:] != cells["token"][:-1], True])
+            found = [_column_product({c: v[s:e] for c, v in cells.items()}, percent) for s, e in zip(cuts[:-1], cuts[1:]) if e - s > 1]
+            pairs = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0) if found else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
+            last = held[-1]["token"][-1]
+            if held[0]["token"][0] == last:
+                continue  # one column so far
+            cells = {c: np.concatenate([h[c] for h in held]) for c in names}
+            done = int(np.searchsorted(cells["token"], last))
+            yield product({c: v[:done] for c, v in cells.items()})
+            held = [{c: v[done:] for c, v in cells.items()}]
+        if held:
+            yield product({c: np.concatenate([h[c] for h in held]) for c in names})
+
+    return run
+
+
 def _linked(pairs: DataFrame, cores: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link, by the exact size of the overlap."""
     one = cores.select(F.col("sign").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("ta"))
@@ -126,13 +203,14 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
 
     Rows with equal sets are one row of the incidence matrix. Which sets can link at all is settled by bounds on their size:
 
-    1. Under any order of the shingles, linked sets share a known number of their first ones (about an eighth of a set at
-       0.9). Sets that share fewer of them with all others together can't link; that leaves copies and near copies.
+    1. Under any order of the shingles, linked sets share a known number of their first ones (a fifth of a set at 0.9, a
+       quarter at 0.8). Sets that share fewer of them with all others together can't link; that leaves copies and near copies.
     2. For those, all columns are counted. A shingle that no other set has adds nothing to any product, so a set with too few
        others is dropped, and of the rest only a short prefix, rarest first, has to meet another's.
     3. The prefix columns are multiplied: first only neighbours by size within each column, then, once those links have been
-       contracted, all entries between different components that size and position still allow. Entries that remain are
-       completed over all columns, which gives the exact overlap.
+       contracted, all entries between different components, block by block. The sizes, the place in the prefix and counts
+       over 128 parts of all columns bound each entry's overlap; entries below the bound are discarded where they arise. For
+       the others the overlap is counted over all columns.
 
     So a group of copies costs a number of products in proportion to its size, and no link is lost.
     """
@@ -158,8 +236,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     cores = stored(cores.where(F.size("tokens") >= least_overlap(F.col("size"), percent)), "cores")
 
     # 3: products of the prefix columns
-    rest = F.size("tokens") - least_overlap(F.col("size"), percent)
-    prefix = cores.select("sign", "size", F.size("tokens").alias("n"), F.posexplode(F.slice("tokens", F.lit(1), (rest + 1).cast("int"))).alias("at", "token"))
+    heads = cores.mapInArrow(_prefixes(percent), "sign long, size long, n long, head array<long>, sketch binary")
+    prefix = heads.select("sign", "size", "n", "sketch", F.posexplode("head").alias("at", "token"))
     order = Window.partitionBy("token").orderBy("size", "sign")
     beside = prefix.select(F.lag("sign").over(order).alias("a"), F.col("sign").alias("b"), F.lag("size").over(order).alias("s"), "size")
     beside = beside.where((F.col("s") * 100 >= F.col("size") * percent) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -169,17 +247,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     rooted = prefix.join(found.withColumnRenamed("node", "sign"), "sign", "left").withColumn("root", F.coalesce("root", "sign"))
     column = Window.partitionBy("token")
     rooted = rooted.withColumn("mixed", F.min("root").over(column) != F.max("root").over(column)).where("mixed").drop("mixed")
-    rooted = stored(rooted, "prefixes")
-    x, y = rooted.alias("x"), rooted.alias("y")
-    overlap = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    allowed = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.sign") < F.col("y.sign"))
-        & (F.col("x.root") != F.col("y.root"))
-        & (F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent)
-        & (overlap * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent)
-    )
-    across = x.join(y, allowed).select(F.col("x.sign").alias("a"), F.col("y.sign").alias("b")).distinct()
+    rooted = rooted.select("token", "sign", "root", "size", "n", F.col("at").cast("bigint").alias("at"), "sketch").sortWithinPartitions("token", "size")
+    across = rooted.mapInArrow(_products(percent), "a long, b long").distinct()
     second = stored(_linked(across, cores, percent), "links")
     found = components(first.unionByName(second), "a", "b") if not second.isEmpty() else found
 
