@@ -229,7 +229,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     wanted = stored(met.join(nodes, "sign").where("met >= need").select("sign", "size", "row"), "wanted")
 
     # 2: whole sets of those, without the shingles that only one of them has
-    texts = keyed.join(broadcast_if_small(wanted.select("sign", "row")), "row").select("sign", "text")
+    # the same plan at every size: texts are shuffled to meet the wanted rows, never the other way round by a broadcast
+    texts = keyed.join(wanted.select("sign", "row").hint("merge"), "row").select("sign", "text")
     cells = texts.mapInArrow(_whole_sets(n), "sign long, tokens array<long>").select("sign", F.explode("tokens").alias("token"))
     cells = cells.repartition("token").dropDuplicates(["token", "sign"]).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     cores = cells.groupBy("sign").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("tokens")).join(wanted.select("sign", "size"), "sign")
@@ -283,4 +284,4 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     single = kept.where("times = 1").select(key).unionByName(wordless)
     # a winner that is there several times over stays once
     repeated = keyed.join(broadcast_if_small(kept.where("times > 1").select(key)), key, "left_semi").dropDuplicates([key])
-    return keyed.join(single, key, "left_semi").unionByName(repeated).select(*names)
+    return keyed.join(single.hint("merge"), key, "left_semi").unionByName(repeated).select(*names)
