@@ -62,17 +62,14 @@ def thin_keypoints(kps: DataFrame, radius: float, existing: DataFrame | None = N
         todo = todo.join(taken, [image, "k"], "left_anti")
     todo = cut_lineage(todo)
     kept = None
-    for _ in range(MAX_ROUNDS):
-        if todo.isEmpty():
-            break
+    # the least undecided keypoint of an image is always kept, so every round settles some
+    while not todo.isEmpty():
         first = todo.groupBy(*cells).agg(F.min("k").alias("k"), F.min_by("x", "k").alias("x"), F.min_by("y", "k").alias("y"))
         blocked = near(todo, first).where(F.col("k") < F.col("kb")).select(image, F.col("kb").alias("k")).distinct()
         ok = cut_lineage(first.join(blocked, [image, "k"], "left_anti").select(image, "k", "x", "y", "gx", "gy"))
         kept = ok.select(image, "k") if kept is None else kept.unionByName(ok.select(image, "k"))
         gone = near(todo, ok).select(image, "k").distinct()
         todo = cut_lineage(todo.join(gone, [image, "k"], "left_anti"))
-    else:
-        raise RuntimeError("thinning did not settle")
     if kept is None:
         return kps.limit(0)
     return kps.join(kept.withColumnRenamed("k", order), [image, order], "left_semi")
@@ -210,7 +207,11 @@ def order_by_connectivity(matches: DataFrame, images: DataFrame, cut_every: int
 
 
 def _node(image: str, kp: str) -> Column:
-    return F.shiftleft(F.col(image).cast("bigint"), 32).bitwiseOR(F.col(kp).cast("bigint"))
+    """Image and keypoint in one number, 31 and 32 bits; larger ids are an error, not a merger of strangers."""
+    i, k = F.col(image).cast("bigint"), F.col(kp).cast("bigint")
+    fits = i.between(0, (1 << 31) - 1) & k.between(0, (1 << 32) - 1)
+    wide = F.raise_error(F.concat(F.lit("ids too large for a node: "), i.cast("string"), F.lit(", "), k.cast("string"))).cast("bigint")
+    return F.when(fits, F.shiftleft(i, 32).bitwiseOR(k)).when(i.isNull() | k.isNull(), F.lit(None).cast("bigint")).otherwise(wide)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

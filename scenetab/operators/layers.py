@@ -228,7 +228,8 @@ def relax_grid(
 
     With ``mask`` the masked pixels relax towards their four neighbours (a masked neighbour counts twice, since both
     pixels ask for the smoothness). With ``weight`` every pixel keeps a data term of that weight. A round makes ``sweeps``
-    sweeps inside tiles after one shuffle, then is written to the checkpoint folder; rounds stop at the tolerance.
+    sweeps inside tiles after one shuffle, then is written to the checkpoint folder; rounds stop at the tolerance, and
+    it is an error if they don't reach it. The tolerance is on the change of a round: wide holes need a small one.
     ``upper`` softly keeps a masked pixel 2/255 below a bound.
     """
     keys = keys or ["frame_idx"]
@@ -262,6 +263,8 @@ def relax_grid(
         cur = nxt.drop("_old", "_k")
         if change is None or change <= tol:
             break
+    else:
+        raise RuntimeError(f"the fill still moves by {change} after {max_rounds} rounds of {sweeps} sweeps")
     return cur.select(*keys, "y", "x", geom.clamp(F.col("_v"), 0.0, 1.0).alias(value))
 
 

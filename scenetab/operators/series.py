@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetab.functions.ranks import exact_rank
 
-CHUNK = 1024
+# keep to this power of e is still a number, and its square is nothing beside 1
+REACH = 300
 
 
-def moving_average(df: DataFrame, key: str, order: str, value: str, keep: float, chunk: int = CHUNK) -> DataFrame:
+def moving_average(df: DataFrame, key: str, order: str, value: str, keep: float, chunk: int | None = None) -> DataFrame:
     """x0 = v0, then x = keep * x + (1 - keep) * v, per series in order.
 
     Inside a chunk of positions the recurrence is a running sum of v / keep^m scaled back. A chunk needs the end of the one
     before it, and that one's start: what lies further back has been multiplied by keep^chunk, far below one unit in the last
-    place for the chunk sizes allowed here.
+    place. A chunk is as long as the powers of ``keep`` stay finite, so it grows with the memory of the average: 249 rows at
+    0.3, 29,849 at 0.99.
     """
-    if keep**chunk > 1e-19:
-        raise ValueError("chunk too short for this smoothing")
+    if not 0 < keep < 1:
+        raise ValueError("keep must lie between 0 and 1")
+    chunk = chunk or max(1, int(REACH / -math.log(keep)))
+    if keep**chunk > 1e-19 and chunk > 1 or chunk * -math.log(keep) > 2 * REACH:
+        raise ValueError("chunk too short or too long for this smoothing")
     src = exact_rank(df, [key], order, order, out="_pos")
     src = src.withColumns({"_c": F.floor(F.col("_pos") / chunk).cast("bigint"), "_m": (F.col("_pos") % chunk).cast("double")})
     share = F.when(F.col("_pos") == 0, F.lit(1.0)).otherwise(F.lit(1.0 - keep))

@@ -94,7 +94,7 @@ def _(t):
     return M.attach_time_offsets(t.views, offs, strict=False).select("cam_idx", "time_offset_frames")
 
 
-@query("default_time_offsets", "views", """WITH n AS (SELECT DISTINCT name FROM views) SELECT name AS ord, (CASE WHEN name = (SELECT min(name) FROM n) THEN '' ELSE ',' END) || '"' || name || '":0' AS value FROM n""")
+@query("default_time_offsets", "views", """WITH n AS (SELECT DISTINCT name FROM views) SELECT name AS ord, (CASE WHEN name = (SELECT min(name) FROM n) THEN '{' ELSE ',' END) || '"' || name || '":0' || (CASE WHEN name = (SELECT max(name) FROM n) THEN '}' ELSE '' END) AS value FROM n""")
 def _(t):
     return M.default_time_offsets(t.views)
 
@@ -257,6 +257,17 @@ def _(t):
     return rounded(E.with_log10(E.moving_average(t.loss, "run", "step", "loss", 0.9)).select("run", "step", "smooth", "log_smooth"))
 
 
+def _average(keep: float):
+    def run(t):
+        return rounded(E.moving_average(t.loss, "run", "step", "loss", keep).select("run", "step", "smooth"))
+
+    return run
+
+
+for _keep, _rest in (("0.3", "0.7"), ("0.5", "0.5"), ("0.99", "0.01")):
+    query(f"moving_average_{_keep[2:]}", "", f"{_EWMA.format(src=_LOSS_SRC, a=_keep, b=_rest)} SELECT s.run, s.step, {rnd('smooth=x')} FROM e JOIN s USING (run, k)")(_average(float(_keep)))
+
+
 @query("brightness_ratio", "pixels", f"""WITH RECURSIVE m AS (SELECT frame_idx, avg((b + g + r) / 3) AS v FROM pixels GROUP BY ALL), e AS (SELECT frame_idx, v AS x FROM m WHERE frame_idx = 0
 UNION ALL SELECT m.frame_idx, 0.95 * e.x + 0.05 * m.v FROM e JOIN m ON m.frame_idx = e.frame_idx + 1)
 SELECT frame_idx, {rnd('smooth=x; ratio=x / v')} FROM e JOIN m USING (frame_idx)""")
@@ -319,6 +330,8 @@ def _(t):
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(t.loss.schema).parquet(src)
     q = stream_ewma(stream, 0.9).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "ewma-state"))
-    q.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    try:
+        q.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return rounded(spark.read.parquet(out))

@@ -84,12 +84,12 @@ def _(t):
     return P.visible_to_any(t.splats, t.views, ["frame_idx", "splat_idx"]).select("frame_idx", "splat_idx", "visible")
 
 
-@query("sample_bilinear", "points pixels", f"""WITH q AS (SELECT point_id, point_id % 2 AS frame_idx, 5*x + 10 AS u, 6*y + 10 AS v FROM points),
+@query("sample_bilinear", "points pixels", f"""WITH q AS (SELECT point_id, CAST(floor(point_id / 400) AS BIGINT) AS frame_idx, 5*x + 10 AS u, 6*y + 10 AS v FROM points),
 {S.bilinear('q', 'point_id', 'frame_idx', 'pixels', ['b', 'g', 'r'], '20', '20')}
 SELECT point_id, {rnd('b; g; r')} FROM bl""")
 def _(t):
     q = t.points.select(
-        "point_id", (F.col("point_id") % 2).alias("frame_idx"), (5 * F.col("x") + 10).alias("u"), (6 * F.col("y") + 10).alias("v")
+        "point_id", F.floor(F.col("point_id") / 400).cast("bigint").alias("frame_idx"), (5 * F.col("x") + 10).alias("u"), (6 * F.col("y") + 10).alias("v")
     )
     return rounded(P.sample_bilinear(q, t.pixels, ["point_id"], "frame_idx", ["b", "g", "r"], F.lit(20), F.lit(20)))
 

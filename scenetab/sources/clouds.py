@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,7 +164,8 @@ class PointBinWriter(DataSourceWriter):
         where, p = _open_fs(self.path)
         where.create_dir(p, recursive=True)
         ctx = TaskContext.get()
-        final = f"{p}/part-{ctx.partitionId():06d}.bin"
+        # a name that no other write to the folder has
+        final = f"{p}/part-{ctx.partitionId():06d}-{uuid.uuid4().hex[:12]}.bin"
         part = f"{p}/_{ctx.taskAttemptId()}.tmp"
         chunks, n = [], 0
         with where.open_output_stream(f"{part}.body") as body:

@@ -147,10 +147,11 @@ def attach_time_offsets(cams: DataFrame, offsets: DataFrame | None, strict: bool
 def default_time_offsets(cams: DataFrame) -> DataFrame:
     """The lines of a JSON object giving every camera 0, in order of name."""
     names = cams.select("name").distinct()
-    low = names.agg(F.min("name")).first()[0]
-    comma = F.when(F.col("name") == F.lit(low), F.lit("")).otherwise(F.lit(","))
+    low, high = names.agg(F.min("name"), F.max("name")).first()
+    comma = F.when(F.col("name") == F.lit(low), F.lit("{")).otherwise(F.lit(","))
+    end = F.when(F.col("name") == F.lit(high), F.lit(":0}")).otherwise(F.lit(":0"))
     return names.select("name", F.concat(comma, F.to_json(F.struct("name")).substr(9, 1 << 20)).alias("v")).select(
-        F.col("name").alias("ord"), F.concat(F.expr("substring(v, 1, length(v) - 1)"), F.lit(":0")).alias("value")
+        F.col("name").alias("ord"), F.concat(F.expr("substring(v, 1, length(v) - 1)"), end).alias("value")
     )
 
 

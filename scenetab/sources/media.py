@@ -70,12 +70,19 @@ def time_to_frame(seconds, rate):
 
 
 def read_image_pixels(spark: SparkSession, glob: str, rows_per_batch: int = 64) -> DataFrame:
-    """Pixels of image files as fractions (path, y, x, b, g, r, a); images without alpha are opaque."""
-    img = spark.read.format("image").option("dropInvalid", True).load(glob).select("image.*")
+    """Pixels of image files as fractions (path, y, x, b, g, r, a); images without alpha are opaque.
+
+    A file that can't be decoded is an error, as is one that isn't 8 bits deep.
+    """
+    img = spark.read.format("image").option("dropInvalid", False).load(glob).select("image.*")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
+                if row.height <= 0:
+                    raise ValueError(f"{row.origin} is no image that can be decoded")
+                if len(row.data) != row.height * row.width * row.nChannels:
+                    raise ValueError(f"{row.origin} is not 8 bits deep")
                 px = np.frombuffer(row.data, "u1").reshape(row.height, row.width, row.nChannels).astype("f8") / 255.0
                 for top in range(0, row.height, rows_per_batch):
                     band = px[top : top + rows_per_batch]
