@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scenetab.functions.session import broadcast_if_small
 from scenetab.llm.common import hot_part, new_folder, stored
 
 # fixed values of the seekable format: a skippable frame with one entry per frame and a footer
@@ -165,7 +166,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     ignored. The index maps each record id (the page id, or a digest of the row without one) to its bundle, frame, the
     frame's place in the file and the offset within the unpacked frame.
 
-    Who is the response is settled on narrow rows, hot payloads by broadcast; page contents move once, to meet the verdict.
+    Who is the response is settled on narrow rows, hot payloads by broadcast. Page contents stay where they are if the revisits
+    are few enough, by count, to be broadcast; else they move once, to meet the verdict.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
@@ -178,6 +180,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     others = narrow.join(F.broadcast(hot.select("_sha", "_len")), ["_sha", "_len"], "left_anti").join(rest, ["_sha", "_len"])
     again = by_hot.unionByName(others).where(~F.col("page_id").eqNullSafe(F.col("_first")))
     again = again.select("_row", F.col("_first").alias("refers_to"), F.lit(True).alias("revisit")).dropDuplicates(["_row"])
+    again = broadcast_if_small(stored(again, "revisits"))
     name = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("row-"), F.hex("_row")))
     rows = base.join(again, "_row", "left").select(name.alias("record_id"), "page_id", "url", "payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
     written = rows.mapInArrow(_writer(_uri(folder)), "record_id string, bundle string, frame long, frame_at long, offset long, length long")
