@@ -207,7 +207,7 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFra
     # row 0 of a bundle: its name once, without shuffling the index
     names = index.where((F.col("frame") == 0) & (F.col("offset") == 0)).select("bundle")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1)).join(names, "bundle", "left_semi")
+    files = files.withColumn("bundle", F.element_at(F.split("path", "/"), -1)).join(broadcast_if_small(names), "bundle", "left_semi")
     return files.select("content").mapInArrow(_reader, kind)
 
 
