@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scenetab.llm import jaccard, langid, quality, substrings, warc
+from scenetab.llm import chunks, jaccard, langid, quality, substrings, warc
 from scenetab.llm.common import LOWER, UPPER
 
 QUERIES, ORACLES = {}, {}
@@ -16,6 +16,11 @@ def op2_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_chunk_dedup(spark, sf_dir):
+    out = chunks.chunk_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark, sf_dir):
     out = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,4 +59,4 @@ def op9_quality(spark, sf_dir):
     return quality.judge(docs, quality.fit(docs, labels))
 
 
-QUERIES |= {f.__name__: f for f in (op2_suffix_dedup, op5_warc, op6_langid, op7_jaccard_join, op9_quality)}
+QUERIES |= {f.__name__: f for f in (op2_suffix_dedup, op3_chunk_dedup, op5_warc, op6_langid, op7_jaccard_join, op9_quality)}
