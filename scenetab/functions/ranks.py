@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 
 from scenetab.functions.session import broadcast_if_small
 
-RANGES = 64
+# Rows meant for one range, and the bounds of how many ranges there are.
+RANGE_ROWS, FEWEST, MOST = 1_000_000, 64, 4096
+
+
+def _ranges(df: DataFrame) -> int:
+    """Enough ranges that each holds about RANGE_ROWS rows; beyond MOST of them ranges grow, but slowly."""
+    return min(MOST, max(FEWEST, -(-df.count() // RANGE_ROWS)))
 
 
 def _cuts(df: DataFrame, cols: list[str], ranges: int) -> list[list[float]]:
@@ -35,12 +41,12 @@ def _range_of(v: Column, cuts: list[float]) -> Column:
 
 
 def exact_rank(
-    df: DataFrame, group: list[str], order: str, tie: str, out: str = "rank", ranges: int = RANGES, descending: bool = False
+    df: DataFrame, group: list[str], order: str, tie: str, out: str = "rank", ranges: int | None = None, descending: bool = False
 ) -> DataFrame:
     """0-based rank of each row in its group by (order, tie). ``tie`` must be unique within a group."""
     key = F.col(order).cast("double")
     src = df.withColumn("_o", -key if descending else key)
-    cuts, tie_cuts = _cuts(src, ["_o", tie], ranges)
+    cuts, tie_cuts = _cuts(src, ["_o", tie], ranges or _ranges(df))
     b1 = F.coalesce(_range_of(F.col("_o"), cuts), F.lit(-1))
     b2 = F.when(F.col("_b1") % 2 != 0, _range_of(F.col(tie).cast("double"), tie_cuts)).otherwise(F.lit(0))
     src = src.withColumn("_b1", b1).withColumn("_b2", b2)
@@ -60,7 +66,7 @@ def exact_rank(
 
 
 def pick_at(
-    df: DataFrame, group: list[str], value: str, picks: dict[str, Column], ranges: int = RANGES
+    df: DataFrame, group: list[str], value: str, picks: dict[str, Column], ranges: int | None = None
 ) -> DataFrame:
     """One row per group with the ascending order's elements at given 0-based positions.
 
@@ -68,7 +74,7 @@ def pick_at(
     holding a wanted position are shuffled and sorted.
     """
     src = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
-    (cuts,) = _cuts(src, ["_v"], ranges)
+    (cuts,) = _cuts(src, ["_v"], ranges or _ranges(src))
     src = src.withColumn("_b", _range_of(F.col("_v"), cuts))
     whole = Window.partitionBy(*group)
     counts = (
@@ -112,7 +118,13 @@ def take_smallest(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:
         return df.limit(0)
     if found is None or found["thr"] is None:
         return df
-    thr = F.lit(found["thr"])
-    below = df.where(F.col(value).cast("double") < thr)
-    ties = df.where(F.col(value).cast("double") == thr).orderBy(tie).limit(n - below.count())
-    return below.unionByName(ties)
+    thr, v = F.lit(found["thr"]), F.col(value).cast("double")
+    below, ties = df.where(v < thr), df.where(v == thr)
+    left = n - below.count()
+    # ties are cut the same way by the tie column; only rows that agree in both as doubles are left to a sort
+    last = pick_at(ties, [], tie, {"thr": F.lit(left - 1)}).first()
+    if last is None or last["thr"] is None:
+        return below.unionByName(ties.limit(left))
+    edge, t = F.lit(last["thr"]), F.col(tie).cast("double")
+    before = ties.where(t < edge)
+    return below.unionByName(before).unionByName(ties.where(t == edge).orderBy(tie).limit(left - before.count()))

@@ -13,6 +13,7 @@ from scenetab.functions import geom
 from scenetab.functions.columns import settle
 from scenetab.functions.ranks import fraction_index, pick_at
 from scenetab.functions.session import broadcast_if_small, cut_lineage
+from scenetab.functions.skew import join_counted
 from scenetab.operators.points import sample_bilinear
 
 MAX_ROUNDS = 200
@@ -218,28 +219,30 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (u, v): root is the smallest node of its component.
 
     Alternating large-star and small-star rewrites (Kiveris et al. 2014): minima by key are pre-aggregated, edges only ever
-    shrink, and each round is written to the checkpoint folder. Ends when a round changes nothing.
+    shrink, and each round is written to the checkpoint folder. Ends when a round changes nothing. Roots of big components
+    become hubs; their minimum comes to their edges by a bounded broadcast.
     """
     e = edges.select("u", "v").where("u <> v").distinct()
 
     def mark(df: DataFrame):
         return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
 
-    def large(df: DataFrame) -> DataFrame:
+    # both steps see at most 2 n rows, so fewer than 2 * HOT_SHARE hubs are broadcast
+    def large(df: DataFrame, n: int) -> DataFrame:
         both = df.union(df.select("v", "u").toDF("u", "v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        return join_counted(both.where("v > u"), low, "u", "n", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    def small(df: DataFrame) -> DataFrame:
+    def small(df: DataFrame, n: int) -> DataFrame:
         down = df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = join_counted(down, low, "u", "n", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
     e = cut_lineage(e)
     seen = mark(e)
     for _ in range(MAX_ROUNDS):
-        e = cut_lineage(small(large(e)))
+        e = cut_lineage(small(large(e, seen["n"]), seen["n"]))
         now = mark(e)
         if now == seen:
             break
@@ -256,7 +259,7 @@ def build_tracks(keypoints: DataFrame, matches: DataFrame, num_images: int, min_
     roots = connected_components(edges)
     if min(num_images, min_obs) > 1:
         members = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(num_images, min_obs))
-        roots = roots.join(members.select("root"), "root", "left_semi")
+        roots = join_counted(roots, members, "root", "n", roots.count())
         return kps.join(roots, "node").withColumnRenamed("root", "track_id").drop("node")
     return kps.join(roots, "node", "left").withColumn("track_id", F.coalesce("root", "node")).drop("node", "root")
 

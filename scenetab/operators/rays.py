@@ -9,6 +9,7 @@ from scenetab.functions import geom
 from scenetab.functions.hashing import hash01
 from scenetab.functions.ranks import exact_rank, take_smallest
 from scenetab.functions.scan import CHUNK, running, with_chunk
+from scenetab.functions.skew import join_counted
 from scenetab.operators.points import sample_bilinear, unproject
 from scenetab.operators.stencil import dilate, tiled, untiled
 
@@ -82,16 +83,18 @@ def query_depths(rays: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 def importance_depths(samples: DataFrame, key: str, n: int, seed: int, keep: bool = False, chunk: int = CHUNK) -> DataFrame:
     """n new depths per ray where the weights are: draws inverted through the running distribution.
 
-    A draw meets its bin by a join on (ray, slice of the distribution), so only bins of that slice are compared.
+    A draw meets its bin by a join on (ray, slice of the distribution), so only bins of that slice are compared. The last
+    index and the total of a ray that holds many of the samples are broadcast, not shuffled to by all its samples.
     """
     keys = [key]
-    last = samples.groupBy(key).agg(F.max("sample_idx").alias("_last"))
-    src = samples.join(last, key).withColumn(
+    n_rows = samples.count()
+    last = samples.groupBy(key).agg(F.max("sample_idx").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    src = join_counted(samples, last, key, "_n", n_rows).withColumn(
         "sigma", F.when(F.col("sample_idx") < F.col("_last"), F.col("sigma") + 1e-5).otherwise(F.col("sigma"))
     )
     w = ray_weights(src, keys, chunk=chunk)
-    total = w.groupBy(key).agg(F.sum("weight").alias("_sum"))
-    w = w.join(total, key).withColumn("pdf", F.col("weight") / F.col("_sum"))
+    total = w.groupBy(key).agg(F.sum("weight").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    w = join_counted(w, total, key, "_n", n_rows).withColumn("pdf", F.col("weight") / F.col("_sum"))
     w = running(w, keys, "sample_idx", F.col("pdf"), "lo", chunk=chunk).withColumn("hi", F.col("lo") + F.col("pdf"))
     half = F.col("step") / 2.0
     w = w.withColumn("end", F.when(F.col("sample_idx") == F.col("_last"), F.lit(geom.RAY_FAR)).otherwise(F.col("depth") + half))

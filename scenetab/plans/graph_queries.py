@@ -18,7 +18,13 @@ def _(t):
     return G.keypoints_in_useable_radius(t.keypoints, cams).select("image_idx", "kp_idx")
 
 
-@query("thin_keypoints")
+# one keypoint of each image per round, compared with those kept so far
+@query("thin_keypoints", "keypoints", """WITH RECURSIVE k AS (SELECT image_idx, kp_idx, x, y, row_number() OVER (PARTITION BY image_idx ORDER BY kp_idx) AS n FROM keypoints),
+f(image_idx, n, kept) USING KEY (image_idx) AS (
+SELECT image_idx, CAST(0 AS BIGINT), CAST([] AS STRUCT(k BIGINT, x DOUBLE, y DOUBLE)[]) FROM (SELECT DISTINCT image_idx FROM k) i
+UNION SELECT f.image_idx, k.n, CASE WHEN len(list_filter(f.kept, lambda e: sqrt((e.x - k.x)**2 + (e.y - k.y)**2) < 8)) > 0 THEN f.kept
+ELSE list_append(f.kept, {'k': k.kp_idx, 'x': k.x, 'y': k.y}) END FROM f JOIN k ON k.image_idx = f.image_idx AND k.n = f.n + 1)
+SELECT image_idx, e.k AS kp_idx FROM (SELECT image_idx, unnest(kept) AS e FROM f) q""")
 def _(t):
     return G.thin_keypoints(t.keypoints, 8.0).select("image_idx", "kp_idx")
 
@@ -68,7 +74,13 @@ def _(t):
     return G.matches_per_image(t.matches, _images(t))
 
 
-@query("order_by_connectivity")
+@query("order_by_connectivity", "matches", """WITH RECURSIVE i AS (SELECT DISTINCT event_id % 25 AS img FROM events),
+e AS (SELECT image_idx1 AS a, image_idx2 AS img FROM matches UNION ALL SELECT image_idx2, image_idx1 FROM matches),
+w AS (SELECT a, img, count(*) AS w FROM e GROUP BY ALL),
+f(n, chosen) AS (SELECT CAST(1 AS BIGINT), [img] FROM (SELECT i.img, count(e.a) AS s FROM i LEFT JOIN e USING (img) GROUP BY i.img ORDER BY s DESC, i.img LIMIT 1) q
+UNION ALL SELECT n + 1, list_append(chosen, img) FROM (SELECT f.n, f.chosen, i.img, coalesce(sum(CASE WHEN list_contains(f.chosen, w.a) THEN w.w END), 0) AS s
+FROM f JOIN i ON NOT list_contains(f.chosen, i.img) LEFT JOIN w ON w.img = i.img GROUP BY ALL) q QUALIFY row_number() OVER (ORDER BY s DESC, img) = 1)
+SELECT unnest(range(n)) AS position, unnest(chosen) AS image_idx FROM (SELECT * FROM f ORDER BY n DESC LIMIT 1) q""")
 def _(t):
     return G.order_by_connectivity(t.matches, t.events.select((F.col("event_id") % 25).alias("image_idx")).distinct())
 
@@ -179,6 +191,14 @@ def _(t):
     return rounded(G.track_points(t.tracks, obs, px, F.lit(20), F.lit(20)), 9)
 
 
-@query("farthest_first")
+def _next_farthest(i: int) -> str:
+    chosen = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(i))
+    return f"""c{i} AS MATERIALIZED (SELECT p.* FROM p JOIN ({chosen}) q ON true GROUP BY ALL HAVING min(sqrt((p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2)) > 0
+ORDER BY min(sqrt((p.x - q.x)**2 + (p.y - q.y)**2 + (p.z - q.z)**2)) DESC, p.cam_idx LIMIT 1)"""
+
+
+@query("farthest_first", "views", f"""WITH p AS (SELECT cam_idx, -(r00*t0 + r10*t1 + r20*t2) AS x, -(r01*t0 + r11*t1 + r21*t2) AS y, -(r02*t0 + r12*t1 + r22*t2) AS z FROM views),
+c0 AS MATERIALIZED (SELECT * FROM p ORDER BY sqrt(x*x + y*y + z*z), cam_idx LIMIT 1), {", ".join(_next_farthest(i) for i in range(1, 8))}
+{" UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS position, cam_idx FROM c{i}" for i in range(8))}""")
 def _(t):
     return G.farthest_first(t.views, 8)

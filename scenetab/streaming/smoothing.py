@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,8 +13,18 @@ STATE = "smooth DOUBLE"
 OUTPUT = "run STRING, step BIGINT, smooth DOUBLE"
 
 
+def averages(values: np.ndarray, keep: float) -> np.ndarray:
+    """x[0] = v[0], x[i] = keep * x[i-1] + (1 - keep) * v[i]; a NaN makes all that follow NaN."""
+    out = pd.Series(values).ewm(alpha=1.0 - keep, adjust=False).mean().to_numpy().copy()
+    out[np.logical_or.accumulate(np.isnan(values))] = np.nan
+    return out
+
+
 class Smoother(StatefulProcessor):
-    """One number per series; rows of a batch are taken in order of step."""
+    """One number per series; rows of a batch are taken in order of step.
+
+    A run's rows of one micro-batch meet in a task, so the source's ``maxFilesPerTrigger`` bounds what it holds.
+    """
 
     def __init__(self, keep: float):
         self.keep = keep
@@ -23,13 +34,13 @@ class Smoother(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("step")
-        x = self.state.get()[0] if self.state.exists() else None
-        out = []
-        for v in pdf["loss"]:
-            x = v if x is None else self.keep * x + (1.0 - self.keep) * v
-            out.append(x)
-        self.state.update((float(x),))
-        yield pd.DataFrame({"run": key[0], "step": pdf["step"].to_numpy(), "smooth": out})
+        loss = pdf["loss"].to_numpy("float64")
+        if self.state.exists():
+            smooth = averages(np.concatenate([[self.state.get()[0]], loss]), self.keep)[1:]
+        else:
+            smooth = averages(loss, self.keep)
+        self.state.update((float(smooth[-1]),))
+        yield pd.DataFrame({"run": key[0], "step": pdf["step"].to_numpy(), "smooth": smooth})
 
     def close(self) -> None:
         pass

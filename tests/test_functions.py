@@ -3,14 +3,17 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scenetab.functions import geom
 from scenetab.functions.ranks import exact_rank, fraction_index, pick_at, take_smallest
 from scenetab.functions.scan import carry, carry_both, running
+from scenetab.functions.skew import join_counted
 from scenetab.operators.rays import importance_depths, ray_weights
 from scenetab.operators.series import moving_average
+from scenetab.streaming.smoothing import averages
 
 FISH = {"cam_model": "equiangular", "width": 301, "height": 101, "radius_at_90": 50.0, "cx": 150.0, "cy": 50.0, "k1": 0.05, "tilt": -0.01, "fx": 1.0, "fy": 1.0}
 
@@ -129,3 +132,33 @@ def test_moving_average_over_chunks(spark):
     for i, v in enumerate(vals):
         x = v if i == 0 else 0.9 * x + 0.1 * v
         assert math.isclose(got[i * 3], x, rel_tol=1e-11)
+
+
+def test_smoothing_on_arrays_is_the_loop():
+    rng = random.Random(5)
+    values = [rng.random() for _ in range(2000)]
+    for keep in (0.0, 0.3, 0.5, 0.9, 0.99):
+        x, loop = values[0], [values[0]]
+        for v in values[1:]:
+            x = keep * x + (1.0 - keep) * v
+            loop.append(x)
+        got = averages(np.array(values), keep)
+        assert np.allclose(got, loop, rtol=1e-12)
+        # a batch goes on from the last value of the one before
+        assert np.allclose(averages(np.array([got[999], *values[1000:]]), keep)[1:], loop[1000:], rtol=1e-12)
+    assert np.isnan(averages(np.array([1.0, np.nan, 2.0]), 0.5)).tolist() == [False, True, True]
+
+
+def test_hot_key_stays_spread_in_a_counted_join(spark):
+    rows = spark.range(8000).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("k"), "id").repartition(8, "id")
+    sums = rows.groupBy("k").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    got = join_counted(rows, sums, "k", "n", 8000)
+    assert sorted(map(tuple, got.collect())) == sorted((r.k, r.id, 7999 if r.k == 0 else r.k) for r in rows.collect())
+    largest = max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert largest < 2000
+
+
+def test_ties_are_cut_by_rank(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") < 10, 0.0).otherwise(1.0).alias("v"))
+    for n in (0, 5, 10, 11, 3000, 5000, 6000):
+        assert sorted(r.id for r in take_smallest(df, "v", "id", n).collect()) == list(range(min(n, 5000)))
