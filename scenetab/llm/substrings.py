@@ -203,30 +203,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        prefixes give its equal windows; an anchor that goes on in the next shard is looked up there by binary search.
        Windows of anchors with more than 4096 strings are dealt out by themselves, so that no shard has to hold them all.
 
-    Shards hold about 1 MB, whatever the corpus size. Texts move twice, to be cut and to lose their repeats.
+    Shards hold about 1 MB, whatever the corpus size. Texts move once; that shuffle serves both to cut the strings and to remove the
+    repeats (where ids repeat, texts move twice).
     """
     doc = F.col(id_col).cast("bigint")
     single = docs.groupBy(doc.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty()
     text = text_of(text_col).cast("binary")
-    tie = F.lit(0).cast("bigint") if single else F.xxhash64(doc.isNull(), text)
-    own = docs.select(F.col(id_col).alias("own"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("id"), tie.alias("tie"), text.alias("text"))
-    long = own.where(F.octet_length("text") >= width).select("id", "tie", "text")
-    long = long if single else long.dropDuplicates(["id", "tie"])
+    zero = F.lit(0).cast("bigint").alias("tie")
+    tie = zero if single else F.xxhash64(doc.isNull(), text)
     keys = ["id"] if single else ["id", "tie"]
+    own = docs.select(F.col(id_col).alias("own"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("id"), *([] if single else [tie.alias("tie")]), text.alias("text"))
+    once = own if single else own.dropDuplicates(keys)
+    long = once.where(F.octet_length("text") >= width).select("id", zero if single else "tie", "text")
     runs = long.mapInArrow(_runs(width), "gram long, whole long, id long, tie long, span long").select("gram", "whole", *keys, "span").repartition("gram")
     order, group = Window.partitionBy("gram").orderBy("whole", *keys, "span"), Window.partitionBy("gram")
     runs = runs.withColumn("copy", (F.col("span") % 2 == 1) | F.coalesce(F.lag("whole").over(order) == F.col("whole"), F.lit(False)))
     runs = runs.withColumn("other", F.min("whole").over(group) != F.max("whole").over(group)).withColumn("times", F.count(F.lit(1)).over(group))
     start, n = F.shiftright("span", 8).alias("start"), (F.shiftright("span", 1) % 128).alias("n")
-    runs = stored(runs.where("copy or other").select("gram", "id", F.lit(0).cast("bigint").alias("tie") if single else "tie", start, n, "times", "copy"), "runs")
+    runs = stored(runs.where("copy or other").select("gram", "id", zero if single else "tie", start, n, "times", "copy"), "runs")
 
-    asked = runs.where("not copy").groupBy("id", "tie").agg(F.collect_list(F.struct("gram", "start", "n", "times")).alias("asked"))
-    cut = long.join(asked, ["id", "tie"]).select("id", "tie", "text", "asked")
+    asked = runs.where("not copy").groupBy(*keys).agg(F.collect_list(F.struct("gram", "start", "n", "times")).alias("asked"))
+    # the same rows and columns of texts as below, so that both joins read one shuffle
+    cut = once.join(asked.hint("merge"), keys).select("own", "id", zero if single else "tie", "text", "asked")
     cut = cut.mapInArrow(_strings(width), "key long, id long, tie long, start long, string binary, n long")
     dealt = cut.repartition("key").sortWithinPartitions("key", "id", "tie", "start")
     repeats = dealt.mapInArrow(_search(width), "id long, tie long, start long, n long")
     gone = runs.where("copy").select("id", "tie", "start", "n").unionByName(repeats)
-    gone = gone.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    out = own.join(gone, ["id", "tie"], "left").select("own", "text", "runs")
+    gone = gone.groupBy(*keys).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    out = own.join(gone.hint("merge"), keys, "left").select("own", "text", "runs")
     kind = dict(docs.dtypes)[id_col]
     return out.mapInArrow(_remove(width), f"own {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("own", id_col)
