@@ -91,9 +91,10 @@ def mix_sizes(docs: DataFrame, weights: list[float], share: float = 1.0, limit:
 def mix(docs: DataFrame, weights: list[float], share: float = 1.0, limit: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: every row of ``docs``, with all its columns, as often as the mix takes it."""
     rates, _ = mixing_plan(docs, weights, share, limit, id_col, text_col, source_col)
-    names = docs.columns
-    rates = rates.select(F.col("_source").alias("_mix_s"), F.col("_base").alias("_mix_base"), F.col("_frac").alias("_mix_frac"), F.col("_seed").alias("_mix_seed"))
-    digest = docs.withColumn("_mix_d", _digest(id_col, text_col)).withColumn("_mix_a", _hex(F.col("_mix_d"), 1)).withColumn("_mix_b", _hex(F.col("_mix_d"), 14))
-    both = digest.join(broadcast_if_small(rates), F.col(source_col).eqNullSafe(F.col("_mix_s")))
-    copies = _copies(F.col("_mix_base"), F.col("_mix_frac"), F.col("_mix_seed"), limit)
-    return both.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*names)
+    rates = rates.select(F.col("_source").alias("_s"), "_base", "_frac", "_seed")
+    # the row travels as one column, so its names can't clash with these
+    rows = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("_source"), _digest(id_col, text_col).alias("_d"))
+    rows = rows.select("_row", "_source", _hex(F.col("_d"), 1).alias("_mix_a"), _hex(F.col("_d"), 14).alias("_mix_b"))
+    both = rows.join(broadcast_if_small(rates), F.col("_source").eqNullSafe(F.col("_s"))).drop("_source", "_s")
+    copies = _copies(F.col("_base"), F.col("_frac"), F.col("_seed"), limit)
+    return both.select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")

@@ -138,6 +138,9 @@ def test_mixing(odd, odd_rows):
     assert rows(mixing.mix_sizes(odd, [5.0, 2.0, 1.0])) == Counter(tuple(r) for r in got)
     full = mixing.mix(odd, [5.0, 2.0, 1.0])
     assert full.columns == odd.columns and full.count() == sum(r["copies"] for r in got)
+    # columns named like the operator's own keep their values
+    clash = mixing.mix(odd.withColumn("_mix_a", F.lit("a")).withColumn("_row", F.lit("r")), [5.0, 2.0, 1.0])
+    assert rows(clash.select(*odd.columns)) == rows(full) and rows(clash.select("_mix_a", "_row").distinct()) == Counter([("a", "r")])
 
 
 def test_mixing_comes_near_its_targets(spark):
