@@ -220,52 +220,189 @@ def blend_selection(
 # ---- relaxation --------------------------------------------------------------------------------------------------
 
 
+# cells along a side of the grid that one task solves directly
+COARSE = 32
+EDGES = {"wl": ("x", -1), "wr": ("x", 1), "wu": ("y", -1), "wd": ("y", 1)}
+
+
+def _grid(pdf: pd.DataFrame):
+    """(places in a flat grid with an empty rim, shape, function that lays a column out on it)."""
+    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+    y, x = y - y.min() + 1, x - x.min() + 1
+    shape = (y.max() + 2, x.max() + 2)
+    at = y * shape[1] + x
+
+    def lay(name: str) -> np.ndarray:
+        out = np.zeros(shape)
+        out.ravel()[at] = pdf[name].to_numpy()
+        return out
+
+    return at, shape, lay
+
+
+def _swept(sweeps: int, tile: int):
+    """Damped Jacobi sweeps of the correction ``z`` on one tile with its margin, and its product ``az`` with the matrix."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, _, lay = _grid(pdf)
+        z, r, c, wl, wr, wu, wd = (lay(n) for n in ("z", "r", "c", *EDGES))
+        d = c + wl + wr + wu + wd
+
+        def around() -> np.ndarray:
+            out = np.zeros_like(z)
+            out[1:-1, 1:-1] = (wl[1:-1, 1:-1] * z[1:-1, :-2] + wr[1:-1, 1:-1] * z[1:-1, 2:]
+                               + wu[1:-1, 1:-1] * z[:-2, 1:-1] + wd[1:-1, 1:-1] * z[2:, 1:-1])
+            return out
+
+        held = np.where(d > 0, d, 1.0)
+        for _ in range(sweeps):
+            z += np.where(d > 0, 0.8 * ((r + around()) / held - z), 0.0)
+        az = d * z - around()
+        pdf = pdf.assign(z=z.ravel()[at], az=az.ravel()[at])
+        home = (pdf["y"] // tile == pdf["ty"]) & (pdf["x"] // tile == pdf["tx"])
+        return pdf[home].drop(columns=["ty", "tx"])
+
+    return run
+
+
+def _solved(keys: list[str]):
+    """The coarsest grid of one frame, at most COARSE x COARSE cells, solved directly."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, shape, lay = _grid(pdf)
+        number = np.full(shape, -1)
+        number.ravel()[at] = np.arange(len(pdf))
+        d = pdf[["c", *EDGES]].sum(axis=1).to_numpy()
+        # a part without any fixed pixel has no single solution; the tiny addition picks the one that moves least
+        a = np.diag(np.where(d > 0, d * (1 + 1e-9), 1.0))
+        for name, (axis, step) in EDGES.items():
+            other = number.ravel()[at + step * (shape[1] if axis == "y" else 1)]
+            w = pdf[name].to_numpy()
+            has = (other >= 0) & (w > 0)
+            a[np.flatnonzero(has), other[has]] -= w[has]
+        return pdf[[*keys, "y", "x"]].assign(z=np.linalg.solve(a, np.where(d > 0, pdf["r"].to_numpy(), 0.0)))
+
+    return run
+
+
+def _coarser(level: DataFrame, keys: list[str]) -> DataFrame:
+    """The system of blocks of 2 x 2 cells. A step between blocks covers two cells, so edges between them count half."""
+    inner = {"wl": F.col("x") % 2 == 0, "wr": F.col("x") % 2 != 0, "wu": F.col("y") % 2 == 0, "wd": F.col("y") % 2 != 0}
+    up = level.select(*keys, F.shiftright("y", 1).alias("y"), F.shiftright("x", 1).alias("x"), "c", "r", *[F.when(edge, F.col(n) / 2).otherwise(0.0).alias(n) for n, edge in inner.items()])
+    return up.groupBy(*keys, "y", "x").agg(*[F.sum(n).alias(n) for n in ("c", "r", *EDGES)])
+
+
+def _corrected(state: DataFrame, keys: list[str], depth: int, sweeps: int, tile: int) -> DataFrame:
+    """``state`` with ``z``, an approximate solution for its residual ``r``, and ``az``, the product with the matrix.
+
+    The residual is summed up to the coarsest grid and solved there; on the way back each level starts from its parent's
+    solution and makes sweeps inside tiles, one shuffle a level.
+    """
+    levels = [state]
+    for _ in range(depth):
+        levels.append(_coarser(levels[-1], keys))
+    cell = T.StructType([f for f in levels[-1].schema if f.name in (*keys, "y", "x")])
+    z = levels[-1].groupBy(*keys).applyInPandas(_solved(keys), T.StructType(cell.fields + [T.StructField("z", T.DoubleType())]))
+    for level in reversed(levels[:-1]):
+        parent = z.select(*keys, F.col("y").alias("_py"), F.col("x").alias("_px"), "z")
+        both = level.withColumns({"_py": F.shiftright("y", 1), "_px": F.shiftright("x", 1)}).join(parent, [*keys, "_py", "_px"]).drop("_py", "_px")
+        cut = S.tiled(both, keys, sweeps + 1, None, tile)
+        kept = [f for f in cut.schema if f.name not in ("ty", "tx")]
+        z = cut.groupBy(*keys, "ty", "tx").applyInPandas(_swept(sweeps, tile), T.StructType(kept + [T.StructField("az", T.DoubleType())]))
+    return z
+
+
+def _fill_system(cur: DataFrame, keys: list[str], edge: float, shared: float, tile: int) -> DataFrame:
+    """One row per free pixel: weights of its edges to free neighbours, weight ``c`` of its fixed terms, residual ``r``."""
+    row, col = S._axes(keys)
+    t = S.tiled(cur, keys, 1, None, tile)
+    look = {"wl": (F.lag, row), "wr": (F.lead, row), "wu": (F.lag, col), "wd": (F.lead, col)}
+    t = t.withColumns({f"_{n}": fn(F.struct("_v", "_free", EDGES[n][0]), 1).over(w) for n, (fn, w) in look.items()})
+    t = S.untiled(t, None, tile).where("_free")
+    c, pull = F.col("_w") * F.col("_w"), F.lit(0.0)
+    for n, (axis, step) in EDGES.items():
+        near = F.col(f"_{n}")
+        there = F.coalesce(near[axis] == F.col(axis) + step, F.lit(False))
+        weight = F.when(there, F.when(near["_free"], F.lit(shared)).otherwise(F.lit(edge))).otherwise(F.lit(0.0))
+        t = t.withColumn(n, F.when(there & near["_free"], F.lit(shared)).otherwise(F.lit(0.0)))
+        c = c + F.when(there & ~near["_free"], F.lit(edge)).otherwise(F.lit(0.0))
+        pull = pull + F.when(there, weight * (near["_v"] - F.col("_v"))).otherwise(F.lit(0.0))
+    zero = F.lit(0.0)
+    # the data term starts at its own target, so only the neighbours pull
+    return t.select(*keys, "y", "x", *EDGES, c.alias("c"), F.col("_v").alias("v"), pull.alias("r"), zero.alias("p"), zero.alias("q"), "_b", F.lit(False).alias("_held"))
+
+
 def relax_grid(
     pixels: DataFrame, value: str, keys: list[str] | None = None, mask: str | None = None, weight: str | None = None,
-    upper: str | None = None, smooth: float = 3.0, sweeps: int = 8, tol: float = 1e-4, max_rounds: int = 100, tile: int = S.TILE,
+    upper: str | None = None, smooth: float = 3.0, sweeps: int = 4, tol: float = 1e-4, max_rounds: int = 60, tile: int = S.TILE,
 ) -> DataFrame:
-    """Smooth fill by Jacobi sweeps over all frames at once.
+    """Smooth fill: the least-squares solution over all frames at once, to within ``tol``.
+
+    With ``mask`` the masked pixels minimize squared differences to their four neighbours (an edge between two masked
+    pixels counts twice, since both ask for the smoothness). With ``weight`` every pixel keeps a data term of that weight.
+    ``upper`` softly keeps a masked pixel 2/255 below a bound. Pixels outside the mask stay.
 
-    With ``mask`` the masked pixels relax towards their four neighbours (a masked neighbour counts twice, since both
-    pixels ask for the smoothness). With ``weight`` every pixel keeps a data term of that weight. A round makes ``sweeps``
-    sweeps inside tiles after one shuffle, then is written to the checkpoint folder; rounds stop at the tolerance, and
-    it is an error if they don't reach it. The tolerance is on the change of a round: wide holes need a small one.
-    ``upper`` softly keeps a masked pixel 2/255 below a bound.
+    The normal equations are solved by conjugate directions over coarse grids: each round sums the residual into ever
+    larger blocks, solves the coarsest grid of each frame (at most 32 x 32 cells), and refines the correction level by
+    level with sweeps inside tiles, so a hole of any width takes about as many rounds. A round cuts the change to a half or
+    less; rounds stop when a whole round moves no pixel by more than a quarter of ``tol``. It is an error if that isn't
+    reached in ``max_rounds``. Bounds hold for the pixels above them; that set is fixed, solved for and looked at again.
     """
     keys = keys or ["frame_idx"]
-    cur = pixels.withColumns({"_v": F.col(value).cast("double"), "_t": F.col(value).cast("double")})
-    free = F.lit(True) if mask is None else F.col(mask)
-    cur = cur.select(*keys, "y", "x", "_v", "_t", free.alias("_free"), (F.lit(0.0) if weight is None else F.col(weight)).alias("_w"),
-                     (F.lit(None).cast("double") if upper is None else F.col(upper) - 2.0 / 255.0).alias("_b"))
-    row, col = S._axes(keys)
+    free = F.lit(True) if mask is None else F.coalesce(F.col(mask).cast("boolean"), F.lit(False))
+    cur = pixels.select(
+        *keys, F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), F.col(value).cast("double").alias("_v"), free.alias("_free"),
+        (F.lit(0.0) if weight is None else F.col(weight).cast("double")).alias("_w"),
+        (F.lit(None).cast("double") if upper is None else F.col(upper) - 2.0 / 255.0).alias("_b"),
+    )
+    edge, shared = (1.0, 2.0) if weight is None else (2.0 * smooth * smooth,) * 2
+    state = cut_lineage(_fill_system(cur, keys, edge, shared, tile))
+    span = state.groupBy(*keys).agg(F.greatest(F.max("y") - F.min("y"), F.max("x") - F.min("x")).alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = 1
+    while (span >> depth) + 2 > COARSE:
+        depth += 1
+    moved, loose = 0.0, 0
     for _ in range(max_rounds):
-        t = S.tiled(cur, keys, sweeps, None, tile).withColumn("_old", F.col("_v"))
-        t = t.withColumn("_k", F.when(F.col("_free"), F.lit(2.0)).otherwise(F.lit(1.0)))
-        for _s in range(sweeps):
-            both = F.struct(F.col("_v").alias("v"), F.col("_k").alias("k"))
-            t = t.withColumns({f"_{n}": fn(both, 1).over(w) for n, fn, w in (("l", F.lag, row), ("r", F.lead, row), ("u", F.lag, col), ("d", F.lead, col))})
-            near = [(F.col(f"_{n}.v"), F.col(f"_{n}.k")) for n in "lrud"]
-            if weight is None:
-                num = sum((F.coalesce(v * k, F.lit(0.0)) for v, k in near), F.lit(0.0))
-                den = sum((F.coalesce(k, F.lit(0.0)) for _v, k in near), F.lit(0.0))
-            else:
-                g = 2.0 * smooth * smooth
-                w2 = F.col("_w") * F.col("_w")
-                num = w2 * F.col("_t") + g * sum((F.coalesce(v, F.lit(0.0)) for v, _k in near), F.lit(0.0))
-                den = w2 + g * sum((F.when(k.isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)) for _v, k in near), F.lit(0.0))
-            t = t.withColumns({"_num": num, "_den": den}).drop("_l", "_r", "_u", "_d")
-            plain = geom.div(F.col("_num"), F.col("_den"))
-            held = (F.col("_num") + F.col("_b")) / (F.col("_den") + 1.0)
-            best = F.when(F.col("_b").isNotNull() & (plain > F.col("_b")), held).otherwise(plain)
-            t = t.withColumn("_v", F.when(F.col("_free") & (F.col("_den") > 0), best).otherwise(F.col("_v"))).drop("_num", "_den")
-        nxt = cut_lineage(S.untiled(t, None, tile))
-        change = nxt.agg(F.max(F.abs(F.col("_v") - F.col("_old"))).alias("c")).first()["c"]
-        cur = nxt.drop("_old", "_k")
-        if change is None or change <= tol:
+        if upper is not None:
+            above = F.coalesce(F.col("v") > F.col("_b"), F.lit(False))
+            turned = (above != F.col("_held")) & (F.abs(F.col("v") - F.col("_b")) > tol / 4)
+            change = F.when(~turned, 0).when(above, 1).otherwise(-1)
+            state = state.withColumn("_turn", F.coalesce(change, F.lit(0)))
+            loose = state.where("_turn <> 0").limit(1).count()
+            state = state.withColumns({"c": F.col("c") + F.col("_turn"), "r": F.col("r") + F.col("_turn") * F.coalesce(F.col("_b") - F.col("v"), F.lit(0.0)), "_held": F.col("_held") != (F.col("_turn") != 0)}).drop("_turn")
+            if loose:  # another matrix: directions start anew
+                state = state.withColumns({"p": F.lit(0.0), "q": F.lit(0.0)})
+            elif _ and moved <= tol / 4:
+                break
+        both = cut_lineage(_corrected(state, keys, depth, sweeps, tile))
+        dots = {"rz": ("r", "z"), "rp": ("r", "p"), "zaz": ("z", "az"), "zq": ("z", "q"), "pq": ("p", "q")}
+        steps = both.groupBy(*keys).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"_{n}") for n, (a, b) in dots.items()])
+        steps = steps.withColumn("_beta", F.when(F.col("_pq") > 0, F.col("_zq") / F.col("_pq")).otherwise(0.0))
+        along = F.col("_zaz") - F.col("_beta") * F.col("_zq")
+        steps = cut_lineage(steps.select(*keys, "_beta", F.when(along > 0, (F.col("_rz") - F.col("_beta") * F.col("_rp")) / along).otherwise(0.0).alias("_alpha")))
+        state = both.join(broadcast_if_small(steps), keys).withColumns({"p": F.col("z") - F.col("_beta") * F.col("p"), "q": F.col("az") - F.col("_beta") * F.col("q")})
+        state = state.withColumns({"v": F.col("v") + F.col("_alpha") * F.col("p"), "r": F.col("r") - F.col("_alpha") * F.col("q"), "_by": F.abs(F.col("_alpha") * F.col("p"))})
+        moved = state.agg(F.max("_by")).first()[0] or 0.0
+        state = state.drop("z", "az", "_beta", "_alpha", "_by")
+        if moved <= tol / 4 and upper is None:
             break
     else:
-        raise RuntimeError(f"the fill still moves by {change} after {max_rounds} rounds of {sweeps} sweeps")
-    return cur.select(*keys, "y", "x", geom.clamp(F.col("_v"), 0.0, 1.0).alias(value))
+        raise RuntimeError(f"the fill still moves by {moved} after {max_rounds} rounds")
+    filled = state.select(*keys, "y", "x", F.col("v").alias("_new"))
+    out = cur.select(*keys, "y", "x", "_v").join(filled, [*keys, "y", "x"], "left")
+    return out.select(*keys, "y", "x", geom.clamp(F.coalesce("_new", "_v"), 0.0, 1.0).alias(value))
+
+
+def relax_grid_small(pixels: DataFrame, value: str, factor: int, mask: str, keys: list[str] | None = None, upper: str | None = None, tile: int = S.TILE, **how) -> DataFrame:
+    """``relax_grid`` on frames shrunk by a whole ``factor``; the small frames are the result.
+
+    Values, mask and bound are averaged over blocks; a block is filled if at least half of it is masked. Frame sides should
+    be multiples of the factor: blocks at a cut edge average what they have.
+    """
+    keys = keys or ["frame_idx"]
+    both = pixels.withColumn("_mask", F.col(mask).cast("boolean").cast("double"))
+    small = S.shrink(both, keys, [value, "_mask", *([upper] if upper else [])], factor).withColumn("_mask", F.col("_mask") >= 0.5)
+    return relax_grid(small, value, keys, mask="_mask", upper=upper, tile=tile, **how)
 
 
 # ---- between-frame views -----------------------------------------------------------------------------------------
