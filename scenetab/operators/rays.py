@@ -137,6 +137,10 @@ def ray_distortion(weighted: DataFrame, key: str, chunk: int = CHUNK) -> DataFra
     return src.groupBy(key).agg((size + F.sum(pair) / (n * n)).alias("distortion"))
 
 
+# draws repeat after so many numbers
+DRAWS = 1 << 31
+
+
 def shell_bounds(pixels: DataFrame, cols: tuple[str, str, str] = ("invd0", "invd1", "invd2")) -> DataFrame:
     """Two shell distances per pixel between three layers of inverse depth in any order."""
     s = F.array_sort(F.array(*cols))
@@ -147,11 +151,21 @@ def shell_bounds(pixels: DataFrame, cols: tuple[str, str, str] = ("invd0", "invd
     return src.withColumns({"near_shell": at(1), "far_shell": at(0)}).drop("_s")
 
 
+def _open_pixels(cams: DataFrame, pixels: DataFrame, limit_radius: bool) -> DataFrame:
+    """Pixels that a draw can hit: not ignored, not in the last row or column, some corner inside the useable radius."""
+    seen = pixels.where(~F.col("ignore")).select("cam_idx", "y", "x").join(cams, "cam_idx")
+    seen = seen.where((F.col("x") < F.col("width") - 1) & (F.col("y") < F.col("height") - 1))
+    if limit_radius:
+        near = lambda a, c: F.greatest(F.lit(0.0), F.col(a) - F.col(c), F.col(c) - F.col(a) - 1)
+        seen = seen.where((F.col("cam_model") != "equiangular") | (geom.norm(near("x", "cx"), near("y", "cy")) < F.col("useable_radius")))
+    return seen
+
+
 def sample_rays(cams: DataFrame, pixels: DataFrame, n: int, seed: int, limit_radius: bool = True) -> DataFrame:
     """n rays through unmasked pixels of random images: origin, world direction, target colour.
 
     ``cams`` has dense ``row`` numbers from 0; ``pixels`` is keyed by cam_idx with ``ignore``. Draws are rejected by filters
-    and more are drawn until enough are left; the first n by draw number are kept.
+    and more are drawn until enough are left; the first n by draw number are kept. It is an error if no pixel can be drawn.
     """
     spark = cams.sparkSession
     n_cams = cams.count()
@@ -167,8 +181,8 @@ def sample_rays(cams: DataFrame, pixels: DataFrame, n: int, seed: int, limit_rad
         ok = d.join(pixels.where("ignore").select("cam_idx", "y", "x"), ["cam_idx", "y", "x"], "left_anti")
         if ok.limit(n).count() >= n:
             break
-        if m > 1000 * n:
-            raise ValueError("hardly any pixel is left to draw from")
+        if m > 1000 * n and (m > DRAWS or _open_pixels(cams, pixels, limit_radius).isEmpty()):
+            raise ValueError("no pixel is left to draw from")
         m *= 2
     first = take_smallest(ok.drop("y", "x"), "id", "id", n)
     colors = sample_bilinear(first.select("id", "cam_idx", "u", "v", "width", "height"), pixels, ["id"], "cam_idx", ["b", "g", "r"], F.col("width"), F.col("height"))

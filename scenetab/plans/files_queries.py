@@ -17,6 +17,7 @@ from scenetab.operators.splats import splat_wire_form
 from scenetab.plans import sqltext as S
 from scenetab.plans.layers_queries import _LAYERS, _layers
 from scenetab.plans.registry import query, rnd, rounded
+from scenetab.plans.splats_queries import _WIRE
 from scenetab.sources import clouds as C
 from scenetab.sources import manifests as M
 from scenetab.sources import media as D
@@ -145,7 +146,13 @@ def _(t):
     return lines.where("ord.s = 3").select(F.col("ord.k").alias("k"), "value")
 
 
-@query("read_splat_ply")
+_F32 = lambda e: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)"
+_DC = lambda c: f"least(greatest(0.5 + {_F32(f'({c} - 0.5) / {C.SH_C0}')} * {C.SH_C0}, 0), 1)"
+_SPLAT = [*[f"{c}={_F32(c)}" for c in "xyz"], *[f"{c}={_DC(c)}" for c in ("cr", "cg", "cb")], f"ca=1 / (1 + exp(-{_F32('4 * ca - 2')}))",
+          *[f"e{i}=least({_F32(f'e{i}')}, 0)" for i in range(3)], *[f"q{i}={_F32(f'q{i}')}" for i in range(4)]]
+
+
+@query("read_splat_ply", "splats", f"WITH {_WIRE} SELECT {rnd('; '.join(_SPLAT), 5)} FROM wire")
 def _(t):
     """Splats written as one file per frame, then read by ranges of records."""
     path = scratch_path(t.spark, "ply")
@@ -157,6 +164,7 @@ def _(t):
             rec[c] = pdf[c]
         for i, c in enumerate(("cr", "cg", "cb")):
             rec[f"dc{i}"] = (pdf[c] - 0.5) / C.SH_C0
+        rec["opacity"] = 4 * pdf["ca"] - 2
         where, p = C._open_fs(path)
         where.create_dir(p, recursive=True)
         with where.open_output_stream(f"{p}/frame_{pdf['frame_idx'].iloc[0]:06d}.ply") as f:
@@ -164,7 +172,7 @@ def _(t):
         return pd.DataFrame({"n": [len(pdf)]})
 
     wire.groupBy("frame_idx").applyInPandas(write, "n long").agg(F.sum("n")).collect()
-    return rounded(C.read_splat_ply(t.spark, path, 300))
+    return rounded(C.read_splat_ply(t.spark, path, 300), 5)
 
 
 def _graph_lines(t):

@@ -232,10 +232,14 @@ SPLAT_USED = ["x", "y", "z", "dc0", "dc1", "dc2", "opacity", "e0", "e1", "e2", "
 
 class SplatPlyReader(RecordReader):
     def header(self, where, path):
-        n = 0
+        text, mark = b"", b"end_header\n"
         with where.open_input_file(path) as f:
-            text = f.read(1 << 16)
-        end = text.index(b"end_header\n") + len(b"end_header\n")
+            while mark not in text:
+                more = f.read(1 << 16)
+                if not more:
+                    raise ValueError(f"{path}: the header has no end")
+                text += more
+        end = text.index(mark) + len(mark)
         found = re.search(rb"element vertex (\d+)", text[:end])
         n = int(found[1]) if found else 0
         return end, n
