@@ -85,7 +85,15 @@ def _frame_cams(t):
 _FRAME_CAMS = f"{S.SMALL}, fcam AS (SELECT s.* REPLACE (f.frame_idx AS cam_idx) FROM (SELECT DISTINCT frame_idx FROM pixels) f JOIN small s ON s.cam_idx = f.frame_idx % 25)"
 
 
-@query("sample_rays")
+# twenty draws for a ray: rejections never use them up
+@query("sample_rays", "cams pixels", f"""WITH {_FRAME_CAMS}, m AS (SELECT CAST(floor(count(*) / 10) AS BIGINT) AS n FROM pixels), fc AS (SELECT count(*) AS c FROM fcam),
+d AS (SELECT id, CAST(floor({S.h('id', 93)} * fc.c) AS BIGINT) AS row_, {S.h('id', 94)} AS a_, {S.h('id', 95)} AS b_ FROM (SELECT unnest(range(20 * n)) AS id FROM m), fc),
+e AS (SELECT id, f.cam_idx AS frame_idx, a_ * (f.width - 1) AS u, b_ * (f.height - 1) AS v, f.* FROM d JOIN fcam f ON f.cam_idx = d.row_),
+q AS (SELECT e.* FROM e JOIN pixels px ON px.frame_idx = e.frame_idx AND px.y = floor(e.v) AND px.x = floor(e.u)
+WHERE px.a <= 0.7 AND (e.cam_model <> 'equiangular' OR sqrt((e.u - e.cx)**2 + (e.v - e.cy)**2) <= e.useable_radius) QUALIFY row_number() OVER (ORDER BY e.id) <= (SELECT n FROM m)),
+{S.bilinear('q', 'id', 'frame_idx', 'pixels', ['b', 'g', 'r'], '20', '20')}, {S.rays('q')}
+SELECT id, cam_idx, {rnd('u; v; ox=-(r00*t0 + r10*t1 + r20*t2); oy=-(r01*t0 + r11*t1 + r21*t2); oz=-(r02*t0 + r12*t1 + r22*t2)')},
+{rnd('dx=r00*rx + r10*ry + r20*rz; dy=r01*rx + r11*ry + r21*rz; dz=r02*rx + r12*ry + r22*rz; b; g; r')} FROM ry JOIN bl USING (id)""")
 def _(t):
     cams = _frame_cams(t).withColumn("row", F.col("cam_idx"))
     n = t.pixels.count() // 10
