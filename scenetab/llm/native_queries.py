@@ -77,4 +77,17 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(documents(spark, sf_dir), [1.0] * SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+# the checksum goes byte by byte through a table made from its polynomial
+ORACLES["op10_sharding"] = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+tab AS (SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) g(i)),
+b AS (SELECT r, list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: CAST('0x' || h AS BIGINT))) AS bs FROM d),
+c AS (SELECT r, xor(list_reduce(bs, lambda c, x: xor(c >> 8, tab[xor(c, x) % 256 + 1])), CAST(4294967295 AS BIGINT)) AS crc FROM b, tab),
+w AS (SELECT r, CAST(s AS INT) AS s, -ln((CAST(CAST('0x' || substr(md5(k || ':' || s), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / CAST({1 << 52} AS DOUBLE)) AS wait FROM d, range({SHARDS + 1}) g(s)),
+own AS (SELECT r, s AS shard FROM w WHERE s < {SHARDS} QUALIFY row_number() OVER (PARTITION BY r ORDER BY wait, s) = 1),
+grown AS (SELECT r, s AS grown_shard FROM w QUALIFY row_number() OVER (PARTITION BY r ORDER BY wait, s) = 1),
+a AS (SELECT doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size, crc, shard, grown_shard, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), t)), 1, 13) AS BIGINT) AS place
+FROM d JOIN c USING (r) JOIN own USING (r) JOIN grown USING (r))
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, crc, size) - 1 AS slot, grown_shard FROM a"""
+
+
 QUERIES |= {f.__name__: f for f in (op1_line_dedup, op4_mixing, op8_decontamination, op10_sharding)}
