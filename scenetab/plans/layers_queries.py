@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scenetab.operators import layers as L
@@ -235,6 +236,29 @@ def _(t):
     return rounded(L.relax_grid(t.pixels, "invd", weight="a", smooth=0.3, sweeps=4, tol=1e-3, tile=32), 4)
 
 
+# A hole that leaves the border only. Edges to fixed pixels weigh half, so they span two steps of the slope that fills it.
+_SLOPE = "(frame_idx % 5) / CAST(10 AS DOUBLE) + (1 - (frame_idx % 3) / CAST(10 AS DOUBLE) - (frame_idx % 5) / CAST(10 AS DOUBLE)) * (CASE WHEN x = 0 THEN 0 WHEN x = 19 THEN 21 ELSE x + 1 END) / 21"
+
+
+@query("relax_grid_hole", "pixels", f"SELECT {ID}, {rnd(f'want={_SLOPE}; error=0', 4)} FROM pixels")
+def _(t):
+    src = t.pixels.select("frame_idx", "y", "x", F.expr(_SLOPE).alias("want"), (F.col("y").between(1, 18) & F.col("x").between(1, 18)).alias("m"))
+    got = L.relax_grid(src.withColumn("v", F.when(F.col("m"), 0.0).otherwise(F.col("want"))), "v", mask="m", tile=32)
+    both = src.select("frame_idx", "y", "x", "want").join(got, ["frame_idx", "y", "x"])
+    return rounded(both.select("frame_idx", "y", "x", "want", F.round(F.col("v") - F.col("want"), 3).alias("error")), 4)
+
+
+# targets made so that b solves the weighted problem: the pull of the neighbours is added to it
+@query("relax_grid_known", "pixels", f"SELECT {ID}, {rnd('want=b; error=0', 4)} FROM pixels")
+def _(t):
+    src = t.pixels.select("frame_idx", "y", "x", F.col("b").cast("double").alias("want"), (F.col("a") * 0.5 + 0.5).alias("w"))
+    row, col = Window.partitionBy("frame_idx", "y").orderBy("x"), Window.partitionBy("frame_idx", "x").orderBy("y")
+    pull = sum((F.coalesce(F.col("want") - f("want").over(w), F.lit(0.0)) for f in (F.lag, F.lead) for w in (row, col)), F.lit(0.0))
+    got = L.relax_grid(src.withColumn("v", F.col("want") + 2 * 0.3 * 0.3 * pull / (F.col("w") * F.col("w"))), "v", weight="w", smooth=0.3, tile=32)
+    both = src.select("frame_idx", "y", "x", "want").join(got, ["frame_idx", "y", "x"])
+    return rounded(both.select("frame_idx", "y", "x", "want", F.round(F.col("v") - F.col("want"), 3).alias("error")), 4)
+
+
 def _flow(t, sign=1.0):
     return t.pixels.select("frame_idx", "y", "x", (sign * (6 * F.col("g") - 3)).alias("fx"), (sign * (6 * F.col("r") - 3)).alias("fy"))
 
