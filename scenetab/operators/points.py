@@ -104,7 +104,7 @@ def visibility_count(points: DataFrame, cams: DataFrame, key: list[str], scene:
         return (z >= 0) & (u >= 0) & (v >= 0) & (u < w) & (v < h)
 
     value = F.size(F.filter(_rig_pixels(), sees))
-    out = over_rig(points, cams, key, F.coalesce(value, F.lit(0)), F.sum, scene)
+    out = over_rig(points, cams, F.coalesce(value, F.lit(0)), F.sum, scene)
     return out.withColumnRenamed("value", "visible_in").withColumn("visible_in", F.col("visible_in").cast("bigint"))
 
 
@@ -126,7 +126,7 @@ def visible_to_any(splats: DataFrame, cams: DataFrame, key: list[str], scene: st
         F.coalesce(F.exists("rig", close), F.lit(False)).alias("c"),
     )
     merge = lambda c: F.struct(F.bool_or(c.getField("w")).alias("w"), F.bool_or(c.getField("c")).alias("c"))
-    out = over_rig(splats, cams, key, both, merge, scene)
+    out = over_rig(splats, cams, both, merge, scene)
     return out.withColumn("visible", F.col("value.w") & ~F.col("value.c")).drop("value")
 
 
@@ -194,7 +194,7 @@ def color_points(points: DataFrame, cams: DataFrame, pixels: DataFrame, key: lis
         )
 
     first = F.get(F.filter(F.transform(_rig_pixels(), view), lambda s: s.isNotNull()), 0)
-    seen = over_rig(points, cams, key, first, F.min, scene).where(F.col("value").isNotNull())
+    seen = over_rig(points, cams, first, F.min, scene).where(F.col("value").isNotNull())
     where = seen.select(*key, "value.*")
     colors = sample_bilinear(where, pixels, key, "cam_idx", ["b", "g", "r"], F.col("w"), F.col("h"))
     return points.drop("r", "g", "b").join(colors, key)

@@ -35,19 +35,21 @@ def per_camera(df: DataFrame, cams: DataFrame, scene: str = "scene_id") -> DataF
 
 
 def over_rig(
-    df: DataFrame, cams: DataFrame, key: list[str], value: Column, combine, scene: str = "scene_id"
+    df: DataFrame, cams: DataFrame, value: Column, combine, scene: str = "scene_id"
 ) -> DataFrame:
     """Add ``value``, an expression over the array column ``rig``, without one row per camera.
 
-    Only when a scene spans several packed rows are the partial values combined with an aggregate by ``key``.
-    Rows whose scene has no camera keep a null value.
+    Only when a scene spans several packed rows are the partial values combined with an aggregate. It groups by whole rows
+    that were counted before, on the same columns, so repeated rows stay repeated in either case and the second
+    aggregate needs no shuffle of its own behind a broadcast. Rows whose scene has no camera keep a null value.
     """
     rig, single = rig_table(cams, scene)
-    part = settle(df.join(rig, scene, "left").withColumn("value", value).drop("rig"), ["value"])
+    rows = df if single else df.groupBy(*df.columns).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    part = settle(rows.join(rig, scene, "left").withColumn("value", value).drop("rig"), ["value"])
     if single:
         return part
-    rest = [c for c in df.columns if c not in key]
-    return part.groupBy(*key).agg(*[F.first(c).alias(c) for c in rest], combine(F.col("value")).alias("value"))
+    whole = part.groupBy(*df.columns, "_times").agg(combine(F.col("value")).alias("value"))
+    return whole.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*df.columns, "value")
 
 
 def in_cam(c: Column, x: str = "x", y: str = "y", z: str = "z") -> tuple[Column, Column, Column]:
