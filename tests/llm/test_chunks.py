@@ -1,11 +1,13 @@
 """Content-defined chunks against a byte-by-byte version."""
 
 import math
+import random
 from collections import Counter
 
 from odd_tables import none, odd, odd_rows, prose  # noqa: F401
 
 from scenetab.llm import chunks
+from scenetab.llm.model_queries import op3_chunk_dedup
 
 
 def plain_cuts(text, least=48, most=1024, bits=5):
@@ -54,3 +56,19 @@ def test_chunk_dedup(spark, odd, odd_rows):
 def test_repeated_rows_and_empty_tables(odd, none):
     got = chunks.chunk_dedup(odd)
     assert got.count() == odd.count() and chunks.chunk_dedup(none).count() == 0
+
+
+def test_passages_of_51_words_in_other_surroundings(spark, tmp_path):
+    rnd = random.Random(3)
+    vocabulary = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 7))) for _ in range(5000)]
+    words = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    rows, size = [], 0
+    for k in range(300):
+        passage = words(51)
+        size += len(passage)
+        rows += [(2 * k + i, f"{words(60)} {passage} {words(60)}") for i in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {r["doc_id"]: r["n_removed"] for r in op3_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert sum(gone[2 * k] for k in range(300)) == 0
+    assert min(gone[2 * k + 1] for k in range(300)) > 0
+    assert 0.7 * size <= sum(gone.values()) <= size
