@@ -57,9 +57,8 @@ def _chunks(least: int, most: int, bits: int):
             for d in np.lexsort((ties, ids)).tolist():
                 at = 0
                 for end in cuts(texts[d], least, most, bits):
-                    if end - at >= least:
-                        digest = xxhash.xxh3_128_digest(texts[d][at:end])
-                        doc.append(d), start.append(at), size.append(end - at), high.append(digest[:8]), low.append(digest[8:])
+                    digest = xxhash.xxh3_128_digest(texts[d][at:end])
+                    doc.append(d), start.append(at), size.append(end - at), high.append(digest[:8]), low.append(digest[8:])
                     at = end
             if not doc:
                 continue
@@ -79,9 +78,10 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row of ``docs``: (id_col, n_bytes, n_removed, n_spans, kept), ``kept`` being bytes.
 
     Of equal chunks (by a 128-bit digest) that in the document with the smallest id stays, within a document the first; all
-    others are removed. Of a copied passage in other surroundings go the chunks between the first and the last cut that both places
-    share, so the defaults need passages of some 100 words; finer chunks catch shorter ones. Chunks have ``least`` to about ``most`` bytes; a text shorter than ``least`` is kept as it is. Ids are whole
-    numbers, a null id comes last; rows of one id are ordered by a hash of their text, and rows equal in both are one document.
+    others are removed. Of a copied passage in other surroundings go the chunks between the first and the last cut that both
+    places share, so the defaults need passages of some 100 words; finer chunks catch shorter ones. Chunks have ``least`` to about
+    ``most`` bytes; a shorter text is one chunk, so whole copies of it go as well. Ids are whole numbers, a null id comes last;
+    rows of one id are ordered by a hash of their text, and rows equal in both are one document.
     A null text is empty; an empty table gives an empty result; other columns are ignored.
 
     A task settles equal chunks among its own rows, so a chunk that is everywhere meets in one task once per task only.

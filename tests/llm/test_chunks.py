@@ -72,3 +72,11 @@ def test_passages_of_51_words_in_other_surroundings(spark, tmp_path):
     assert sum(gone[2 * k] for k in range(300)) == 0
     assert min(gone[2 * k + 1] for k in range(300)) > 0
     assert 0.7 * size <= sum(gone.values()) <= size
+
+
+def test_copies_of_short_texts(spark):
+    texts = ["a", "short text", "short text", "a", "", "", None, "x" * 47, "x" * 47, "x" * 48, "x" * 48, "short texts", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    gone = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in chunks.chunk_dedup(df).collect()}
+    copies = {2, 3, 8, 10, 12}
+    assert gone == {k: (len(t or ""), b"") if k in copies else (0, (t or "").encode()) for k, t in enumerate(texts)}
