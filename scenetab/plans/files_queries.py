@@ -146,6 +146,20 @@ def _(t):
     return lines.where("ord.s = 3").select(F.col("ord.k").alias("k"), "value")
 
 
+@query("obj_meshes", "pixels", f"""WITH {_LAYERS}, c AS (SELECT frame_idx, CAST(layer * 400 + y * 20 + x AS BIGINT) AS i FROM ly WHERE (x-10)**2 + (y-10)**2 <= 49),
+f AS (SELECT frame_idx, i * 2 AS k, i AS a, i + 20 AS b, i + 1 AS c FROM c UNION ALL SELECT frame_idx, i * 2 + 1, i + 20, i + 21, i + 1 FROM c),
+q AS (SELECT *, 2*(x/19.0 - 0.5) AS a_, 2*(y/19.0 - 0.5) AS b_ FROM ly), p AS (SELECT *, sqrt(a_*a_ + b_*b_) AS r_, atan2(b_, a_) AS t_, least(greatest(0.1 / (1e-6 + invd), 0), 50) AS d FROM q),
+v AS (SELECT *, CAST(layer * 400 + y * 20 + x AS BIGINT) AS k, (0.5*r_ + 0.5*r_**3) * {S.PI} / 2 AS f FROM p)
+SELECT frame_idx, 0 AS section, CAST(i - 1001 AS BIGINT) AS k, ['mtllib mesh.mtl', 'usemtl mesh'][i] AS value FROM (SELECT DISTINCT frame_idx FROM pixels), range(1, 3) r(i)
+UNION ALL SELECT frame_idx, 1, k, concat_ws(' ', 'v', {_NUM('cos(t_)*sin(f)*d')}, {_NUM('-sin(t_)*sin(f)*d')}, {_NUM('-cos(f)*d')}) FROM v
+UNION ALL SELECT frame_idx, 2, k, concat_ws(' ', 'vt', {_NUM('x/19.0/3 + layer/3.0')}, {_NUM('1 - y/19.0')}) FROM v
+UNION ALL SELECT frame_idx, 3, k, concat('f ', a, '/', a, ' ', b, '/', b, ' ', c, '/', c) FROM f""")
+def _(t):
+    """All lines of one mesh per frame, over every frame."""
+    lines = C.obj_lines(*layer_mesh(_layers(t), 20), "mesh", "frame_idx")
+    return lines.select("frame_idx", F.col("ord.s").alias("section"), F.col("ord.k").alias("k"), "value")
+
+
 _F32 = lambda e: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)"
 _DC = lambda c: f"least(greatest(0.5 + {_F32(f'({c} - 0.5) / {C.SH_C0}')} * {C.SH_C0}, 0), 1)"
 _SPLAT = [*[f"{c}={_F32(c)}" for c in "xyz"], *[f"{c}={_DC(c)}" for c in ("cr", "cg", "cb")], f"ca=1 / (1 + exp(-{_F32('4 * ca - 2')}))",

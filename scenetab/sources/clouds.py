@@ -65,15 +65,22 @@ def pcd_lines(points: DataFrame, key: str = "point_id") -> DataFrame:
     return _header(points.sparkSession, head).unionByName(body)
 
 
-def obj_lines(vertices: DataFrame, triangles: DataFrame, name: str) -> DataFrame:
-    """(ord, value) of one mesh: vertices, texture positions, then faces in order of their ids."""
+def obj_lines(vertices: DataFrame, triangles: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """(ord, value) of one mesh: vertices, texture positions, then faces in order of their ids.
+
+    With a ``key`` (a frame): (key, ord, value), one mesh for each of its values that has a vertex or a triangle.
+    """
+    by = [key] if key else []
     head = [f"mtllib {name}.mtl", f"usemtl {name}"]
     o = lambda s, c: F.struct(F.lit(s).alias("s"), c.cast("bigint").alias("k")).alias("ord")
-    top = _header(vertices.sparkSession, head).select(o(0, F.col("ord")), "value")
-    v = vertices.select(o(1, F.col("vertex_id")), F.concat_ws(" ", F.lit("v"), *[_number(c) for c in ("vx", "vy", "vz")]).alias("value"))
-    vt = vertices.select(o(2, F.col("vertex_id")), F.concat_ws(" ", F.lit("vt"), *[_number(c) for c in ("tu", "tv")]).alias("value"))
+    top = _header(vertices.sparkSession, head)
+    if key:
+        top = vertices.select(key).unionByName(triangles.select(key)).distinct().crossJoin(F.broadcast(top))
+    top = top.select(*by, o(0, F.col("ord")), "value")
+    v = vertices.select(*by, o(1, F.col("vertex_id")), F.concat_ws(" ", F.lit("v"), *[_number(c) for c in ("vx", "vy", "vz")]).alias("value"))
+    vt = vertices.select(*by, o(2, F.col("vertex_id")), F.concat_ws(" ", F.lit("vt"), *[_number(c) for c in ("tu", "tv")]).alias("value"))
     corner = lambda c: F.concat_ws("/", F.col(c).cast("string"), F.col(c).cast("string"))
-    f = triangles.select(o(3, F.col("cell_id") * 2 + F.col("k")), F.concat_ws(" ", F.lit("f"), *[corner(c) for c in "abc"]).alias("value"))
+    f = triangles.select(*by, o(3, F.col("cell_id") * 2 + F.col("k")), F.concat_ws(" ", F.lit("f"), *[corner(c) for c in "abc"]).alias("value"))
     return top.unionByName(v).unionByName(vt).unionByName(f)
 
 
