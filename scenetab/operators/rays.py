@@ -208,14 +208,34 @@ def sample_depth_points(cams: DataFrame, pixels: DataFrame, n: int, seed: int, m
     return unproject(got.where(F.col("depth") >= geom.Z_NEAR), cams)
 
 
+def _depth_left(cams: DataFrame, pixels: DataFrame, masked: DataFrame, size: tuple[int, int], margin: float) -> DataFrame:
+    """The cameras with an unmasked pixel in whose part inside the margin some depth is enough.
+
+    Depth is bilinear between four pixels, so its largest value in that part is at one of the corners.
+    """
+    h, w = size
+    grid = cams.select("cam_idx").crossJoin(cams.sparkSession.range(h * w).select(F.floor(F.col("id") / w).alias("y"), (F.col("id") % w).alias("x")))
+    grid = grid.join(masked, ["cam_idx", "y", "x"], "left_anti")
+    # the upper sides belong to the next pixel; draws come nearer to them than this
+    ends = lambda c, n: (F.greatest(F.col(c) + 0.0, F.lit(n * margin)), F.least(F.col(c) + 1.0, F.lit(n - n * margin)) - n / DRAWS * 4)
+    (u0, u1), (v0, v1) = ends("x", w), ends("y", h)
+    corners = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), u.alias("u"), v.alias("v")) for k, (u, v) in enumerate([(u0, v0), (u0, v1), (u1, v0), (u1, v1)])])
+    corners = grid.where((u0 <= u1) & (v0 <= v1)).select("cam_idx", "y", "x", F.explode(corners).alias("c")).select("cam_idx", F.col("y").alias("_y"), F.col("x").alias("_x"), "c.*")
+    got = sample_bilinear(corners, pixels, ["cam_idx", "_y", "_x", "k"], "cam_idx", ["depth"], F.lit(w), F.lit(h))
+    return got.where(F.col("depth") >= geom.Z_NEAR).select("cam_idx").distinct()
+
+
 def sample_depth_points_exact(cams: DataFrame, pixels: DataFrame, size: tuple[int, int], n: int, seed: int, margin: float = 0.01) -> DataFrame:
-    """Single-image form: draws on a dilated mask or without depth are replaced until each camera has n points."""
+    """Single-image form: draws on a dilated mask or without depth are replaced until each camera has n points.
+
+    It is an error if a camera has no place left to draw from.
+    """
     h, w = size
     mask = pixels.select("cam_idx", "y", "x", F.when(F.col("ignore"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("m"))
     wide = untiled(dilate(tiled(mask, ["cam_idx"], 1), ["cam_idx"], ["m"], 1)).where("m > 0").select("cam_idx", "y", "x")
     per = 2 * n
     while True:
-        pts = cams.select("cam_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per - 1).cast("bigint"))).alias("k"))
+        pts = cams.select("cam_idx").crossJoin(cams.sparkSession.range(per).withColumnRenamed("id", "k"))
         did = F.col("cam_idx") * 1_000_000_007 + F.col("k")
         at = lambda dim, s: dim * margin + hash01(did, s) * (dim - 2.0 * dim * margin)
         pts = pts.withColumns({"u": at(w, seed), "v": at(h, seed + 1)}).withColumns({"y": F.floor("v"), "x": F.floor("u")})
@@ -223,10 +243,11 @@ def sample_depth_points_exact(cams: DataFrame, pixels: DataFrame, size: tuple[in
         got = sample_bilinear(pts, pixels, ["cam_idx", "k", "u", "v"], "cam_idx", ["depth", "b", "g", "r"], F.lit(w), F.lit(h))
         got = got.where(F.col("depth") >= geom.Z_NEAR)
         short = cams.select("cam_idx").join(got.groupBy("cam_idx").agg(F.count(F.lit(1)).alias("c")), "cam_idx", "left")
-        if short.where(F.coalesce("c", F.lit(0)) < n).isEmpty():
+        short = short.where(F.coalesce("c", F.lit(0)) < n)
+        if short.isEmpty():
             break
-        if per > 1000 * n:
-            raise ValueError("a camera has hardly any pixel left to draw from")
+        if per > 1000 * n and (per > DRAWS or not short.join(_depth_left(cams, pixels, wide, size, margin), "cam_idx", "left_anti").isEmpty()):
+            raise ValueError("a camera has no pixel left to draw from")
         per *= 2
     rank = F.row_number().over(Window.partitionBy("cam_idx").orderBy("k"))
     kept = got.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
