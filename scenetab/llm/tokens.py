@@ -20,9 +20,11 @@ TERMS = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 BLANKS = byte_table(bytes([32, *range(9, 14)]))
 
 
-def runs(text: bytes | None, table: bytes) -> Iterator[list[bytes]]:
-    """The words of ``text`` after translation, in lists of some RUN bytes each; null has none."""
+def runs(text: bytes | None, table: bytes, apart: bytes = b"") -> Iterator[list[bytes]]:
+    """The words of ``text`` after translation, in lists of some RUN bytes each; null has none. ``apart`` is a word wherever it stands."""
     data = (text or b"").translate(table)
+    if apart:
+        data = data.replace(apart, b" " + apart + b" ")
     at = 0
     while len(data) - at > RUN:
         end = data.find(b" ", at + RUN)
