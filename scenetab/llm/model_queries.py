@@ -17,8 +17,8 @@ def op2_suffix_dedup(spark, sf_dir):
 
 
 def op3_chunk_dedup(spark, sf_dir):
-    """With chunks fine enough for a passage of some 50 words to hold whole ones wherever it stands."""
-    out = chunks.chunk_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=16, bits=4)
+    """With chunks fine enough for a passage of some 50 words to hold a chain of them wherever it stands."""
+    out = chunks.chunk_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=16, bits=4, chain=100)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
