@@ -21,6 +21,8 @@ from scenetab.plans.splats_queries import _WIRE
 from scenetab.sources import clouds as C
 from scenetab.sources import manifests as M
 from scenetab.sources import media as D
+from scenetab.sources import rasters as R
+from scenetab.sources.paths import open_fs
 from scenetab.streaming import frames as SF
 from scenetab.streaming import progress as SP
 from scenetab.streaming.smoothing import stream_ewma
@@ -119,7 +121,17 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "bin")
     C.write_point_bin(t.points.repartition(4), path)
-    return rounded(C.read_point_bin(t.spark, path, 1000))
+    return rounded(C.read_point_bin(t.spark, path, 1000).drop("path"))
+
+
+@query("point_files_round_trip", "points", f"SELECT cloud_id, count(*) OVER (PARTITION BY cloud_id) AS n_points, {rnd('x=CAST(x AS FLOAT); y=CAST(y AS FLOAT); z=CAST(z AS FLOAT); r=floor(r * 255) / 255; g=floor(g * 255) / 255; b=floor(b * 255) / 255')} FROM points")
+def _(t):
+    """One complete file per cloud, written by all tasks at offsets, then read by ranges of bytes."""
+    path = scratch_path(t.spark, "clouds")
+    C.write_point_files(t.points.repartition(4), path, "cloud_id")
+    rows = C.read_point_bin(t.spark, path, 1000).withColumn("cloud_id", F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("bigint"))
+    sizes = rows.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_points"))
+    return rounded(rows.join(sizes, "cloud_id").select("cloud_id", "n_points", "x", "y", "z", "r", "g", "b"))
 
 
 _NUM = lambda c: f"printf('%.6f', {c} + 0.0)"
@@ -137,29 +149,47 @@ def _(t):
     return C.pcd_lines(t.points)
 
 
-@query("obj_faces", "pixels", f"""WITH {_LAYERS}, c AS (SELECT CAST(layer * 400 + y * 20 + x AS BIGINT) AS i FROM ly WHERE frame_idx = 1 AND (x-10)**2 + (y-10)**2 <= 49),
-f AS (SELECT i * 2 AS k, i AS a, i + 20 AS b, i + 1 AS c FROM c UNION ALL SELECT i * 2 + 1, i + 20, i + 21, i + 1 FROM c)
-SELECT k, concat('f ', a, '/', a, ' ', b, '/', b, ' ', c, '/', c) AS value FROM f""")
+@query("obj_faces", "pixels", f"""WITH {_LAYERS}, c AS (SELECT frame_idx, CAST(layer * 400 + y * 20 + x AS BIGINT) AS i FROM ly WHERE (x-10)**2 + (y-10)**2 <= 49),
+f AS (SELECT frame_idx, i * 2 AS k, i AS a, i + 20 AS b, i + 1 AS c FROM c UNION ALL SELECT frame_idx, i * 2 + 1, i + 20, i + 21, i + 1 FROM c)
+SELECT frame_idx, k, concat('f ', a, '/', a, ' ', b, '/', b, ' ', c, '/', c) AS value FROM f""")
 def _(t):
-    one = _layers(t).where("frame_idx = 1")
-    lines = C.obj_lines(*layer_mesh(one, 20), "mesh")
-    return lines.where("ord.s = 3").select(F.col("ord.k").alias("k"), "value")
+    lines = C.obj_lines(*layer_mesh(_layers(t), 20), "mesh", "frame_idx")
+    return lines.where("ord.s = 3").select("frame_idx", F.col("ord.k").alias("k"), "value")
 
 
-@query("obj_meshes", "pixels", f"""WITH {_LAYERS}, c AS (SELECT frame_idx, CAST(layer * 400 + y * 20 + x AS BIGINT) AS i FROM ly WHERE (x-10)**2 + (y-10)**2 <= 49),
+_MESH = f"""WITH {_LAYERS}, c AS (SELECT frame_idx, CAST(layer * 400 + y * 20 + x AS BIGINT) AS i FROM ly WHERE (x-10)**2 + (y-10)**2 <= 49),
 f AS (SELECT frame_idx, i * 2 AS k, i AS a, i + 20 AS b, i + 1 AS c FROM c UNION ALL SELECT frame_idx, i * 2 + 1, i + 20, i + 21, i + 1 FROM c),
 q AS (SELECT *, 2*(x/19.0 - 0.5) AS a_, 2*(y/19.0 - 0.5) AS b_ FROM ly), p AS (SELECT *, sqrt(a_*a_ + b_*b_) AS r_, atan2(b_, a_) AS t_, least(greatest(0.1 / (1e-6 + invd), 0), 50) AS d FROM q),
 v AS (SELECT *, CAST(layer * 400 + y * 20 + x AS BIGINT) AS k, (0.5*r_ + 0.5*r_**3) * {S.PI} / 2 AS f FROM p)
-SELECT frame_idx, 0 AS section, CAST(i - 1001 AS BIGINT) AS k, ['mtllib mesh.mtl', 'usemtl mesh'][i] AS value FROM (SELECT DISTINCT frame_idx FROM pixels), range(1, 3) r(i)
+"""
+_MESH_LINES = f"""SELECT frame_idx, 0 AS section, CAST(i - 1001 AS BIGINT) AS k, ['mtllib mesh.mtl', 'usemtl mesh'][i] AS value FROM (SELECT DISTINCT frame_idx FROM pixels), range(1, 3) r(i)
 UNION ALL SELECT frame_idx, 1, k, concat_ws(' ', 'v', {_NUM('cos(t_)*sin(f)*d')}, {_NUM('-sin(t_)*sin(f)*d')}, {_NUM('-cos(f)*d')}) FROM v
 UNION ALL SELECT frame_idx, 2, k, concat_ws(' ', 'vt', {_NUM('x/19.0/3 + layer/3.0')}, {_NUM('1 - y/19.0')}) FROM v
-UNION ALL SELECT frame_idx, 3, k, concat('f ', a, '/', a, ' ', b, '/', b, ' ', c, '/', c) FROM f""")
+UNION ALL SELECT frame_idx, 3, k, concat('f ', a, '/', a, ' ', b, '/', b, ' ', c, '/', c) FROM f"""
+
+
+@query("obj_meshes", "pixels", _MESH + _MESH_LINES)
 def _(t):
     """All lines of one mesh per frame, over every frame."""
     lines = C.obj_lines(*layer_mesh(_layers(t), 20), "mesh", "frame_idx")
     return lines.select("frame_idx", F.col("ord.s").alias("section"), F.col("ord.k").alias("k"), "value")
 
 
+@query("obj_files", "pixels", _MESH.rstrip() + f""",
+l AS ({_MESH_LINES}),
+o AS (SELECT frame_idx, 'obj' AS kind, row_number() OVER (PARTITION BY frame_idx ORDER BY section, k) AS line,
+CASE WHEN value = 'mtllib mesh.mtl' THEN 'mtllib ' || frame_idx || '.mtl' WHEN value = 'usemtl mesh' THEN 'usemtl ' || frame_idx ELSE value END AS value FROM l)
+SELECT * FROM o UNION ALL SELECT frame_idx, 'mtl', i, ['newmtl ' || frame_idx, 'Ka 1.0 1.0 1.0', 'Kd 1.0 1.0 1.0', 'Ks 0.0 0.0 0.0', 'map_Kd ' || frame_idx || '.png'][i]
+FROM (SELECT DISTINCT frame_idx FROM pixels), range(1, 6) r(i)""")
+def _(t):
+    """One mesh and one material file per frame, written and read again line by line."""
+    path = scratch_path(t.spark, "meshes")
+    C.write_meshes(*layer_mesh(_layers(t), 20), path, "frame_idx")
+    text = t.spark.read.text(path, wholetext=True).withColumn("f", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    rows = text.select("f", F.posexplode(F.split(F.expr("substr(value, 1, length(value) - 1)"), "\n")).alias("line", "value"))
+    return rows.select(F.split("f", r"\.")[0].cast("bigint").alias("frame_idx"), F.split("f", r"\.")[1].alias("kind"), (F.col("line") + 1).cast("bigint").alias("line"), "value")
+
+
 _F32 = lambda e: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)"
 _DC = lambda c: f"least(greatest(0.5 + {_F32(f'({c} - 0.5) / {C.SH_C0}')} * {C.SH_C0}, 0), 1)"
 _SPLAT = [*[f"{c}={_F32(c)}" for c in "xyz"], *[f"{c}={_DC(c)}" for c in ("cr", "cg", "cb")], f"ca=1 / (1 + exp(-{_F32('4 * ca - 2')}))",
@@ -179,7 +209,7 @@ def _(t):
         for i, c in enumerate(("cr", "cg", "cb")):
             rec[f"dc{i}"] = (pdf[c] - 0.5) / C.SH_C0
         rec["opacity"] = 4 * pdf["ca"] - 2
-        where, p = C._open_fs(path)
+        where, p = open_fs(path)
         where.create_dir(p, recursive=True)
         with where.open_output_stream(f"{p}/frame_{pdf['frame_idx'].iloc[0]:06d}.ply") as f:
             f.write(b"ply\nformat binary_little_endian 1.0\n" + f"element vertex {len(pdf)}\n".encode() + b"end_header\n" + rec.tobytes())
@@ -257,7 +287,7 @@ def _(t):
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         img = np.zeros((20, 20, 3), "u1")
         img[pdf["y"], pdf["x"]] = np.floor(pdf[["b", "g", "r"]].to_numpy() * 255)
-        where, p = C._open_fs(path)
+        where, p = open_fs(path)
         where.create_dir(p, recursive=True)
         head = b"BM" + struct.pack("<IHHI", 54 + 1200, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 20, -20, 1, 24, 0, 1200, 0, 0, 0, 0)
         with where.open_output_stream(f"{p}/frame_{pdf['frame_idx'].iloc[0]:06d}.bmp") as f:
@@ -269,6 +299,68 @@ def _(t):
     return rounded(px.select(F.regexp_extract("path", r"frame_(\d+)", 1).cast("bigint").alias("frame_idx"), "y", "x", "b", "g", "r", "a"))
 
 
+def _raster(pdf: pd.DataFrame) -> tuple[str, bytes]:
+    """A frame as PGM of 16 bits, PPM of 16 or 8 bits, PFM or TIFF of floats, by its number."""
+    i = int(pdf["frame_idx"].iloc[0])
+    px = np.zeros((20, 20, 3))
+    px[pdf["y"], pdf["x"]] = pdf[["r", "g", "b"]].to_numpy()
+    kind = i % 5
+    if kind == 0:
+        return f"{i}.pgm", b"P5\n20 20\n65535\n" + np.floor(px[:, :, 0] * 65535).astype(">u2").tobytes()
+    if kind == 1:
+        return f"{i}.ppm", b"P6 # colours\n20 20\n65535\n" + np.floor(px * 65535).astype(">u2").tobytes()
+    if kind == 2:
+        return f"{i}.ppm", b"P6\n20 20 255\n" + np.floor(px * 255).astype("u1").tobytes()
+    if kind == 3:
+        return f"{i}.pfm", b"PF\n20 20\n-1.0\n" + px[::-1].astype("<f4").tobytes()
+    data, tags = px.astype("<f4").tobytes(), [(256, 3, 20), (257, 3, 20), (259, 3, 1), (277, 3, 3), (278, 3, 20)]
+    longer = [(258, 3, 3, 8), (273, 4, 1, 20), (339, 3, 3, 14)]
+    entries = [struct.pack("<HHII", t, k, 1, v) for t, k, v in tags] + [struct.pack("<HHII", t, k, n, at) for t, k, n, at in longer]
+    head = b"II" + struct.pack("<HI", 42, 20 + len(data)) + struct.pack("<HHH", 32, 32, 32) + struct.pack("<HHH", 3, 3, 3)
+    return f"{i}.tif", head + data + struct.pack("<H", len(entries)) + b"".join(sorted(entries)) + bytes(4)
+
+
+_SAMPLE = "CASE frame_idx % 5 WHEN 0 THEN floor(r * 65535) / 65535 WHEN 1 THEN floor({c} * 65535) / 65535 WHEN 2 THEN floor({c} * 255) / 255 ELSE CAST(CAST({c} AS FLOAT) AS DOUBLE) END"
+
+
+def _rasters(t) -> str:
+    path = scratch_path(t.spark, "rasters")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, data = _raster(pdf)
+        where, p = open_fs(path)
+        where.create_dir(p, recursive=True)
+        with where.open_output_stream(f"{p}/{name}") as f:
+            f.write(data)
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    t.pixels.groupBy("frame_idx").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return path
+
+
+@query("read_raster_pixels", "pixels", f"SELECT frame_idx, y, x, {rnd('; '.join(f'{c}={_SAMPLE.format(c=c)}' for c in 'bgr') + '; a=1')} FROM pixels")
+def _(t):
+    """Every frame as a picture of 8 or 16 bits or of floats, read by ranges of 1000 bytes."""
+    px = R.read_raster_pixels(t.spark, _rasters(t), 1000)
+    return rounded(px.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("frame_idx"), "y", "x", "b", "g", "r", "a"))
+
+
+_STORED = "CASE frame_idx % 5 WHEN 0 THEN floor(r * 65535) WHEN 1 THEN floor(r * 65535) WHEN 2 THEN floor(r * 255) ELSE CAST(CAST(r AS FLOAT) AS DOUBLE) END"
+_KIND = "CASE frame_idx % 5 WHEN 2 THEN 'u1' WHEN 0 THEN 'u2' WHEN 1 THEN 'u2' ELSE 'f4' END"
+
+
+@query("rescale_rasters", "pixels", f"""WITH s AS (SELECT frame_idx, y, x, {_STORED} AS v, {_KIND} AS kind FROM pixels)
+SELECT frame_idx, y, x, kind, CAST(least(round_even(CASE kind WHEN 'u1' THEN v WHEN 'u2' THEN v / 256 ELSE v * 255 END, 0), 255) AS INTEGER) AS r8,
+CAST(least(round_even(CASE kind WHEN 'u1' THEN v * 256 WHEN 'u2' THEN v ELSE v * 65535 END, 0), 65535) AS INTEGER) AS r16 FROM s""")
+def _(t):
+    """The stored samples at 8 and at 16 bits."""
+    px = R.read_samples(t.spark, _rasters(t), 5000)
+    return px.select(
+        F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("bigint").alias("frame_idx"), "y", "x", "kind",
+        R.to_depth(F.col("r"), F.col("kind"), "u1").alias("r8"), R.to_depth(F.col("r"), F.col("kind"), "u2").alias("r16"),
+    )
+
+
 _EWMA = """WITH RECURSIVE s AS (SELECT run, step, loss, row_number() OVER (PARTITION BY run ORDER BY step) AS k FROM ({src}) q),
 e AS (SELECT run, k, loss AS x FROM s WHERE k = 1 UNION ALL SELECT s.run, s.k, {a} * e.x + {b} * s.loss FROM e JOIN s ON s.run = e.run AND s.k = e.k + 1)"""
 _LOSS_SRC = "SELECT event_type AS run, event_id AS step, CAST(value AS DOUBLE) AS loss FROM events"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import uuid
@@ -13,9 +12,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from scenetab.functions import geom
+from scenetab.sources.files import in_order, lines_of, write_files
+from scenetab.sources.paths import files_of, open_fs, qualified
 
 CSV_SCHEMA = "x DOUBLE, y DOUBLE, z DOUBLE, r INT, g INT, b INT"
 BATCH = 65536
@@ -84,31 +85,40 @@ def obj_lines(vertices: DataFrame, triangles: DataFrame, name: str, key: str | N
     return top.unionByName(v).unionByName(vt).unionByName(f)
 
 
-# ---- binary files ------------------------------------------------------------------------------------------------
+def mtl_lines(names: DataFrame, key: str, texture: str = ".png") -> DataFrame:
+    """(key, ord, value): the material of each mesh ``<key>.obj``, with its colours in ``<key>.png``."""
+    name = F.col(key).cast("string")
+    lines = [F.concat(F.lit("newmtl "), name), F.lit("Ka 1.0 1.0 1.0"), F.lit("Kd 1.0 1.0 1.0"), F.lit("Ks 0.0 0.0 0.0"), F.concat(F.lit("map_Kd "), name, F.lit(texture))]
+    return names.select(key).distinct().select(key, F.posexplode(F.array(*lines)).alias("ord", "value"))
 
 
-def _open_fs(path: str) -> tuple[fs.FileSystem, str]:
-    if re.match(r"^[a-z0-9+]+:", path):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), os.path.abspath(path)
+def write_meshes(vertices: DataFrame, triangles: DataFrame, path: str, key: str) -> int:
+    """Write ``<key>.obj`` and ``<key>.mtl`` into the new folder ``path`` for every value of ``key``; returns the number of files.
 
+    Lines are sorted by ranges of (key, order), so small meshes share a task and a large one is written by several.
+    """
+    name = F.col(key).cast("string")
+    lines = obj_lines(vertices, triangles, "", key)
+    head = F.col("ord.s") == 0
+    # a mesh names its own material
+    own = F.when(head & (F.col("value") == "mtllib .mtl"), F.concat(F.lit("mtllib "), name, F.lit(".mtl"))).when(head, F.concat(F.lit("usemtl "), name)).otherwise(F.col("value"))
+    obj = lines.select(F.concat(name, F.lit(".obj")).alias("_file"), F.col("ord.s").alias("_s"), F.col("ord.k").alias("_k"), own.alias("value"))
+    mtl = mtl_lines(lines, key).select(F.concat(name, F.lit(".mtl")).alias("_file"), F.lit(0).alias("_s"), F.col("ord").cast("bigint").alias("_k"), "value")
+    return write_files(in_order(obj.unionByName(mtl), "_file", "_s", "_k").select("_file", "value"), path, "_file", lines_of())
 
-def _files(path: str, suffix: str) -> list[tuple[str, int]]:
-    where, p = _open_fs(path)
-    info = where.get_file_info(p)
-    if info.type == fs.FileType.File:
-        return [(p, info.size)]
-    found = where.get_file_info(fs.FileSelector(p))
-    return sorted((i.path, i.size) for i in found if i.type == fs.FileType.File and i.path.endswith(suffix))
+
+# ---- binary files ------------------------------------------------------------------------------------------------
 
 
 class RecordRange(InputPartition):
-    def __init__(self, path: str, offset: int, count: int):
-        self.path, self.offset, self.count = path, offset, count
+    """The records of a file that begin in a range of its bytes."""
+
+    def __init__(self, path: str, start: int, end: int):
+        self.path, self.start, self.end = path, start, end
 
 
 class RecordReader(DataSourceReader):
-    """Fixed-size records after a header; a partition is a range of whole records, a task reads it in batches."""
+    """Fixed-size records after a header; a partition is a range of bytes, whose task reads the header and then its records in batches."""
 
     def __init__(self, options, dtype: np.dtype, suffix: str, schema: pa.Schema):
         self.path, self.dtype, self.suffix, self.schema = options["path"], dtype, suffix, schema
@@ -119,33 +129,30 @@ class RecordReader(DataSourceReader):
         raise NotImplementedError
 
     def partitions(self):
-        where, _ = _open_fs(self.path)
-        out = []
-        for path, size in _files(self.path, self.suffix):
-            start, n = self.header(where, path)
-            if start + n * self.dtype.itemsize > size:
-                raise ValueError(f"{path}: {n} records do not fit in {size} bytes")
-            out += [
-                RecordRange(path, start + i * self.dtype.itemsize, min(self.per_split, n - i)) for i in range(0, n, self.per_split)
-            ]
-        return out or [RecordRange("", 0, 0)]
+        # files are listed, not opened
+        step = self.per_split * self.dtype.itemsize
+        found = [RecordRange(path, at, at + step) for path, size in files_of(self.path, (self.suffix,)) for at in range(0, size, step)]
+        return found or [RecordRange("", 0, 0)]
 
     def read(self, part: RecordRange) -> Iterator[pa.RecordBatch]:
-        if not part.count:
+        if not part.path:
             return
-        where, _ = _open_fs(self.path)
+        where, _ = open_fs(self.path)
+        item = self.dtype.itemsize
+        start, n = self.header(where, part.path)
+        lo, hi = (min(max(-(-(at - start) // item), 0), n) for at in (part.start, part.end))
         with where.open_input_file(part.path) as f:
-            f.seek(part.offset)
-            left = part.count
-            while left:
-                n = min(left, BATCH)
-                rec = np.frombuffer(f.read(n * self.dtype.itemsize), self.dtype)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rec[c]).astype(self.schema.field(c).type.to_pandas_dtype())) for c in self.schema.names], schema=self.schema)
-                left -= n
+            if start + n * item > f.size():
+                raise ValueError(f"{part.path}: {n} records do not fit in {f.size()} bytes")
+            f.seek(start + lo * item)
+            for at in range(lo, hi, BATCH):
+                rec = np.frombuffer(f.read(min(hi - at, BATCH) * item), self.dtype)
+                values = [pa.array(np.ascontiguousarray(rec[c]).astype(self.schema.field(c).type.to_pandas_dtype())) for c in self.schema.names if c != "path"]
+                yield pa.RecordBatch.from_arrays([*values, pa.repeat(part.path, len(rec))], schema=self.schema)
 
 
 POINT_DTYPE = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
-POINT_SCHEMA = pa.schema([(c, pa.float32()) for c in "xyz"] + [(c, pa.int16()) for c in "rgb"])
+POINT_SCHEMA = pa.schema([(c, pa.float32()) for c in "xyz"] + [(c, pa.int16()) for c in "rgb"] + [("path", pa.string())])
 
 
 class PointBinReader(RecordReader):
@@ -159,45 +166,53 @@ class PartName(WriterCommitMessage):
         self.part, self.final = part, final
 
 
-class PointBinWriter(DataSourceWriter):
+def pack_points(batch: pa.RecordBatch) -> bytes:
+    """Rows x, y, z and whole r, g, b as 15-byte records."""
+    rec = np.empty(batch.num_rows, POINT_DTYPE)
+    for c in POINT_DTYPE.names:
+        rec[c] = batch.column(c).to_numpy(zero_copy_only=False)
+    return rec.tobytes()
+
+
+def point_count(n: int) -> bytes:
+    """What a file of ``n`` points begins with."""
+    return struct.pack("<i", n)
+
+
+class PointBinWriter(DataSourceArrowWriter):
     """Each task writes a whole, valid file (count, then records) under a hidden name; commit makes the names visible."""
 
     def __init__(self, options):
         self.path = options["path"]
 
-    def write(self, rows) -> PartName:
+    def write(self, batches) -> PartName:
         from pyspark import TaskContext
 
-        where, p = _open_fs(self.path)
+        where, p = open_fs(self.path)
         where.create_dir(p, recursive=True)
         ctx = TaskContext.get()
         # a name that no other write to the folder has
         final = f"{p}/part-{ctx.partitionId():06d}-{uuid.uuid4().hex[:12]}.bin"
-        part = f"{p}/_{ctx.taskAttemptId()}.tmp"
-        chunks, n = [], 0
+        part, n = f"{p}/_{ctx.taskAttemptId()}.tmp", 0
         with where.open_output_stream(f"{part}.body") as body:
-            for row in rows:
-                chunks.append((row["x"], row["y"], row["z"], row["r"], row["g"], row["b"]))
-                if len(chunks) == BATCH:
-                    body.write(np.array(chunks, POINT_DTYPE).tobytes())
-                    n, chunks = n + len(chunks), []
-            body.write(np.array(chunks, POINT_DTYPE).tobytes())
-            n += len(chunks)
+            for batch in batches:
+                body.write(pack_points(batch))
+                n += batch.num_rows
         with where.open_output_stream(part) as out, where.open_input_stream(f"{part}.body") as body:
-            out.write(struct.pack("<i", n))
+            out.write(point_count(n))
             while block := body.read(1 << 24):
                 out.write(block)
         where.delete_file(f"{part}.body")
         return PartName(part, final)
 
     def commit(self, messages):
-        where, _ = _open_fs(self.path)
+        where, _ = open_fs(self.path)
         for m in messages:
             if m is not None:
                 where.move(m.part, m.final)
 
     def abort(self, messages):
-        where, _ = _open_fs(self.path)
+        where, _ = open_fs(self.path)
         for m in messages:
             if m is not None:
                 where.delete_file(m.part)
@@ -209,7 +224,7 @@ class PointBinSource(DataSource):
         return "point_bin"
 
     def schema(self):
-        return "x float, y float, z float, r short, g short, b short"
+        return "x float, y float, z float, r short, g short, b short, path string"
 
     def reader(self, schema):
         return PointBinReader(self.options, POINT_DTYPE, ".bin", POINT_SCHEMA)
@@ -219,17 +234,31 @@ class PointBinSource(DataSource):
 
 
 def read_point_bin(spark: SparkSession, path: str, records_per_partition: int = SPLIT_RECORDS) -> DataFrame:
-    """Points of one file or of a folder of files; colours become fractions."""
+    """Points of one file or of a folder of files, with their ``path``; colours become fractions."""
     spark.dataSource.register(PointBinSource)
-    df = spark.read.format("point_bin").option("recordsPerPartition", str(records_per_partition)).load(path)
-    return df.select(*[F.col(c).cast("double").alias(c) for c in "xyz"], *[(F.col(c) / 255.0).alias(c) for c in "rgb"])
+    df = spark.read.format("point_bin").option("recordsPerPartition", str(records_per_partition)).load(qualified(spark, path))
+    return df.select(*[F.col(c).cast("double").alias(c) for c in "xyz"], *[(F.col(c) / 255.0).alias(c) for c in "rgb"], "path")
+
+
+def _point_records(points: DataFrame, *more: Column) -> DataFrame:
+    byte = lambda c: geom.clamp(F.col(c) * 255, 0.0, 255.0).cast("short").alias(c)
+    return points.select(*[F.col(c).cast("float").alias(c) for c in "xyz"], *[byte(c) for c in "rgb"], *more)
 
 
 def write_point_bin(points: DataFrame, path: str) -> None:
+    """A folder of complete files, one per partition."""
     points.sparkSession.dataSource.register(PointBinSource)
-    byte = lambda c: geom.clamp(F.col(c) * 255, 0.0, 255.0).cast("short").alias(c)
-    out = points.select(*[F.col(c).cast("float").alias(c) for c in "xyz"], *[byte(c) for c in "rgb"])
-    out.write.format("point_bin").mode("append").save(path)
+    _point_records(points, F.lit(None).cast("string").alias("path")).write.format("point_bin").mode("append").save(qualified(points.sparkSession, path))
+
+
+def write_point_files(points: DataFrame, path: str, name: str | None = None) -> int:
+    """One complete file ``points.bin`` in the new folder ``path``, or one per value of column ``name``; returns their number.
+
+    A file begins with the count of all its points, which follow in the order of the partitions. All tasks write to it; see
+    ``files.write_files``. A file holds fewer than 2^31 points, as its count has 31 bits; more are an error.
+    """
+    label = F.lit("points.bin") if name is None else F.concat(F.col(name).cast("string"), F.lit(".bin"))
+    return write_files(_point_records(points, label.alias("_file")), path, "_file", pack_points, point_count)
 
 
 SPLAT_FIELDS = ["x", "y", "z", "nx", "ny", "nz", "dc0", "dc1", "dc2", *[f"rest{i}" for i in range(45)], "opacity", "e0", "e1", "e2", "q0", "q1", "q2", "q3"]
@@ -258,10 +287,10 @@ class SplatPlySource(DataSource):
         return "splat_ply"
 
     def schema(self):
-        return ", ".join(f"{c} float" for c in SPLAT_USED)
+        return ", ".join(f"{c} float" for c in SPLAT_USED) + ", path string"
 
     def reader(self, schema):
-        return SplatPlyReader(self.options, SPLAT_DTYPE, ".ply", pa.schema([(c, pa.float32()) for c in SPLAT_USED]))
+        return SplatPlyReader(self.options, SPLAT_DTYPE, ".ply", pa.schema([(c, pa.float32()) for c in SPLAT_USED] + [("path", pa.string())]))
 
 
 SH_C0 = 0.28209479177387814
@@ -270,7 +299,7 @@ SH_C0 = 0.28209479177387814
 def read_splat_ply(spark: SparkSession, path: str, records_per_partition: int = SPLIT_RECORDS) -> DataFrame:
     """Splats of PLY files in wire form: scales clipped to at most 0, colour from the constant term, alpha activated."""
     spark.dataSource.register(SplatPlySource)
-    df = spark.read.format("splat_ply").option("recordsPerPartition", str(records_per_partition)).load(path)
+    df = spark.read.format("splat_ply").option("recordsPerPartition", str(records_per_partition)).load(qualified(spark, path))
     d = lambda c: F.col(c).cast("double")
     colour = [geom.clamp(0.5 + d(f"dc{i}") * SH_C0, 0.0, 1.0).alias(n) for i, n in enumerate(("cr", "cg", "cb"))]
     return df.select(
