@@ -17,9 +17,9 @@ def with_chunk(df: DataFrame, order: str, chunk: int = CHUNK) -> DataFrame:
 
 
 def running(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, kind: str = "sum", chunk: int = CHUNK
+    df: DataFrame, keys: list[str], order: str, value: Column, out: str, kind: str = "sum", chunk: int = CHUNK, total: str | None = None
 ) -> DataFrame:
-    """Exclusive running sum or product of ``value`` (the first row gets 0 or 1)."""
+    """Exclusive running sum or product of ``value`` (the first row gets 0 or 1), and with ``total`` also that of the whole key."""
     unit = F.lit(0.0 if kind == "sum" else 1.0)
     agg = F.sum if kind == "sum" else F.product
     src = with_chunk(df, order, chunk).withColumn("_v", value)
@@ -27,13 +27,13 @@ def running(
     before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         src.groupBy(*part).agg(agg("_v").alias("_t"))
-        .select(*part, F.coalesce(agg("_t").over(before), unit).alias("_in"))
+        .select(*part, F.coalesce(agg("_t").over(before), unit).alias("_in"), *([agg("_t").over(Window.partitionBy(*keys)).alias(total)] if total else []))
     )
     inside = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(agg("_v").over(inside), unit)
     joined = src.join(carry, part)
-    total = F.col("_in") + local if kind == "sum" else F.col("_in") * local
-    return joined.withColumn(out, total).drop("_c", "_v", "_in")
+    before_row = F.col("_in") + local if kind == "sum" else F.col("_in") * local
+    return joined.withColumn(out, before_row).drop("_c", "_v", "_in")
 
 
 def carry(

@@ -16,7 +16,6 @@ from scenetab.functions.session import broadcast_if_small, cut_lineage
 from scenetab.functions.skew import join_counted
 from scenetab.operators.points import sample_bilinear
 
-MAX_ROUNDS = 200
 
 
 # ---- keypoints ---------------------------------------------------------------------------------------------------
@@ -219,8 +218,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table (u, v): root is the smallest node of its component.
 
     Alternating large-star and small-star rewrites (Kiveris et al. 2014): minima by key are pre-aggregated, edges only ever
-    shrink, and each round is written to the checkpoint folder. Ends when a round changes nothing. Roots of big components
-    become hubs; their minimum comes to their edges by a bounded broadcast.
+    shrink, and each half of a round is written to the checkpoint folder. Ends when a round changes nothing, however many
+    that takes: every round brings each end of an edge nearer to the least node of its component. Roots of big components become hubs;
+    their minimum comes to their edges by a bounded broadcast, in the shuffle that serves the other keys.
     """
     e = edges.select("u", "v").where("u <> v").distinct()
 
@@ -241,14 +241,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     e = cut_lineage(e)
     seen = mark(e)
-    for _ in range(MAX_ROUNDS):
-        e = cut_lineage(small(large(e, seen["n"]), seen["n"]))
+    while seen["n"]:
+        e = cut_lineage(small(cut_lineage(large(e, seen["n"])), seen["n"]))
         now = mark(e)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 

@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from scenetab.functions import geom
 from scenetab.functions.hashing import hash01
 from scenetab.functions.ranks import exact_rank, take_smallest
-from scenetab.functions.scan import CHUNK, running, with_chunk
-from scenetab.functions.skew import join_counted
+from scenetab.functions.scan import CHUNK, carry, running, with_chunk
 from scenetab.operators.points import sample_bilinear, unproject
 from scenetab.operators.stencil import dilate, tiled, untiled
 
 LAST_STEP = 1e10
 
 
-def with_step(samples: DataFrame, keys: list[str], order: str = "sample_idx", chunk: int = CHUNK) -> DataFrame:
-    """Distance to the next sample of the ray; the last one reaches 1e10.
+def with_step(samples: DataFrame, keys: list[str], order: str = "sample_idx", chunk: int = CHUNK, last: str | None = None) -> DataFrame:
+    """Distance to the next sample of the ray; the last one reaches 1e10. ``last``: a column for the ray's last index.
 
     Looks ahead inside chunks of the order key and takes the first depth of the next chunk from a row per chunk, so a
     ray of any length is spread over tasks.
     """
     src = with_chunk(samples, order, chunk)
     part = [*keys, "_c"]
-    heads = src.groupBy(*part).agg(F.min_by("depth", order).alias("_h"))
+    heads = src.groupBy(*part).agg(F.min_by("depth", order).alias("_h"), F.max(order).alias("_m"))
     nxt = F.lead("_h").over(Window.partitionBy(*keys).orderBy("_c"))
-    heads = heads.select(*part, nxt.alias("_next"))
+    heads = heads.select(*part, nxt.alias("_next"), *([F.max("_m").over(Window.partitionBy(*keys)).alias(last)] if last else []))
     ahead = F.lead("depth").over(Window.partitionBy(*part).orderBy(order))
     out = src.join(heads, part).withColumn("_ahead", F.coalesce(ahead, F.col("_next")))
     step = F.coalesce(F.col("_ahead") - F.col("depth"), F.lit(LAST_STEP))
@@ -37,7 +36,10 @@ def ray_weights(
     samples: DataFrame, keys: list[str], bounds: tuple[Column, Column] | None = None, transparent: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
     """alpha and weight of each sample: alpha times what earlier samples let through."""
-    src = with_step(samples, keys, chunk=chunk)
+    return _weighed(with_step(samples, keys, chunk=chunk), keys, bounds, transparent, chunk)
+
+
+def _weighed(src: DataFrame, keys: list[str], bounds: tuple[Column, Column] | None, transparent: bool, chunk: int) -> DataFrame:
     alpha = F.lit(1.0) - F.exp(-F.col("sigma") * F.col("step"))
     drop = F.lit(False)
     if bounds is not None:
@@ -84,29 +86,25 @@ def importance_depths(samples: DataFrame, key: str, n: int, seed: int, keep: boo
     """n new depths per ray where the weights are: draws inverted through the running distribution.
 
     A draw meets its bin by a join on (ray, slice of the distribution), so only bins of that slice are compared. The last
-    index and the total of a ray that holds many of the samples are broadcast, not shuffled to by all its samples.
+    index and the total of a ray come with the tables of chunks that the scans build, so the samples are read in one pass.
     """
     keys = [key]
-    n_rows = samples.count()
-    last = samples.groupBy(key).agg(F.max("sample_idx").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    src = join_counted(samples, last, key, "_n", n_rows).withColumn(
-        "sigma", F.when(F.col("sample_idx") < F.col("_last"), F.col("sigma") + 1e-5).otherwise(F.col("sigma"))
-    )
-    w = ray_weights(src, keys, chunk=chunk)
-    total = w.groupBy(key).agg(F.sum("weight").alias("_sum"), F.count(F.lit(1)).alias("_n"))
-    w = join_counted(w, total, key, "_n", n_rows).withColumn("pdf", F.col("weight") / F.col("_sum"))
-    w = running(w, keys, "sample_idx", F.col("pdf"), "lo", chunk=chunk).withColumn("hi", F.col("lo") + F.col("pdf"))
+    src = with_step(samples, keys, chunk=chunk, last="_last")
+    src = src.withColumn("sigma", F.when(F.col("sample_idx") < F.col("_last"), F.col("sigma") + 1e-5).otherwise(F.col("sigma")))
+    w = _weighed(src, keys, None, False, chunk)
+    w = running(w, keys, "sample_idx", F.col("weight"), "_lo", chunk=chunk, total="_sum")
+    w = w.withColumns({"lo": F.col("_lo") / F.col("_sum"), "hi": (F.col("_lo") + F.col("weight")) / F.col("_sum")})
     half = F.col("step") / 2.0
     w = w.withColumn("end", F.when(F.col("sample_idx") == F.col("_last"), F.lit(geom.RAY_FAR)).otherwise(F.col("depth") + half))
-    prev = w.select(key, (F.col("sample_idx") + 1).alias("sample_idx"), F.col("end").alias("start"))
-    bins = w.join(prev, [key, "sample_idx"], "left").withColumn("start", F.coalesce("start", F.lit(geom.RAY_NEAR)))
+    w = carry(w, keys, "sample_idx", F.col("end"), "start", inclusive=False, chunk=chunk)
+    bins = w.withColumn("start", F.coalesce("start", F.lit(geom.RAY_NEAR)))
     # draws beyond the last but one bin use that bin
     bins = bins.where(F.col("sample_idx") < F.col("_last")).withColumn("top", F.col("sample_idx") == F.col("_last") - 1)
     slices = 16
     cut = lambda c: F.least(F.floor(c * slices), F.lit(slices - 1)).cast("bigint")
     upto = F.when(F.col("top"), F.lit(slices - 1).cast("bigint")).otherwise(cut(F.col("hi")))
     bins = bins.withColumn("_s", F.explode(F.sequence(F.least(cut(F.col("lo")), upto), upto)))
-    draws = last.select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    draws = samples.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     draws = draws.withColumn("u", hash01(F.col(key) * n + F.col("k"), seed)).withColumn("_s", cut(F.col("u")))
     u, lo, hi = F.col("u"), F.col("lo"), F.col("hi")
     inside = ((u > lo) | (F.col("sample_idx") == 0)) & ((u <= hi) | F.col("top"))
