@@ -134,6 +134,24 @@ def test_moving_average_over_chunks(spark):
         assert math.isclose(got[i * 3], x, rel_tol=1e-11)
 
 
+@pytest.mark.parametrize("keep,chunk", [(1e-6, 4096), (0.3, 64), (0.5, 4096), (0.99, 16), (0.9999, 16), (1 - 1e-9, 8)])
+def test_segments_compose_for_any_weight(spark, keep, chunk):
+    """One chunk length serves short and long memories; a second series goes on from a start value."""
+    rng = random.Random(2)
+    vals = [rng.random() for _ in range(1500)]
+    rows = [("a", i * 3, v) for i, v in enumerate(vals)] + [("b", i, v) for i, v in enumerate(vals[:40])]
+    df = spark.createDataFrame(rows, "run string, step bigint, loss double")
+    start = spark.createDataFrame([("b", 7.0), ("c", 1.0)], "run string, smooth double")
+    got = {(r.run, r.step): r.smooth for r in moving_average(df, "run", "step", "loss", keep, chunk=chunk, start=start).collect()}
+    x, y = vals[0], 7.0
+    for i, v in enumerate(vals):
+        x = v if i == 0 else keep * x + (1.0 - keep) * v
+        assert math.isclose(got["a", i * 3], x, rel_tol=1e-11)
+        if i < 40:
+            y = keep * y + (1.0 - keep) * v
+            assert math.isclose(got["b", i], y, rel_tol=1e-11)
+
+
 def test_smoothing_on_arrays_is_the_loop():
     rng = random.Random(5)
     values = [rng.random() for _ in range(2000)]
