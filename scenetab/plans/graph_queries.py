@@ -50,13 +50,14 @@ def _(t):
 
 @query("flow_consistent", "matches keypoints pixels", """WITH m AS (SELECT m.*, a.x / 32 AS x1, a.y / 24 AS y1, b.x / 32 AS x2, b.y / 24 AS y2 FROM matches m
 JOIN keypoints a ON a.kp_idx = m.keypoint_idx1 JOIN keypoints b ON b.kp_idx = m.keypoint_idx2)
-SELECT m.keypoint_idx1, m.keypoint_idx2 FROM m JOIN pixels p ON p.frame_idx = m.image_idx1 AND p.y = floor(y1) AND p.x = floor(x1)
+SELECT m.keypoint_idx1, m.keypoint_idx2 FROM m JOIN pixels p ON p.frame_idx = m.keypoint_idx1 // 400 AND p.y = floor(y1) AND p.x = floor(x1)
 WHERE sqrt((x1 + 20 * p.b - 10 - x2)**2 + (y1 + 20 * p.g - 10 - y2)**2) < 6""")
 def _(t):
     k = t.keypoints
     one = k.select(F.col("kp_idx").alias("keypoint_idx1"), (F.col("x") / 32).alias("x1"), (F.col("y") / 24).alias("y1"))
     two = k.select(F.col("kp_idx").alias("keypoint_idx2"), (F.col("x") / 32).alias("x2"), (F.col("y") / 24).alias("y2"))
-    m = t.matches.join(one, "keypoint_idx1").join(two, "keypoint_idx2")
+    # a keypoint's frame is that of the pixel with its id
+    m = t.matches.withColumn("image_idx1", F.floor(F.col("keypoint_idx1") / 400)).join(one, "keypoint_idx1").join(two, "keypoint_idx2")
     flow = t.pixels.select(
         F.col("frame_idx").alias("image_idx1"), "y", "x", (20 * F.col("b") - 10).alias("fu"), (20 * F.col("g") - 10).alias("fv")
     )
@@ -181,12 +182,15 @@ def _(t):
     return rounded(G.normalize_scale(t.tracks, t.obs, t.cams)[1].select("track_id", "x", "z"), 9)
 
 
-@query("track_points", "tracks obs pixels", f"""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY img_idx) AS rn FROM obs) q WHERE rn = 1),
+# tracks are dealt to all groups of 25 frames
+@query("track_points", "tracks obs pixels", f"""WITH g25 AS (SELECT greatest((max(frame_idx) + 1) // 25, 1) AS n FROM pixels), far AS (SELECT o.* REPLACE (img_idx + 25 * (track_id % n) AS img_idx) FROM obs o, g25),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY img_idx) AS rn FROM far) q WHERE rn = 1),
 q AS (SELECT track_id, img_idx AS frame_idx, f.x / 32 AS u, f.y / 24 AS v FROM f JOIN (SELECT track_id FROM tracks WHERE NOT pruned AND has_estimated_3d AND weight >= 0.01) g USING (track_id)),
 {S.bilinear('q', 'track_id', 'frame_idx', 'pixels', ['b', 'g', 'r'], '20', '20')}
 SELECT track_id, {rnd('x; y; z; b; g; r; a=0.9', 9)} FROM (SELECT track_id, x, y, z FROM tracks) t JOIN bl USING (track_id)""")
 def _(t):
-    obs = t.obs.withColumns({"x": F.col("x") / 32, "y": F.col("y") / 24})
+    groups = max(1, ((t.pixels.agg(F.max("frame_idx")).first()[0] or 0) + 1) // 25)
+    obs = t.obs.withColumns({"x": F.col("x") / 32, "y": F.col("y") / 24, "img_idx": F.col("img_idx") + 25 * (F.col("track_id") % groups)})
     px = t.pixels.withColumnRenamed("frame_idx", "img_idx")
     return rounded(G.track_points(t.tracks, obs, px, F.lit(20), F.lit(20)), 9)
 

@@ -94,13 +94,26 @@ def _(t):
     return rounded(P.sample_bilinear(q, t.pixels, ["point_id"], "frame_idx", ["b", "g", "r"], F.lit(20), F.lit(20)))
 
 
-@query("color_points", "points cams pixels", f"""WITH {S.SMALL}, {S.project('points', 'small')},
+# a scene is five frames with a camera each, and the points whose ids are those of the frames' pixels
+_SHOTS = f"""{S.SMALL}, shots AS (SELECT s.* REPLACE (f.frame_idx AS cam_idx, f.frame_idx // 5 AS scene_id) FROM (SELECT DISTINCT frame_idx FROM pixels) f JOIN small s ON s.cam_idx = f.frame_idx % 25),
+shot_points AS (SELECT * REPLACE (point_id // 2000 AS scene_id) FROM points)"""
+
+
+def _shots(t: Tables) -> tuple[DataFrame, DataFrame]:
+    frames = t.pixels.select(F.col("frame_idx").alias("_f")).distinct()
+    cams = frames.join(F.broadcast(small_cams(t)), F.col("_f") % 25 == F.col("cam_idx"))  # 25 rows
+    cams = cams.withColumns({"cam_idx": F.col("_f"), "scene_id": F.floor(F.col("_f") / 5)}).drop("_f")
+    return cams, t.points.withColumn("scene_id", F.floor(F.col("point_id") / 2000))
+
+
+@query("color_points", "points cams pixels", f"""WITH {_SHOTS}, {S.project('shot_points', 'shots')},
 f AS (SELECT point_id, cam_idx AS frame_idx, u, v FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY cam_idx) AS rn
 FROM pj WHERE zc >= 0.01 AND u >= 0 AND v >= 0 AND u < width - 1 AND v < height - 1) q WHERE rn = 1),
 {S.bilinear('f', 'point_id', 'frame_idx', 'pixels', ['b', 'g', 'r'], '20', '20')}
 SELECT point_id, {rnd('x; r; g; b')} FROM bl JOIN (SELECT point_id, x FROM points) p USING (point_id)""")
 def _(t):
-    out = P.color_points(t.points, small_cams(t), cam_pixels(t), ["point_id"])
+    cams, points = _shots(t)
+    out = P.color_points(points, cams, cam_pixels(t), ["point_id"])
     return rounded(out.select("point_id", "x", "r", "g", "b"))
 
 
@@ -150,10 +163,10 @@ def _(t):
 
 
 @query("append_points", "points", f"""SELECT point_id, {rnd('x')} FROM points UNION ALL
-SELECT point_id + 1 + (SELECT max(point_id) FROM points), {rnd('x=-x')} FROM points WHERE cloud_id < 3""")
+SELECT point_id + 1 + (SELECT max(point_id) FROM points), {rnd('x=-x')} FROM points""")
 def _(t):
     a = t.points.select("point_id", "x")
-    return rounded(P.append_points(a, t.points.where("cloud_id < 3").select("point_id", (-F.col("x")).alias("x"))))
+    return rounded(P.append_points(a, t.points.select("point_id", (-F.col("x")).alias("x"))))
 
 
 @query("dense_points", "samples", f"""SELECT ray_id, sample_idx, {rnd('alpha=1 - exp(-sigma * 0.01); r=b; b=r; g')} FROM samples

@@ -114,12 +114,12 @@ def _(t):
 
 
 @query("fill_dead_slots", "splats points", f"""WITH dd AS (SELECT {ID}, row_number() OVER (PARTITION BY frame_idx ORDER BY splat_idx) AS k FROM splats WHERE NOT alive),
-nn AS (SELECT CAST(floor(point_id / 1000) AS BIGINT) AS frame_idx, row_number() OVER (PARTITION BY floor(point_id / 1000) ORDER BY point_id) AS k, x, {_LOGIT('r')} AS c0, {_RAW('ln(0.05)')} AS s0 FROM points WHERE z > 4.5),
+nn AS (SELECT CAST(floor(point_id / 1000) AS BIGINT) AS frame_idx, row_number() OVER (PARTITION BY floor(point_id / 1000) ORDER BY point_id) AS k, x, {_LOGIT('r')} AS c0, {_RAW('ln(0.05)')} AS s0 FROM points),
 pu AS (SELECT dd.frame_idx, dd.splat_idx, x, c0, s0 FROM dd JOIN nn USING (frame_idx, k))
 SELECT s.frame_idx, s.splat_idx, {rnd('x=CASE WHEN p.x IS NOT NULL THEN p.x ELSE s.x END; c0=CASE WHEN p.x IS NOT NULL THEN p.c0 ELSE s.c0 END; s0=CASE WHEN p.x IS NOT NULL THEN p.s0 ELSE s.s0 END; alpha=CASE WHEN p.x IS NOT NULL THEN -1 ELSE s.alpha END')},
 s.alive OR p.x IS NOT NULL AS alive FROM splats s LEFT JOIN pu p USING (frame_idx, splat_idx)""")
 def _(t):
-    new = t.points.where("z > 4.5").withColumn("spacing", F.lit(0.05)).withColumn("frame_idx", F.floor(F.col("point_id") / 1000).cast("bigint"))
+    new = t.points.withColumn("spacing", F.lit(0.05)).withColumn("frame_idx", F.floor(F.col("point_id") / 1000).cast("bigint"))
     return rounded(G.fill_dead_slots(t.splats, new).select("frame_idx", "splat_idx", "x", "c0", "s0", "alpha", "alive"))
 
 

@@ -150,7 +150,7 @@ def default_time_offsets(cams: DataFrame) -> DataFrame:
     low, high = names.agg(F.min("name"), F.max("name")).first()
     comma = F.when(F.col("name") == F.lit(low), F.lit("{")).otherwise(F.lit(","))
     end = F.when(F.col("name") == F.lit(high), F.lit(":0}")).otherwise(F.lit(":0"))
-    return names.select("name", F.concat(comma, F.to_json(F.struct("name")).substr(9, 1 << 20)).alias("v")).select(
+    return names.select("name", F.concat(comma, F.expr("substring(to_json(struct(name)), 9)")).alias("v")).select(
         F.col("name").alias("ord"), F.concat(F.expr("substring(v, 1, length(v) - 1)"), end).alias("value")
     )
 
