@@ -7,8 +7,9 @@ import io
 import re
 import struct
 import uuid
-from base64 import b32encode
+from base64 import b32encode, b64decode, b64encode
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import zstandard
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenetab.functions.session import broadcast_if_small
-from scenetab.llm.common import hot_part, new_folder, stored
+from scenetab.llm.common import hot_part, key128, new_folder, stored
 
 # fixed values of the seekable format: a skippable frame with one entry per frame and a footer
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -36,22 +37,38 @@ def digest(payload: bytes) -> str:
     return b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _field(value: str | None) -> str:
-    """A header value on one line; percent signs keep it reversible."""
-    return re.sub(r"[\x00-\x20%\x7f-￿]|[^\x00-￿]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value or "")
+def _field(value: str) -> str:
+    """An address on one line of ASCII; what a well-formed address consists of stays, percent signs among it."""
+    return re.sub(r"[\x00-\x20\x7f-\uffff]|[^\x00-\uffff]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
-def _unfield(value: bytes) -> str:
-    return re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), value).decode()
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
-def record(record_id: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{record_id}>"]
-    head += [f"WARC-Target-URI: {_field(url)}"] if url is not None else []
-    head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}"]
+def record_uuid(page_id: int | None, payload_digest: str) -> str:
+    """The record id of the only row with this page id and payload."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{'' if page_id is None else page_id} {payload_digest}"))
+
+
+def record(record_id: str, date: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, exact: bool = True) -> bytes:
+    """A response with its HTTP message, or a revisit without a block. ``exact``: the response is the only row of its page id and payload."""
+    sha = digest(payload)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {date}"]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_field(url)}")
+        if _field(url) != url:
+            head.append(f"X-Original-URI: {b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
+    head += [f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {len(payload)}"]
     head += [f"X-Page-ID: {page_id}"] if page_id is not None else []
-    head += [f"WARC-Profile: {REVISIT_PROFILE}"] + ([f"WARC-Refers-To: <urn:page:{refers_to}>"] if refers_to is not None else []) if revisit else []
-    body = b"" if revisit else payload
+    if revisit:
+        head.append(f"WARC-Profile: {REVISIT_PROFILE}")
+        if refers_to is not None:
+            head.append(f"X-Refers-To-Page: {refers_to}")
+            head += [f"WARC-Refers-To: <urn:uuid:{record_uuid(refers_to, sha)}>"] if exact else []
+        body = b""
+    else:
+        head.append("Content-Type: application/http; msgtype=response")
+        body = HTTP % len(payload) + payload
     return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
 
@@ -60,18 +77,18 @@ def parse(raw: bytes, start: int = 0) -> tuple[dict, int]:
     end = raw.index(b"\r\n\r\n", start)
     head = dict(line.split(b": ", 1) if b": " in line else (line.rstrip(b": "), b"") for line in raw[start:end].split(b"\r\n")[1:])
     n = int(head[b"Content-Length"])
-    body = raw[end + 4 : end + 4 + n]
     kind = head[b"WARC-Type"].decode()
-    refers = head.get(b"WARC-Refers-To")
+    payload = raw[end + 4 : end + 4 + n].split(b"\r\n\r\n", 1)[1] if kind == "response" else None
+    url = b64decode(head[b"X-Original-URI"]) if b"X-Original-URI" in head else head.get(b"WARC-Target-URI")
     found = {
         "record_id": head[b"WARC-Record-ID"][10:-1].decode(),
         "page_id": int(head[b"X-Page-ID"]) if b"X-Page-ID" in head else None,
-        "url": _unfield(head[b"WARC-Target-URI"]) if b"WARC-Target-URI" in head else None,
-        "payload": body if kind == "response" else None,
-        "payload_bytes": n if kind == "response" else int(head[b"X-Payload-Length"]),
-        "payload_digest": digest(body) if kind == "response" else head[b"WARC-Payload-Digest"][5:].decode(),
+        "url": None if url is None else url.decode("utf-8", "surrogatepass"),
+        "payload": payload,
+        "payload_bytes": int(head[b"X-Payload-Length"]) if payload is None else len(payload),
+        "payload_digest": head[b"WARC-Payload-Digest"][5:].decode() if payload is None else digest(payload),
         "record_type": kind,
-        "refers_to": int(refers[10:-1]) if refers else None,
+        "refers_to": int(head[b"X-Refers-To-Page"]) if b"X-Refers-To-Page" in head else None,
     }
     if head[b"WARC-Payload-Digest"][5:].decode() != found["payload_digest"]:
         raise ValueError(f"record {found['record_id']} does not match its digest")
@@ -125,7 +142,7 @@ def frame(data: bytes, start: int, packed: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data[start : start + packed])
 
 
-def _writer(folder: str):
+def _writer(folder: str, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
@@ -142,8 +159,10 @@ def _writer(folder: str):
 
         for batch in batches:
             for r in batch.to_pylist():
-                at = bundle.add(record(r["record_id"], r["page_id"], r["url"], r["payload"], r["refers_to"], r["revisit"]))
-                index.append(dict(zip(INDEX.names, (r["record_id"], name, *at))))
+                # equal rows can't share a record id, so each of them gets one of its own
+                own = str(uuid.uuid4()) if r["repeated"] else record_uuid(r["page_id"], digest(r["payload"]))
+                at = bundle.add(record(own, date, r["page_id"], r["url"], r["payload"], r["refers_to"], r["revisit"], r["exact"]))
+                index.append(dict(zip(INDEX.names, (own, name, *at))))
                 if bundle.out.tell() >= BUNDLE_BYTES:
                     yield close()
         if index:
@@ -156,15 +175,19 @@ def _uri(path: str) -> str:
     return f"file://{path}" if path.startswith("/") else re.sub(r"^file:/+", "file:///", path)
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str | None = None) -> DataFrame:
     """Write one record per row of ``pages`` into bundles under ``folder``; returns the stored index of the records.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response and the others
     are revisits of it; smaller payloads are all responses. Payloads are the text in UTF-8 (null: empty) and count as equal
     if SHA-1 and length are. Rows that repeat the largest id of a payload are responses too; a null id is smaller than any
-    other, and a response only where no row of its payload has an id; an empty table writes nothing; other columns are
-    ignored. The index maps each record id (the page id, or a digest of the row without one) to its bundle, frame, the
-    frame's place in the file and the offset within the unpacked frame.
+    other, and a response only where no row of its payload has an id; texts of any length are one record; an empty table writes nothing;
+    other columns are ignored, whatever their names.
+
+    Responses hold an HTTP message around the payload; all records have the WARC-Date ``date`` (default: now) and their address as it is,
+    but for blanks, control characters and letters beyond ASCII, which are escaped (the original is kept beside). The record id
+    follows from page id and payload; where rows repeat both, all rows of that payload get random ones, and its revisits name the page
+    only. The index maps each record id to its bundle, frame, the frame's place in the file and the offset within the unpacked frame.
 
     Who is the response is settled on narrow rows, hot payloads by broadcast. Page contents stay where they are if the revisits
     are few enough, by count, to be broadcast; else they move once, to meet the verdict.
@@ -172,18 +195,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     spark = pages.sparkSession
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), body.alias("payload"))
-    base = base.withColumn("_row", F.xxhash64("page_id", "url", "payload"))
-    narrow = stored(base.select("page_id", "_row", F.unhex(F.sha1("payload")).alias("_sha"), F.octet_length("payload").alias("_len")), "pages")
-    firsts = narrow.where(F.col("_len") >= min_bytes).groupBy("_sha", "_len").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    hot, rest = hot_part(stored(firsts, "payloads"), "_n")
+    base = base.select("*", *key128(F.col("page_id"), F.col("url"), F.col("payload")))
+    key = ["_k1", "_k2"]
+    narrow = stored(base.select("page_id", *key, F.unhex(F.sha1("payload")).alias("_sha"), F.octet_length("payload").alias("_len")), "pages")
+    same = narrow.groupBy("_sha", "_len", "page_id").agg(F.count(F.lit(1)).alias("_times"))
+    payloads = same.groupBy("_sha", "_len").agg(F.max("page_id").alias("_first"), F.sum("_times").alias("_n"), (F.max("_times") == 1).alias("exact")).where("_n > 1")
+    hot, rest = hot_part(stored(payloads, "payloads"), "_n")
     by_hot = narrow.join(F.broadcast(hot), ["_sha", "_len"])
     others = narrow.join(F.broadcast(hot.select("_sha", "_len")), ["_sha", "_len"], "left_anti").join(rest, ["_sha", "_len"])
-    again = by_hot.unionByName(others).where(~F.col("page_id").eqNullSafe(F.col("_first")))
-    again = again.select("_row", F.col("_first").alias("refers_to"), F.lit(True).alias("revisit")).dropDuplicates(["_row"])
-    again = broadcast_if_small(stored(again, "revisits"))
-    name = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("row-"), F.hex("_row")))
-    rows = base.join(again, "_row", "left").select(name.alias("record_id"), "page_id", "url", "payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
-    written = rows.mapInArrow(_writer(_uri(folder)), "record_id string, bundle string, frame long, frame_at long, offset long, length long")
+    again = (F.col("_len") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    # where a payload has a repeated id, none of its rows goes by the id that follows from page and payload
+    odd = by_hot.unionByName(others).select(*key, F.when(again, F.col("_first")).alias("refers_to"), again.alias("revisit"), "exact", (~F.col("exact")).alias("repeated"))
+    odd = broadcast_if_small(stored(odd.where("revisit or repeated").dropDuplicates(key), "revisits"))
+    no = F.lit(False)
+    rows = base.join(odd, key, "left").select("page_id", "url", "payload", "refers_to", F.coalesce("revisit", no).alias("revisit"), F.coalesce("exact", no).alias("exact"), F.coalesce("repeated", no).alias("repeated"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    written = rows.mapInArrow(_writer(_uri(folder), date), "record_id string, bundle string, frame long, frame_at long, offset long, length long")
     return stored(written, "warc-index")
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from conftest import SF
 from odd_tables import none, odd, odd_rows  # noqa: F401
 from pyspark.sql import functions as F
@@ -176,6 +177,54 @@ def test_warc_round_trip(spark, odd_rows, tmp_path):
         assert one["record_id"] == e["record_id"] and warc.seek_table(data)[e["frame"]][0] == e["frame_at"]
 
 
+def plain_records(data):
+    """The records of unpacked archive bytes by the rules of the format alone: named fields, then a block of the stated length."""
+    found = []
+    while data:
+        assert data.startswith(b"WARC/1.1\r\n")
+        head, data = data.split(b"\r\n\r\n", 1)
+        fields = [line.split(b": ", 1) for line in head.split(b"\r\n")[1:]]
+        names = [k for k, _ in fields]
+        assert len(names) == len(set(names)) and all(v and v.isascii() for _, v in fields)
+        fields = {k.decode(): v.decode() for k, v in fields}
+        n = int(fields["Content-Length"])
+        found.append((fields, data[:n]))
+        assert data[n : n + 4] == b"\r\n\r\n"
+        data = data[n + 4 :]
+    return found
+
+
+def test_other_readers_find_addresses_and_messages(spark, tmp_path):
+    pages = [(1, "http://a.b/x%20y?q=%C3%A9#z", "one"), (2, "http://a.b/x y\u00e9", "two"), (3, None, "one"), (4, "http://c.d/", ""), (5, "http://e.f/", "three\r\n\r\nlines"), (5, "http://e.f/", "three\r\n\r\nlines"), (5, "http://g.h/", "other"), (6, "http://i.j/", "three\r\n\r\nlines")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("_k1", F.lit(1)).withColumn("revisit", F.lit("x"))
+    folder = str(tmp_path / "archive")
+    index = warc.write_archives(df, folder, date="2020-02-03T04:05:06Z")
+    assert index.select("record_id").distinct().count() == len(pages)
+    raw = b""
+    for name in {e["bundle"] for e in index.collect()}:
+        with open(f"{folder}/{name}", "rb") as f:
+            raw += zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
+    got = plain_records(raw)
+    ids = [f["WARC-Record-ID"] for f, _ in got]
+    assert len(set(ids)) == len(pages) and all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", i) for i in ids)
+    assert {f["WARC-Date"] for f, _ in got} == {"2020-02-03T04:05:06Z"}
+    assert Counter(f.get("WARC-Target-URI") for f, _ in got) == Counter("http://a.b/x%20y%C3%A9" if i == 2 else u for i, u, _ in pages)
+    for fields, block in got:
+        if fields["WARC-Type"] == "response":
+            assert fields["Content-Type"] == "application/http; msgtype=response"
+            head, payload = block.split(b"\r\n\r\n", 1)
+            assert head.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(payload)}".encode() in head
+            assert fields["WARC-Payload-Digest"] == "sha1:" + warc.digest(payload)
+        else:
+            assert not block and fields["WARC-Profile"] == warc.REVISIT_PROFILE
+    # page 1 repeats page 3, whose record it names; pages 5 repeat page 6, but their ids are not theirs alone
+    referred = {f["X-Page-ID"]: f.get("WARC-Refers-To") for f, _ in got if f["WARC-Type"] == "revisit"}
+    assert referred == {"1": next(f["WARC-Record-ID"] for f, _ in got if f["X-Page-ID"] == "3"), "5": None}
+    assert Counter((r["page_id"], r["url"], r["refers_to"]) for r in warc.read_archives(spark, folder, index).collect()) == Counter(
+        (i, u, {1: 3}.get(i, 6 if i == 5 and t != "other" else None)) for i, u, t in pages
+    )
+
+
 def test_warc_small_payloads_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     got = {r["page_id"]: r["record_type"] for r in warc.round_trip(pages, min_bytes=3).collect()}
