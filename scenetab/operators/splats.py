@@ -202,7 +202,8 @@ def spawn_splats(splats: DataFrame, target: int, seed: int) -> DataFrame:
     """Clone the splats with the largest gradient into the weakest slots of their frame.
 
     Grows to ``target`` but at most to twice the living, and never beyond the slots. Parents repeat in order of rank
-    when there are fewer than clones; a parent shrinks once and is pushed once per clone.
+    when there are fewer than clones; a parent shrinks once and is pushed once per clone. A column ``stabilize`` tells the slots that
+    are held to the frame before: it is cleared for the dead, for parents and for children.
     """
     imp = F.when(F.col("alive"), geom.sigmoid(F.col("alpha"))).otherwise(F.lit(0.0))
     counts = splats.groupBy("frame_idx").agg(F.count_if("alive").alias("_p"), F.count(F.lit(1)).alias("_all"))
@@ -241,7 +242,8 @@ def spawn_splats(splats: DataFrame, target: int, seed: int) -> DataFrame:
             own = F.when(is_parent, F.col(f"pu.{c}")).otherwise(own)
         return F.when(is_child, F.col(f"ch.{c}")).otherwise(own)
 
-    return j.withColumns({**{c: value(c) for c in PARAMS}, "alive": F.col("alive") | is_child}).drop("ch", "pu")
+    held = {"stabilize": F.col("stabilize") & F.col("alive") & ~is_child & ~is_parent} if "stabilize" in splats.columns else {}
+    return j.withColumns({**{c: value(c) for c in PARAMS}, **held, "alive": F.col("alive") | is_child}).drop("ch", "pu")
 
 
 # ---- measures ----------------------------------------------------------------------------------------------------
@@ -298,7 +300,10 @@ def splat_health(splats: DataFrame, cams: DataFrame) -> DataFrame:
 
 
 def splat_drift(splats: DataFrame, stable: str = "alive") -> DataFrame:
-    """Smooth-L1 distance of each frame's usable attributes to the frame before, over the stable slots."""
+    """Smooth-L1 distance of each frame's usable attributes to the frame before, over the slots where ``stable`` holds.
+
+    After a population step that is ``stabilize``, which ``spawn_splats`` clears for what has been killed, moved or made.
+    """
     groups = {
         "pos": [F.col(c) for c in XYZ], "color": [geom.sigmoid(F.col(c)) for c in COLOR], "alpha": [geom.sigmoid(F.col("alpha"))],
         "scale": [geom.scale_active(F.col(c)) for c in SCALE], "quat": _cols(QUAT),

@@ -134,7 +134,7 @@ _IN = lambda e: f"least(greatest({e}, 1e-7), 1 - 1e-7)"
 _LT = lambda e: f"ln({_IN(e)} / (1 - {_IN(e)}))"
 
 
-@query("spawn_splats", "splats", f"""WITH n AS (SELECT frame_idx, count(*) FILTER (WHERE alive) AS p, count(*) AS total FROM splats GROUP BY ALL),
+_SPAWN = f"""WITH n AS (SELECT frame_idx, count(*) FILTER (WHERE alive) AS p, count(*) AS total FROM splats GROUP BY ALL),
 m AS (SELECT frame_idx, p, greatest(0, least(least(950, 2 * p) - p, total - p)) AS m FROM n),
 sl AS (SELECT frame_idx, splat_idx AS slot, row_number() OVER (PARTITION BY frame_idx ORDER BY CASE WHEN alive THEN {SIG('alpha')} ELSE 0 END, splat_idx) - 1 AS rk FROM splats),
 pa AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY grad DESC, splat_idx) - 1 AS prk FROM splats WHERE alive),
@@ -142,7 +142,10 @@ pr AS (SELECT pa.*, sl.slot, q0/(qn+1e-6) AS a, q1/(qn+1e-6) AS b, q2/(qn+1e-6)
 FROM sl JOIN m USING (frame_idx) JOIN (SELECT *, sqrt(q0*q0+q1*q1+q2*q2+q3*q3) AS qn FROM pa) pa ON pa.frame_idx = sl.frame_idx AND pa.prk = sl.rk % m.p WHERE sl.rk < m.m),
 of_ AS (SELECT *, {_jit(81)}, {_jit(84)}, {_LT('(1 - (k0 - ln(1.1))) / 7')} AS n0, {_LT('(1 - (k1 - ln(1.1))) / 7')} AS n1 FROM pr),
 pu AS (SELECT frame_idx, splat_idx, sum(o84x) AS ox, sum(o84y) AS oy, sum(o84z) AS oz, any_value(n0) AS n0, any_value(n1) AS n1 FROM of_ GROUP BY ALL),
-ch AS (SELECT frame_idx, slot AS splat_idx, x + o81x AS x, y + o81y AS y, z + o81z AS z, n0, n1, c0, alpha FROM of_)
+ch AS (SELECT frame_idx, slot AS splat_idx, x + o81x AS x, y + o81y AS y, z + o81z AS z, n0, n1, c0, alpha FROM of_)"""
+
+
+@query("spawn_splats", "splats", f"""{_SPAWN}
 SELECT s.frame_idx, s.splat_idx, {rnd('x=coalesce(ch.x, s.x + coalesce(pu.ox, 0)); y=coalesce(ch.y, s.y + coalesce(pu.oy, 0)); z=coalesce(ch.z, s.z + coalesce(pu.oz, 0)); s0=coalesce(ch.n0, pu.n0, s.s0); s1=coalesce(ch.n1, pu.n1, s.s1); c0=coalesce(ch.c0, s.c0); alpha=coalesce(ch.alpha, s.alpha)')},
 s.alive OR ch.x IS NOT NULL AS alive FROM splats s LEFT JOIN pu USING (frame_idx, splat_idx) LEFT JOIN ch USING (frame_idx, splat_idx)""")
 def _(t):
@@ -150,6 +153,20 @@ def _(t):
     return rounded(out.select("frame_idx", "splat_idx", "x", "y", "z", "s0", "s1", "c0", "alpha", "alive"))
 
 
+# two slots of three are held to the frame before
+_HELD = """fl AS (SELECT s.frame_idx, s.splat_idx, s.splat_idx % 3 <> 0 AND s.alive AND ch.x IS NULL AND pu.ox IS NULL AS stabilize
+FROM splats s LEFT JOIN pu USING (frame_idx, splat_idx) LEFT JOIN ch USING (frame_idx, splat_idx))"""
+
+
+def _spawned(t):
+    return G.spawn_splats(t.splats.withColumn("stabilize", F.col("splat_idx") % 3 != 0), 950, 81)
+
+
+@query("spawn_flags", "splats", f"{_SPAWN}, {_HELD} SELECT frame_idx, splat_idx, stabilize FROM fl")
+def _(t):
+    return _spawned(t).select("frame_idx", "splat_idx", "stabilize")
+
+
 @query("isolated_splats", "splats", f"""WITH b AS (SELECT frame_idx, abs(xor(xor(CAST(floor(x / 0.3) AS BIGINT) * 73856093, CAST(floor(y / 0.3) AS BIGINT) * 19349663), CAST(floor(z / 0.3) AS BIGINT) * 83492791)) AS hh, {SIG('alpha')} AS a FROM splats WHERE alive),
 c AS (SELECT *, count(*) OVER (PARTITION BY frame_idx, hh) AS n FROM b)
 SELECT frame_idx, {rnd('isolation=avg(CASE WHEN n = 1 THEN a ELSE 0 END)')}, count(*) FILTER (WHERE n = 1) AS isolated FROM c GROUP BY frame_idx""")
@@ -215,12 +232,23 @@ def _sl1(cur: list[str]) -> str:
     return f"avg(({' + '.join(one)}) / {len(cur)})"
 
 
-@query("splat_drift", "splats", f"""SELECT c.frame_idx, {rnd('pos_drift=' + _sl1(['#x', '#y', '#z']) + '; color_drift=' + _sl1([SIG('#c0'), SIG('#c1'), SIG('#c2')]) + '; alpha_drift=' + _sl1([SIG('#alpha')]) + '; scale_drift=' + _sl1([SC('#s0'), SC('#s1'), SC('#s2')]) + '; quat_drift=' + _sl1(['#q0', '#q1', '#q2', '#q3']))}
+_DRIFT = f"""{rnd('pos_drift=' + _sl1(['#x', '#y', '#z']) + '; color_drift=' + _sl1([SIG('#c0'), SIG('#c1'), SIG('#c2')]) + '; alpha_drift=' + _sl1([SIG('#alpha')]) + '; scale_drift=' + _sl1([SC('#s0'), SC('#s1'), SC('#s2')]) + '; quat_drift=' + _sl1(['#q0', '#q1', '#q2', '#q3']))}"""
+
+
+@query("splat_drift", "splats", f"""SELECT c.frame_idx, {_DRIFT}
 FROM splats c JOIN splats p ON p.splat_idx = c.splat_idx AND p.frame_idx = c.frame_idx - 1 WHERE c.alive GROUP BY c.frame_idx""")
 def _(t):
     return rounded(G.splat_drift(t.splats))
 
 
+@query("splat_drift_held", "splats", f"""{_SPAWN}, {_HELD} SELECT c.frame_idx, {_DRIFT}
+FROM splats c JOIN fl USING (frame_idx, splat_idx) JOIN splats p ON p.splat_idx = c.splat_idx AND p.frame_idx = c.frame_idx - 1 WHERE stabilize GROUP BY c.frame_idx""")
+def _(t):
+    """Drift over the slots that the population step leaves as they are."""
+    held = _spawned(t).select("frame_idx", "splat_idx", "stabilize")
+    return rounded(G.splat_drift(t.splats.join(held, ["frame_idx", "splat_idx"]), "stabilize"))
+
+
 @query("norm_summary", "splats", f"""WITH l AS (SELECT 'pos' AS attr, sqrt(x*x+y*y+z*z) AS n FROM splats WHERE alive UNION ALL SELECT 'quat', sqrt(q0*q0+q1*q1+q2*q2+q3*q3) FROM splats WHERE alive
 UNION ALL SELECT 'alpha', abs(alpha) FROM splats WHERE alive) SELECT attr, {rnd('max_norm=max(n); min_norm=min(n); mean_norm=avg(n)')} FROM l GROUP BY attr""")
 def _(t):
