@@ -206,6 +206,48 @@ def order_by_connectivity(matches: DataFrame, images: DataFrame, cut_every: int
     return images.sparkSession.createDataFrame(picks, "position bigint, image_idx bigint")
 
 
+def _greedy(pdf: pd.DataFrame) -> np.ndarray:
+    """Image indices in greedy order, from (chosen, image_idx, w); rows without ``chosen`` name the images."""
+    images = np.sort(pdf.loc[pdf["chosen"].isna(), "image_idx"].unique())
+    edges = pdf[pdf["chosen"].notna() & pdf["image_idx"].isin(images)]
+    to, w = np.searchsorted(images, edges["image_idx"].to_numpy()), edges["w"].to_numpy()
+    total = np.bincount(to, weights=w, minlength=len(images)).astype(np.int64)
+    inner = edges["chosen"].isin(images).to_numpy()
+    frm, to, w = np.searchsorted(images, edges["chosen"].to_numpy()[inner]), to[inner], w[inner]
+    by = np.argsort(frm, kind="stable")
+    to, w, ends = to[by], w[by], np.r_[0, np.cumsum(np.bincount(frm, minlength=len(images)))]
+    score, order = total.copy(), []
+    for k in range(len(images)):
+        best = int(np.argmax(score))  # the lowest index of equal ones
+        if k == 0:
+            score[:] = 0
+        order.append(best)
+        some = slice(ends[best], ends[best + 1])
+        score[to[some]] += w[some]
+        score[order] = -1
+    return images[order]
+
+
+def order_videos(matches: DataFrame, images: DataFrame, video: str = "video") -> DataFrame:
+    """The order of ``order_by_connectivity`` for the images of every video, in one job: (video, position, image_idx).
+
+    ``matches`` and ``images`` have the video's key. Matches are summed to one row per pair of images before they meet by video, so a
+    task holds the square of a video's images at most, however many matches there are. A video is one capture of some thousand
+    images; ``order_by_connectivity`` has no such bound.
+    """
+    both = matches.select(video, F.col("image_idx1").alias("chosen"), F.col("image_idx2").alias("image_idx"))
+    both = both.unionByName(both.select(video, F.col("image_idx").alias("chosen"), F.col("chosen").alias("image_idx")))
+    weights = both.groupBy(video, "chosen", "image_idx").agg(F.count(F.lit(1)).alias("w"))
+    rows = weights.unionByName(images.select(video, F.lit(None).cast("bigint").alias("chosen"), "image_idx", F.lit(0).cast("bigint").alias("w")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _greedy(pdf)
+        return pd.DataFrame({video: pdf[video].iloc[0], "position": np.arange(len(found)), "image_idx": found})
+
+    kind = dict(images.dtypes)[video]
+    return rows.select(video, "chosen", F.col("image_idx").cast("bigint").alias("image_idx"), "w").groupBy(video).applyInPandas(run, f"{video} {kind}, position bigint, image_idx bigint")
+
+
 def _node(image: str, kp: str) -> Column:
     """Image and keypoint in one number, 31 and 32 bits; larger ids are an error, not a merger of strangers."""
     i, k = F.col(image).cast("bigint"), F.col(kp).cast("bigint")

@@ -86,6 +86,21 @@ def _(t):
     return G.order_by_connectivity(t.matches, t.events.select((F.col("event_id") % 25).alias("image_idx")).distinct())
 
 
+# a video is the matches of two thousand events in turn
+@query("order_videos", "matches", """WITH RECURSIVE i AS (SELECT DISTINCT event_id // 2000 AS v, event_id % 25 AS img FROM events),
+m AS (SELECT keypoint_idx1 // 2000 AS v, image_idx1, image_idx2 FROM matches),
+e AS (SELECT v, image_idx1 AS a, image_idx2 AS img FROM m UNION ALL SELECT v, image_idx2, image_idx1 FROM m),
+w AS (SELECT v, a, img, count(*) AS w FROM e GROUP BY ALL),
+f(v, n, chosen) AS (SELECT v, CAST(1 AS BIGINT), [img] FROM (SELECT i.v, i.img, count(e.a) AS s FROM i LEFT JOIN e USING (v, img) GROUP BY ALL) q QUALIFY row_number() OVER (PARTITION BY v ORDER BY s DESC, img) = 1
+UNION ALL SELECT v, n + 1, list_append(chosen, img) FROM (SELECT f.v, f.n, f.chosen, i.img, coalesce(sum(CASE WHEN list_contains(f.chosen, w.a) THEN w.w END), 0) AS s
+FROM f JOIN i ON i.v = f.v AND NOT list_contains(f.chosen, i.img) LEFT JOIN w ON w.v = i.v AND w.img = i.img GROUP BY ALL) q QUALIFY row_number() OVER (PARTITION BY v ORDER BY s DESC, img) = 1)
+SELECT v AS video, unnest(range(n)) AS position, unnest(chosen) AS image_idx FROM f QUALIFY n = max(n) OVER (PARTITION BY v)""")
+def _(t):
+    video = lambda c: F.floor(F.col(c) / 2000).alias("video")
+    images = t.events.select(video("event_id"), (F.col("event_id") % 25).alias("image_idx")).distinct()
+    return G.order_videos(t.matches.select(video("keypoint_idx1"), "image_idx1", "image_idx2"), images)
+
+
 @query("build_tracks", "", """WITH n AS (SELECT event_id, (event_id % 25) * 4294967296 + event_id AS node, user_id, event_type FROM events)
 SELECT min(node) OVER (PARTITION BY user_id, event_type) AS track_id, event_id % 25 AS image_idx, event_id AS kp_idx FROM n
 QUALIFY count(*) OVER (PARTITION BY user_id, event_type) >= 2""")
