@@ -20,7 +20,7 @@ HEAD = 1 << 20
 # ids along a side of a tile; a tile is counted cell by cell if it has one occurrence for two cells or more
 SIDE = 256
 # words a task counts before it passes them on, positions of a stream, and positions that are counted together
-WORDS, STREAM, TOGETHER = 1 << 19, 1 << 18, 1 << 22
+WORDS, STREAM, TOGETHER = 1 << 19, 1 << 18, 1 << 20
 # fixed values of the contract: what ends a piece becomes a full stop, a tab a blank
 END = b"."
 _PIECES = byte_table(b"\t").translate(bytes(46 if b in b".,;:!?\n\v\f\r" else b for b in range(256)))
@@ -58,8 +58,8 @@ def ranked(df: DataFrame, *keys: str) -> DataFrame:
     return stored(dealt.withColumn("_place", place).join(offsets, "_part").withColumn("id", F.col("_before") + F.col("_place") - 1).drop("_part", "_place", "_before"), "ranked")
 
 
-def tile_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, n) of the different pairs. Crowded tiles have a counter for each cell, the pairs of all others are sorted."""
+def tile_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x << 31 | y, n) of the different pairs. Crowded tiles have a counter for each cell, the pairs of all others are sorted."""
     cells = SIDE * SIDE
     wide = int(y.max(initial=0)) // SIDE + 1
     tile = (x // SIDE).astype(np.int64) * wide + y // SIDE
@@ -75,11 +75,8 @@ def tile_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     code = np.sort((x[~inside].astype(np.int64) << 31) | y[~inside])
     begins = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
     rest = code[begins]
-    return (
-        np.r_[corner // wide * SIDE + at // SIDE, rest >> 31],
-        np.r_[corner % wide * SIDE + at % SIDE, rest & ((1 << 31) - 1)],
-        np.r_[count[cell], np.diff(np.r_[begins, len(code)])],
-    )
+    found = ((corner // wide * SIDE + at // SIDE) << 31) | (corner % wide * SIDE + at % SIDE)
+    return np.r_[found, rest], np.r_[count[cell], np.diff(np.r_[begins, len(code)])]
 
 
 def _arrays(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
@@ -100,7 +97,7 @@ def _count_pairs(k: int):
 
         def out():
             found = tile_counts(np.concatenate(xs), np.concatenate(ys))
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["x", "y", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32))], ["code", "n"])
 
         for batch in batches:
             for w, s in zip(_arrays(batch, "w"), _arrays(batch, "s" if k > 1 else "w")):
@@ -277,8 +274,9 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, cover: int
     streams = stored(streams, "streams")
     levels = []
     for k in range(1, longest):
-        pairs = streams.mapInArrow(_count_pairs(k), "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
-        symbols = ranked(pairs.where(F.col("n") >= least), "x", "y")
+        pairs = streams.mapInArrow(_count_pairs(k), "code long, n int").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        pairs = pairs.select(F.shiftright("code", 31).alias("x"), F.col("code").bitwiseAND((1 << 31) - 1).alias("y"), "n")
+        symbols = ranked(pairs, "x", "y")
         level = _longer(symbols, level, words)
         levels.append(level.withColumn("k", F.lit(k + 1)))
         if k + 1 < longest:
