@@ -21,10 +21,10 @@ from scenetab.llm.tokens import BLANKS, runs, texts_of
 # words with a class of their own, classes of the other words, words before a word that predict it, and numbers per word
 WORDS, ENDINGS, CONTEXT, WIDTH = 256, 64, 5, 24
 # the most frequent words, whose counts every task holds; the others are looked up by a join
-KNOWN = 1 << 20
+KNOWN = 1 << 17
 # tokens of a step and its noise words, tokens that are shuffled or scored together, distinct words a task counts at once
-STEP, NOISE, BUFFER, SCORED, DISTINCT = 4096, 64, 1 << 18, 1 << 13, 1 << 19
-ROUNDS = 2
+STEP, NOISE, BUFFER, SCORED, DISTINCT = 4096, 32, 1 << 18, 1 << 10, 1 << 19
+ROUNDS = 1
 
 
 class Model(NamedTuple):
@@ -126,24 +126,37 @@ def _scattered(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def guesses(p: dict[str, np.ndarray], before: np.ndarray) -> np.ndarray:
+    """The sum of the context words' numbers, each weighed by its place."""
+    table = p["context"] * p["place"][:, None, :]  # small, unlike the rows that are taken from it
+    guess = table[0][before[:, 0]]
+    for j in range(1, len(table)):
+        guess += table[j][before[:, j]]
+    return guess
+
+
 def gradients(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, noise: np.ndarray, shares: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss with which tokens are told from ``noise`` words drawn by ``shares``; all tokens share the noise."""
     n, k = len(target), len(noise)
-    rows = p["context"][before]  # tokens x CONTEXT x WIDTH
-    guess = (rows * p["place"]).sum(1)
+    guess = guesses(p, before)
     expected = np.log(k * shares).astype(guess.dtype)
-    true = (guess * p["target"][target]).sum(1) + p["bias"][target] - expected[target]
-    false = guess @ p["target"][noise].T + (p["bias"] - expected)[noise]
+    own = p["target"][target]
+    true = np.einsum("ij,ij->i", guess, own) + (p["bias"] - expected)[target]
+    false = guess @ p["target"][noise].T
+    false += (p["bias"] - expected)[noise]
     g_true = (-1 / (1 + np.exp(np.clip(true, -60, 60)))) / n
-    g_false = (1 / (1 + np.exp(np.clip(-false, -60, 60)))) / n
-    g_guess = g_true[:, None] * p["target"][target] + g_false @ p["target"][noise]
-    rows_of = np.r_[target, noise]
-    g_target = np.concatenate([np.c_[g_true[:, None] * guess, g_true], np.c_[g_false.T @ guess, g_false.sum(0)]])
-    g_target = _scattered(rows_of, g_target, len(shares))
-    g_rows = g_guess[:, None, :] * p["place"]
+    np.clip(false, -60, 60, out=false)
+    np.exp(-false, out=false)
+    false += 1
+    g_false = np.divide(1 / n, false, out=false)
+    g_target = _scattered(target, np.c_[g_true[:, None] * guess, g_true], len(shares))
+    np.add.at(g_target, noise, np.c_[g_false.T @ guess, g_false.sum(0)])
+    own *= g_true[:, None]
+    g_guess = own + g_false @ p["target"][noise]
+    g_table = np.stack([_scattered(before[:, j], g_guess, len(p["context"])) for j in range(before.shape[1])])
     return {
-        "context": _scattered(before.ravel(), g_rows.reshape(-1, rows.shape[2]), len(p["context"])),
-        "place": (g_guess[:, None, :] * rows).sum(0),
+        "context": (g_table * p["place"][:, None, :]).sum(0),
+        "place": (g_table * p["context"]).sum(1),
         "target": g_target[:, :-1],
         "bias": g_target[:, -1],
     }
@@ -241,11 +254,15 @@ def fit(docs: DataFrame, text_col: str = "text", words: int = WORDS, rounds: int
 
 def log_probabilities(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log10 of the class probabilities, which sum to 1 over all classes."""
-    guess = (p["context"][before] * p["place"]).sum(1)
-    scores = guess @ p["target"].T + p["bias"]
+    scores = guesses(p, before) @ p["target"].T
+    scores += p["bias"]
     true = scores[np.arange(len(target)), target]
-    top = scores.max(1, keepdims=True)
-    return (true - top[:, 0] - np.log(np.exp(scores - top).sum(1))) / math.log(10)
+    if np.abs(scores).max(initial=0) > 60:  # beyond what single numbers bear
+        top = scores.max(1, keepdims=True)
+        scores -= top
+        true = true - top[:, 0]
+    np.exp(scores, out=scores)
+    return (true - np.log(scores.sum(1))) / math.log(10)
 
 
 def _scorer(known: Broadcast, logs: np.ndarray, dens: np.ndarray, parameters: Broadcast, tail: bool):
