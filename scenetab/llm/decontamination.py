@@ -151,9 +151,13 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
+    """The rows of ``docs``, all columns, that are not contaminated.
+
+    Null and empty texts are clean and stay, whatever their id; repeated rows stay or go together; texts of any length are compared as a
+    whole; without items all rows stay; an empty table stays empty; columns that are named like those of this module are kept.
+    """
     names, row = docs.columns, fresh(docs, "_row")
-    keyed = docs.withColumn(row, F.xxhash64(id_col, text_of(text_col)))
+    keyed = docs.withColumn(row, F.struct(*key128(F.col(id_col), text_of(text_col))))
     verdict = contamination(keyed, bench, row, text_col, item_col, item_text_col)
     bad = stored(verdict.where("contaminated").select(row).distinct(), "contaminated")
     return keyed.join(broadcast_if_small(bad), row, "left_anti").select(*names)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetab.functions.session import broadcast_if_small
-from scenetab.llm.common import fresh, stored, text_of
+from scenetab.llm.common import fresh, key128, stored, text_of
 from scenetab.llm.components import components
 
 # words whose hash a task remembers
@@ -130,19 +130,25 @@ def _prefixes(percent: int):
     return run
 
 
-def _column_product(cells: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets of one column, of different components, whose overlap may be large enough, block by block."""
-    sign, root, size = cells["sign"], cells["root"], cells["size"]
-    ahead = cells["n"] - cells["at"]
+def _column_product(cells: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Rows (a, b, least) for the pairs of one column, of different components, whose overlap may be large enough, block by block.
+
+    Each is an entry of the product and adds 1 to the pair's overlap. ``least`` is what the prefix columns have to add up to: the overlap that
+    the sizes ask for, less all that the rest of the longer remainder could add.
+    """
+    sign, root, size, at_ = cells["sign"], cells["root"], cells["size"], cells["at"]
+    ahead, rest = cells["n"] - at_, (size * percent + 99) // 100 - 1
     sketch = np.frombuffer(b"".join(cells["sketch"]), np.uint16).reshape(-1, SKETCH).astype(np.int32)
     known = sketch.sum(1) == cells["n"]
-    a, b = [], []
+    found = []
     for i in range(0, len(sign), BLOCK):
         for j in range(i, len(sign), BLOCK):
             x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
             need = (size[x, None] + size[None, y]) * percent
             small, large = np.minimum(size[x, None], size[None, y]), np.maximum(size[x, None], size[None, y])
-            ok = (root[x, None] != root[None, y]) & (small * 100 >= large * percent) & (np.minimum(ahead[x, None], ahead[None, y]) * (100 + percent) >= need)
+            # columns before this one can have added no more than the places before it, columns from it on no more than what lies ahead
+            most = np.minimum(ahead[x, None], ahead[None, y]) + np.minimum(at_[x, None], at_[None, y])
+            ok = (root[x, None] != root[None, y]) & (small * 100 >= large * percent) & (most * (100 + percent) >= need)
             if i == j:
                 ok &= np.tri(*ok.shape, -1, dtype=bool)
             p, q = np.nonzero(ok)
@@ -150,13 +156,14 @@ def _column_product(cells: dict[str, np.ndarray], percent: int) -> tuple[np.ndar
                 u, v = p[at : at + (1 << 14)] + i, q[at : at + (1 << 14)] + j
                 most = np.minimum(sketch[u], sketch[v]).sum(1)
                 fits = (most * (100 + percent) >= (size[u] + size[v]) * percent) | ~known[u] | ~known[v]
-                a.append(np.minimum(sign[u[fits]], sign[v[fits]]))
-                b.append(np.maximum(sign[u[fits]], sign[v[fits]]))
-    return (np.concatenate(a), np.concatenate(b)) if a else (sign[:0], sign[:0])
+                u, v = u[fits], v[fits]
+                need_n = -(-(size[u] + size[v]) * percent // (100 + percent))
+                found.append(np.stack([np.minimum(sign[u], sign[v]), np.maximum(sign[u], sign[v]), need_n - np.maximum(rest[u], rest[v])], 1))
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
 def _products(percent: int):
-    """Multiply the columns of a task, which come one after another; what each batch finds is passed on once."""
+    """Multiply the columns of a task, which come one after another; the entries that each batch finds are passed on as one sum per pair."""
     names = ["token", "sign", "root", "size", "n", "at", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +172,8 @@ def _products(percent: int):
         def product(cells):
             cuts = np.flatnonzero(np.r_[True, cells["token"][1:] != cells["token"][:-1], True])
             found = [_column_product({c: v[s:e] for c, v in cells.items()}, percent) for s, e in zip(cuts[:-1], cuts[1:]) if e - s > 1]
-            pairs = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0) if found else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs, n = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *found]), axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(3)), pa.array(n.astype(np.int64))], ["a", "b", "least", "n"])
 
         for batch in batches:
             held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in names})
@@ -191,6 +198,11 @@ def _linked(pairs: DataFrame, cores: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("n") * 100 >= F.lit(percent) * (F.col("sa") + F.col("sb") - F.col("n"))).select("a", "b")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits from a row's id and text."""
+    return F.struct(*key128(F.col(id_col), text_of(text_col), names=("h", "l")))
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: (id_col, row, n_shingles, component_id, class_id), stored.
 
@@ -209,15 +221,17 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
        others is dropped, and of the rest only a short prefix, rarest first, has to meet another's.
     3. The prefix columns are multiplied: first only neighbours by size within each column, then, once those links have been
        contracted, all entries between different components, block by block. The sizes, the place in the prefix and counts
-       over 128 parts of all columns bound each entry's overlap; entries below the bound are discarded where they arise. For
-       the others the overlap is counted over all columns.
+       over 128 parts of all columns bound each entry's overlap; entries below the bound are discarded where they arise. The others
+       are added up by pair, in the task and then by a shuffle, and pairs whose sum over the prefix columns leaves too much to the
+       other columns are discarded. Only for the pairs that are left, whose prefixes can't decide, the other columns are counted.
 
-    So a group of copies costs a number of products in proportion to its size, and no link is lost.
+    So a group of copies costs a number of products in proportion to its size, and no link is lost. Texts of any length are one set,
+    whatever columns stand beside them.
     """
     text = text_of(text_col)
     kind = dict(docs.dtypes)[id_col]
-    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), text.cast("binary").alias("text"))
-    sets = stored(keyed.mapInArrow(_sets(n, percent), f"id {kind}, row long, size long, sign long, need long, head array<long>"), "sets")
+    keyed = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), text.cast("binary").alias("text"))
+    sets = stored(keyed.mapInArrow(_sets(n, percent), f"id {kind}, row struct<h: long, l: long>, size long, sign long, need long, head array<long>"), "sets")
     some = sets.where("size > 0")
     nodes = stored(some.groupBy("sign").agg(F.min("id").alias("first_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("need").alias("need")), "nodes")
 
@@ -249,7 +263,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
     column = Window.partitionBy("token")
     rooted = rooted.withColumn("mixed", F.min("root").over(column) != F.max("root").over(column)).where("mixed").drop("mixed")
     rooted = rooted.select("token", "sign", "root", "size", "n", F.col("at").cast("bigint").alias("at"), "sketch").sortWithinPartitions("token", "size")
-    across = rooted.mapInArrow(_products(percent), "a long, b long").distinct()
+    across = rooted.mapInArrow(_products(percent), "a long, b long, least long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("least").alias("least"))
+    across = across.where("n >= least").select("a", "b")
     second = stored(_linked(across, cores, percent), "links")
     found = components(first.unionByName(second), "a", "b") if not second.isEmpty() else found
 
@@ -272,7 +287,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_i
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each class: that with the least id.
 
-    Rows without words are in no class and all stay.
+    Of rows that have the least id in common one stays, and of equal rows one; a null id comes after all others. Null and empty texts and
+    others without words are in no class, and all their rows stay. Texts of any length count as a whole; an empty table stays
+    empty; columns that are named like those of this module are kept as they are.
     """
     names, key = docs.columns, fresh(docs, "_row")
     found = stored(classes(docs, n, percent, id_col, text_col).select(F.col(id_col).alias("id"), "row", "class_id"), "members")
@@ -280,7 +297,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     times = found.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
     kept = stored(winners.join(times, "row").select(F.col("row").alias(key), "times"), "winners")
     wordless = stored(found.where("class_id is null").select(F.col("row").alias(key)).distinct(), "wordless")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text_of(text_col)))
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
     single = kept.where("times = 1").select(key).unionByName(wordless)
     # a winner that is there several times over stays once
     repeated = keyed.join(broadcast_if_small(kept.where("times > 1").select(key)), key, "left_semi").dropDuplicates([key])

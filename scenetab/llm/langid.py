@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenetab.llm.common import fresh, stored
+from scenetab.llm.common import fresh, key128, stored
 
 FEATURES = 1 << 14
 PIECE = 1 << 20
@@ -169,9 +169,14 @@ def fit_on_split(docs: DataFrame, id_col: str = "doc_id", **names) -> tuple[list
 
 
 def kept_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is decided and not in doubt."""
+    """The rows of ``docs``, all columns, whose language is decided and not in doubt.
+
+    Null and empty texts and others without a letter go, and so do all rows if no row to learn from has a language. Equal rows stay or go
+    together, whatever their id; texts of any length are read as a whole; an empty table stays empty; columns that are named like those
+    of this module are kept.
+    """
     names, row = docs.columns, fresh(docs, "_row")
-    keyed = docs.withColumn(row, F.xxhash64(id_col, text_col))
+    keyed = docs.withColumn(row, F.struct(*key128(F.col(id_col), F.col(text_col))))
     verdict = identify(keyed, fit_on_split(docs, id_col, text_col=text_col), row, text_col)
     bad = stored(verdict.where((F.col("lang_pred") == UNDECIDED) | F.col("ambiguous")).select(row).distinct(), "languages")
     return keyed.join(bad, row, "left_anti").select(*names)

@@ -89,7 +89,12 @@ def mix_sizes(docs: DataFrame, weights: list[float], share: float = 1.0, limit:
 
 
 def mix(docs: DataFrame, weights: list[float], share: float = 1.0, limit: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: every row of ``docs``, with all its columns, as often as the mix takes it."""
+    """The mixed corpus: every row of ``docs``, with all its columns, as often as the mix takes it.
+
+    Null and empty texts have size 0 and are taken like any other row; a null source is a source of its own, the last one; rows that
+    repeat an id share its draw (without id: its text's), equal rows are each taken so often; sizes count whole texts; an empty table
+    stays empty; columns that are named like those of this module are kept.
+    """
     rates, _ = mixing_plan(docs, weights, share, limit, id_col, text_col, source_col)
     rates = rates.select(F.col("_source").alias("_s"), "_base", "_frac", "_seed")
     # the row travels as one column, so its names can't clash with these

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenetab.functions.session import broadcast_if_small
 from scenetab.llm.common import stored, text_of
 
-BUCKETS = 1024
 TOP = float(1 << 52)
 
 
@@ -65,7 +65,7 @@ def assign_shards(
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n")).select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("shard", "_range").orderBy("_place", "_id", "text_crc32", "size")
-    numbered = placed.withColumn("_nth", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["shard", "_range"])
+    numbered = placed.withColumn("_nth", F.row_number().over(inside) - 1).join(broadcast_if_small(starts), ["shard", "_range"])
     return numbered.select(
         F.col("_id").alias(id_col),
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
@@ -79,6 +79,10 @@ def assign_shards(
 
 
 def with_shard(docs: DataFrame, weights: list[float], id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the column ``shard`` (in place of one of that name), without moving a row."""
+    """``docs`` with the column ``shard`` (in place of one of that name), without moving a row.
+
+    Only the id decides: rows that repeat an id share its shard, and so do all rows without one. Texts are not looked at, null, empty or
+    long; an empty table stays empty; other columns are kept. The plan has one hash per shard, so it is meant for some thousand.
+    """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     return docs.withColumn("shard", F.array_min(F.array(*[F.struct(_cost(key, i, w).alias("c"), F.lit(i).alias("s")) for i, w in enumerate(weights)]))["s"])
