@@ -224,6 +224,22 @@ def lift_tracks(obs: DataFrame, cams: DataFrame, radius: float = geom.Z_FAR) ->
 SPACING_LO, SPACING_HI = 0.003, 0.1
 SPACING_RADII = (0.005, 0.04, 0.3)
 DENSE_CELL = 0.0025
+# a cell with more than this share of all candidates is cut into parts
+SPLIT = 256
+
+
+def split_cells(cand: DataFrame, probe: DataFrame, cells: list[str], key: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``cells`` with one more key ``_part``, so that no key holds more than some total / SPLIT candidates.
+
+    Candidates of a large cell are dealt to its parts, searching rows are copied to each. Only cells with searching rows are kept. There are fewer
+    than SPLIT large cells, so they are broadcast.
+    """
+    cand = cand.join(probe.select(*cells).distinct(), cells, "left_semi")
+    sizes = cand.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * SPLIT > F.lit(total))
+    large = F.broadcast(cut_lineage(sizes.select(*cells, F.ceil(F.col("_n") * SPLIT / F.lit(max(total, 1))).cast("int").alias("_parts"))))
+    parts = F.coalesce("_parts", F.lit(1))
+    cand = cand.join(large, cells, "left").withColumn("_part", F.pmod(F.xxhash64(key), parts).cast("int")).drop("_parts")
+    return cand, probe.join(large, cells, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
 
 
 def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> DataFrame:
@@ -232,7 +248,9 @@ def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> D
     The clamp makes two short cuts exact. Three points in a cell of side 0.0025 are all at the lower bound, so dense
     clumps and piles of copies are settled by a count. And a neighbour beyond 0.3 puts the result at the upper bound.
     What is left is searched with growing radii; a point goes on to the next radius only while fewer than two others
-    are near, so each cell holds few searching points and the join grows with the cloud, not with its square.
+    are near, so each cell holds few searching points and the join grows with the cloud, not with its square. A round reads the
+    cells near searching points only; a cell that holds much of the cloud, such as a clump beside a stray, is searched in parts,
+    and the two nearest of each part are merged.
     """
     cells = ("_gx", "_gy", "_gz")
     xyz = tuple(F.col(c) for c in "xyz")
@@ -243,6 +261,7 @@ def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> D
     located = pos.withColumns({n: _cell(c, DENSE_CELL) for c, n in zip(xyz, cells)})
     done = located.join(crowded, [*scope, *cells], "left_semi").select(*scope, key, F.lit(SPACING_LO).alias("spacing"))
     todo = cut_lineage(located.join(crowded, [*scope, *cells], "left_anti").drop(*cells))
+    total = pos.count()
     for radius in SPACING_RADII:
         probe = todo
         for name, arr in _around(radius, xyz, cells).items():
@@ -250,12 +269,14 @@ def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> D
         probe = probe.select(*scope, *cells, F.col(key).alias("_q"), *[c.alias(f"_q{n}") for c, n in zip(xyz, "xyz")])
         cand = pos.withColumns({n: _cell(c, radius) for c, n in zip(xyz, cells)})
         d = geom.norm(*[F.col(c) - F.col(f"_q{c}") for c in "xyz"])
+        cand, probe = split_cells(cand, probe, [*scope, *cells], key, total)
         near = (
-            cand.join(probe, [*scope, *cells])
+            cand.join(probe, [*scope, *cells, "_part"])
             .where(F.col(key) != F.col("_q"))
             .select(*scope, "_q", key, d.alias("_d"))
             .where(F.col("_d") <= radius)
         )
+        # at most two rows of a point leave each part, as the limit is applied before the shuffle too
         w = Window.partitionBy(*scope, "_q").orderBy("_d", key)
         two = near.withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
         sums = two.groupBy(*scope, "_q").agg(F.sum("_d").alias("_s"), F.count(F.lit(1)).alias("_n")).where("_n = 2")

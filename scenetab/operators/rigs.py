@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenetab.functions import geom
@@ -15,11 +15,12 @@ CAMS_PER_ROW = 64
 def rig_table(cams: DataFrame, scene: str = "scene_id") -> tuple[DataFrame, bool]:
     """Cameras packed into arrays of at most 64 per row, and whether each scene fits one row.
 
-    Consecutive camera indices share a row, so a packed row is bounded whatever the number of cameras.
+    Cameras are numbered inside their scene, so rows are full and bounded whatever the number of cameras and however their
+    indices are strewn over the scenes.
     """
     cols = ["cam_idx", *[c for c in cams.columns if c not in (scene, "cam_idx")]]
     packed = (
-        cams.withColumn("_chunk", F.floor(F.col("cam_idx") / F.lit(CAMS_PER_ROW)))
+        cams.withColumn("_chunk", F.floor((F.row_number().over(Window.partitionBy(scene).orderBy("cam_idx")) - 1) / F.lit(CAMS_PER_ROW)))
         .groupBy(scene, "_chunk")
         .agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("rig"))
         .drop("_chunk")
