@@ -263,12 +263,42 @@ def _flow(t, sign=1.0):
     return t.pixels.select("frame_idx", "y", "x", (sign * (6 * F.col("g") - 3)).alias("fx"), (sign * (6 * F.col("r") - 3)).alias("fy"))
 
 
-@query("flow_splat")
+def _splatted(out: str, sign: float, t: float, radius: int, sigma2: float = 0.5625) -> str:
+    """CTEs ending in ``out``: what lands on each pixel, folded in the order of the sources."""
+    far = "0.33 * (r[1] * r[1] + r[2] * r[2] - s[1] * s[1] - s[2] * s[2])"
+    w = f"((tanh({far}) * 0.5 + 0.5) * r[3])"
+    fold = f"[r[1] * {w} + s[1] * (1 - {w}), r[2] * {w} + s[2] * (1 - {w}), greatest(least(s[3] + {w}, 1), 0)]"
+    reach = f"range(-{radius}, {radius + 1})"
+    return f"""{out}_s AS (SELECT frame_idx, y * 20 + x AS src, x, y, CAST({sign * t!r} AS DOUBLE) * (6 * g - 3) AS fx, CAST({sign * t!r} AS DOUBLE) * (6 * r - 3) AS fy FROM pixels),
+{out}_t AS (SELECT frame_idx, src, fx, fy, x + fx AS px, y + fy AS py, CAST(trunc(x + fx) AS BIGINT) + i AS tx, CAST(trunc(y + fy) AS BIGINT) + j AS ty FROM {out}_s, {reach} a(i), {reach} b(j)),
+{out}_l AS (SELECT frame_idx, ty AS y, tx AS x, list([-fx, -fy, exp(-0.5 * ((tx - px) * (tx - px) + (ty - py) * (ty - py)) / {sigma2})] ORDER BY src) AS l
+FROM {out}_t WHERE tx BETWEEN 0 AND 19 AND ty BETWEEN 0 AND 19 GROUP BY ALL),
+{out}_f AS (SELECT frame_idx, y, x, list_reduce(list_prepend(CAST([0, 0, 0] AS DOUBLE[]), l), lambda s, r: {fold}) AS s FROM {out}_l),
+{out} AS (SELECT p.frame_idx, p.y, p.x, coalesce(s[1], 0) AS wx, coalesce(s[2], 0) AS wy, coalesce(s[3], 0) AS weight FROM pixels p LEFT JOIN {out}_f f USING (frame_idx, y, x))"""
+
+
+@query("flow_splat", "pixels", f"WITH {_splatted('sp', 1.0, 0.5, 3)} SELECT {ID}, {rnd('wx; wy; weight')} FROM sp")
 def _(t):
     return rounded(L.flow_splat(_flow(t), (20, 20), 0.5))
 
 
-@query("blend_views")
+def _warped(out: str, splat: str, shift: int) -> str:
+    """CTEs ending in ``out``: the picture ``shift`` frames on, read where the splat points to, with the cleaned weight."""
+    corner = "CAST(floor({c}) AS BIGINT) + {k}"
+    part = lambda c, k: f"(CASE WHEN {k} = 1 THEN {c} - floor({c}) ELSE 1 - ({c} - floor({c})) END)"
+    return f"""{S.morph(splat, 'min', ['weight'], 1, f'{out}_e')}, {S.blur(f'{out}_e', ['weight'], 3, 0.5, 20, 20, f'{out}_c')},
+{out}_q AS (SELECT frame_idx, y, x, weight, x + wx AS u, y + wy AS v FROM {out}_c),
+{out}_k AS (SELECT frame_idx, y, x, {corner.format(c='u', k='i')} AS cx, {corner.format(c='v', k='j')} AS cy, {part('u', 'i')} * {part('v', 'j')} AS wt FROM {out}_q, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)),
+{out}_g AS (SELECT k.frame_idx, k.y, k.x, {', '.join(f'coalesce(sum(wt * p.{c}), 0) AS {c}' for c in 'bgr')} FROM {out}_k k LEFT JOIN pixels p ON p.frame_idx = k.frame_idx + {shift} AND p.y = cy AND p.x = cx GROUP BY ALL),
+{out} AS (SELECT g.*, q.weight FROM {out}_g g JOIN {out}_q q USING (frame_idx, y, x))"""
+
+
+_MIXED = "; ".join(f"{c}=a.{c} * (w0 / (w0 + w1)) + z.{c} * (w1 / (w0 + w1))" for c in "bgr")
+
+
+@query("blend_views", "pixels", f"""WITH {_splatted('s0', 1.0, 0.4, 1)}, {_splatted('s1', -1.0, 0.6, 1)}, {_warped('v0', 's0', 0)}, {_warped('v1', 's1', 1)},
+w AS (SELECT a.frame_idx, a.y, a.x, 1e-6 + a.weight * CAST(0.6 AS DOUBLE) AS w0, 1e-6 + z.weight * CAST(0.4 AS DOUBLE) AS w1 FROM v0 a JOIN v1 z USING (frame_idx, y, x))
+SELECT w.frame_idx, w.y, w.x, {rnd(_MIXED)} FROM w JOIN v0 a USING (frame_idx, y, x) JOIN v1 z USING (frame_idx, y, x)""")
 def _(t):
     nxt = t.pixels.withColumn("frame_idx", F.col("frame_idx") - 1).where("frame_idx >= 0")
     s0, s1 = L.flow_splat(_flow(t), (20, 20), 0.4, radius=1), L.flow_splat(_flow(t, -1.0), (20, 20), 0.6, radius=1)

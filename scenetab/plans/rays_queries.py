@@ -146,18 +146,53 @@ def _(t):
     return rounded(C.interpolate_keyframes(_frames(t, True), t.keys), 11)
 
 
-@query("interpolate_path")
-def _(t):
-    keys = C.keyframe_pose(t.keys)
-    return rounded(C.interpolate_path(_frames(t), keys))
-
-
 _POSE = """w AS (SELECT *, rx * 3.141592653589793 / 180 AS a, ry * 3.141592653589793 / 180 AS b, rz * 3.141592653589793 / 180 AS c FROM keys),
 v AS (SELECT *, sqrt(a*a + b*b + c*c) AS th FROM w), q AS (SELECT *, a/th*sin(th/2) AS qx, b/th*sin(th/2) AS qy, c/th*sin(th/2) AS qz, cos(th/2) AS qw FROM v),
 po AS (SELECT path_id, frame_idx, focal, tx, ty, tz, qx*qx-qy*qy-qz*qz+qw*qw AS r00, 2*(qx*qy-qz*qw) AS r01, 2*(qx*qz+qy*qw) AS r02, 2*(qx*qy+qz*qw) AS r10, -qx*qx+qy*qy-qz*qz+qw*qw AS r11,
 2*(qy*qz-qx*qw) AS r12, 2*(qx*qz-qy*qw) AS r20, 2*(qy*qz+qx*qw) AS r21, -qx*qx-qy*qy+qz*qz+qw*qw AS r22 FROM q)"""
 
 
+# the relative rotation of two keys as a vector, by their quaternions
+def _turn(a: str, b: str, out: str) -> str:
+    w = f"({a}.qw*{b}.qw + {a}.qx*{b}.qx + {a}.qy*{b}.qy + {a}.qz*{b}.qz)"
+    x = f"({a}.qw*{b}.qx - {a}.qx*{b}.qw - {a}.qy*{b}.qz + {a}.qz*{b}.qy)"
+    y = f"({a}.qw*{b}.qy + {a}.qx*{b}.qz - {a}.qy*{b}.qw - {a}.qz*{b}.qx)"
+    z = f"({a}.qw*{b}.qz - {a}.qx*{b}.qy + {a}.qy*{b}.qx - {a}.qz*{b}.qw)"
+    n = f"sqrt({x}*{x} + {y}*{y} + {z}*{z})"
+    k = f"(CASE WHEN {n} < 1e-12 THEN 2 ELSE 2 * atan2({n}, abs({w})) / {n} END * CASE WHEN {w} < 0 THEN -1 ELSE 1 END)"
+    return ", ".join(f"{v} * {k} AS {out}{i}" for i, v in enumerate((x, y, z)))
+
+
+_H10, _H01, _H11 = "(u*u*u - 2*u*u + u)", "(3*u*u - 2*u*u*u)", "(u*u*u - u*u)"
+_CURVE = ", ".join(f"(1 - {_H01}) * p.t{c} + {_H10} * p.v{c} * gap + {_H01} * n.t{c} + {_H11} * n.v{c} * gap AS e{c}" for c in "xyz")
+_SPIN = ", ".join(f"{_H10} * p.w{i} + {_H01} * p.a{i} + {_H11} * n.w{i} AS g{i}" for i in range(3))
+_ROWS = [[f"p.r{i}{j}" for j in range(3)] for i in range(3)]
+# Rodrigues: one more factor for the small angles
+_STEP = [["1 - kb*(g1*g1 + g2*g2)", "-ka*g2 + kb*g0*g1", "ka*g1 + kb*g0*g2"], ["ka*g2 + kb*g0*g1", "1 - kb*(g0*g0 + g2*g2)", "-ka*g0 + kb*g1*g2"], ["-ka*g1 + kb*g0*g2", "ka*g0 + kb*g1*g2", "1 - kb*(g0*g0 + g1*g1)"]]
+_TURNED = ", ".join(f"{' + '.join(f'q{i}{k}*({_STEP[k][j]})' for k in range(3))} AS r{i}{j}" for i in range(3) for j in range(3))
+
+
+@query("interpolate_path", "keys", f"""WITH {_POSE}, {_FR},
+o AS (SELECT po.*, q.qw, q.qx, q.qy, q.qz, row_number() OVER (PARTITION BY path_id ORDER BY frame_idx) AS i, count(*) OVER (PARTITION BY path_id) AS m FROM po JOIN q USING (path_id, frame_idx)),
+nb AS (SELECT k.*, {_turn('k', 'hi', 'a')}, {_turn('lo', 'k', 'c')}, CAST(k.frame_idx - lo.frame_idx AS DOUBLE) AS dl, CAST(hi.frame_idx - k.frame_idx AS DOUBLE) AS dh,
+{', '.join(f'coalesce((hi.t{c} - lo.t{c}) / nullif(hi.frame_idx - lo.frame_idx, 0), 0) AS v{c}' for c in 'xyz')}
+FROM o k JOIN o lo ON lo.path_id = k.path_id AND lo.i = greatest(k.i - 1, 1) JOIN o hi ON hi.path_id = k.path_id AND hi.i = least(k.i + 1, k.m)),
+kk AS (SELECT *, {', '.join(f'CASE WHEN i = 1 THEN a{k} WHEN i = m THEN c{k} ELSE (c{k} * dh + a{k} * dl) / (dl + dh) END AS w{k}' for k in range(3))} FROM nb),
+sg AS (SELECT f.path_id, f.frame_idx, greatest(count(k.i), 1) AS at, least(count(k.i) + 1, max(all_.m)) AS nx, count(k.i) AS c FROM fr f JOIN (SELECT DISTINCT path_id, m FROM o) all_ ON all_.path_id = f.path_id
+LEFT JOIN kk k ON k.path_id = f.path_id AND k.frame_idx <= f.frame_idx GROUP BY f.path_id, f.frame_idx),
+s2 AS (SELECT s.path_id, s.frame_idx AS f, s.at, CASE WHEN s.c = 0 THEN s.at ELSE s.nx END AS nx FROM sg s),
+s3 AS (SELECT s.*, CAST(n.frame_idx - p.frame_idx AS DOUBLE) AS gap, CASE WHEN n.frame_idx > p.frame_idx THEN (s.f - p.frame_idx) / CAST(n.frame_idx - p.frame_idx AS DOUBLE) ELSE 0 END AS u
+FROM s2 s JOIN kk p ON p.path_id = s.path_id AND p.i = s.at JOIN kk n ON n.path_id = s.path_id AND n.i = s.nx),
+s4 AS (SELECT s.path_id, s.f AS frame_idx, (1 - u) * p.focal + u * n.focal AS focal, {_CURVE}, {_SPIN}, {', '.join(f'{_ROWS[i][j]} AS q{i}{j}' for i in range(3) for j in range(3))}
+FROM s3 s JOIN kk p ON p.path_id = s.path_id AND p.i = s.at JOIN kk n ON n.path_id = s.path_id AND n.i = s.nx),
+s5 AS (SELECT *, sqrt(g0*g0 + g1*g1 + g2*g2) AS th FROM s4), s6 AS (SELECT *, CASE WHEN th < 1e-8 THEN 1 ELSE sin(th) / th END AS ka, CASE WHEN th < 1e-8 THEN 0.5 ELSE (1 - cos(th)) / (th * th) END AS kb FROM s5),
+s7 AS (SELECT path_id, frame_idx, focal, ex, ey, ez, {_TURNED} FROM s6)
+SELECT path_id, frame_idx, {rnd('focal; r00; r01; r02; r10; r11; r12; r20; r21; r22; ' + '; '.join(f't{i}=-(r{i}0*ex + r{i}1*ey + r{i}2*ez)' for i in range(3)))} FROM s7""")
+def _(t):
+    keys = C.keyframe_pose(t.keys)
+    return rounded(C.interpolate_path(_frames(t), keys))
+
+
 @query("keyframe_pose", "keys", f"WITH {_POSE} SELECT path_id, frame_idx, {rnd('r00; r01; r02; r10; r11; r12; r20; r21; r22; t0=-(r00*tx+r01*ty+r02*tz); t1=-(r10*tx+r11*ty+r12*tz); t2=-(r20*tx+r21*ty+r22*tz)')} FROM po")
 def _(t):
     return rounded(C.keyframe_pose(t.keys).select("path_id", "frame_idx", *C.geom.POSE))
