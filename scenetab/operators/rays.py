@@ -9,6 +9,7 @@ from scenetab.functions import geom
 from scenetab.functions.hashing import hash01
 from scenetab.functions.ranks import exact_rank, take_smallest
 from scenetab.functions.scan import CHUNK, carry, running, with_chunk
+from scenetab.functions.session import cut_lineage
 from scenetab.operators.points import sample_bilinear, unproject
 from scenetab.operators.stencil import dilate, tiled, untiled
 
@@ -163,25 +164,28 @@ def sample_rays(cams: DataFrame, pixels: DataFrame, n: int, seed: int, limit_rad
     """n rays through unmasked pixels of random images: origin, world direction, target colour.
 
     ``cams`` has dense ``row`` numbers from 0; ``pixels`` is keyed by cam_idx with ``ignore``. Draws are rejected by filters
-    and more are drawn until enough are left; the first n by draw number are kept. It is an error if no pixel can be drawn.
+    and more are drawn until enough are left; the first n by draw number are kept. A round goes on where the one before it has
+    ended, and what that accepted is stored. It is an error if no pixel can be drawn.
     """
     spark = cams.sparkSession
     n_cams = cams.count()
-    m = max(2 * n, 64)
+    start, m, ok, found = 0, max(2 * n, 64), None, 0
     while True:
         did = F.col("id")
-        draws = spark.range(m).select("id", F.floor(hash01(did, seed) * n_cams).alias("row"), hash01(did, seed + 1).alias("_a"), hash01(did, seed + 2).alias("_b"))
+        draws = spark.range(start, m).select("id", F.floor(hash01(did, seed) * n_cams).alias("row"), hash01(did, seed + 1).alias("_a"), hash01(did, seed + 2).alias("_b"))
         d = draws.join(cams, "row").withColumns({"u": F.col("_a") * (F.col("width") - 1), "v": F.col("_b") * (F.col("height") - 1)})
         d = d.withColumns({"y": F.floor("v"), "x": F.floor("u")})
         if limit_radius:
             r = geom.norm(F.col("u") - F.col("cx"), F.col("v") - F.col("cy"))
             d = d.where((F.col("cam_model") != "equiangular") | (r <= F.col("useable_radius")))
-        ok = d.join(pixels.where("ignore").select("cam_idx", "y", "x"), ["cam_idx", "y", "x"], "left_anti")
-        if ok.limit(n).count() >= n:
+        new = cut_lineage(d.join(pixels.where("ignore").select("cam_idx", "y", "x"), ["cam_idx", "y", "x"], "left_anti"))
+        ok = new if ok is None else ok.unionByName(new)
+        found += new.count()
+        if found >= n:
             break
         if m > 1000 * n and (m > DRAWS or _open_pixels(cams, pixels, limit_radius).isEmpty()):
             raise ValueError("no pixel is left to draw from")
-        m *= 2
+        start, m = m, 2 * m
     first = take_smallest(ok.drop("y", "x"), "id", "id", n)
     colors = sample_bilinear(first.select("id", "cam_idx", "u", "v", "width", "height"), pixels, ["id"], "cam_idx", ["b", "g", "r"], F.col("width"), F.col("height"))
     cam = geom.flat()
@@ -206,13 +210,22 @@ def sample_depth_points(cams: DataFrame, pixels: DataFrame, n: int, seed: int, m
     return unproject(got.where(F.col("depth") >= geom.Z_NEAR), cams)
 
 
+def _numbers(df: DataFrame, start: int, end: int, out: str, block: int = 1 << 16) -> DataFrame:
+    """Each row with the numbers from ``start`` to before ``end``, by blocks, so that no list is long."""
+    whole = lambda n: F.lit(n).cast("bigint")
+    blocks = df.withColumn("_b", F.explode(F.sequence(whole(start // block), whole((end - 1) // block))))
+    first, last = F.greatest(whole(start), F.col("_b") * block), F.least(whole(end - 1), (F.col("_b") + 1) * block - 1)
+    return blocks.withColumn(out, F.explode(F.sequence(first, last))).drop("_b")
+
+
 def _depth_left(cams: DataFrame, pixels: DataFrame, masked: DataFrame, size: tuple[int, int], margin: float) -> DataFrame:
     """The cameras with an unmasked pixel in whose part inside the margin some depth is enough.
 
     Depth is bilinear between four pixels, so its largest value in that part is at one of the corners.
     """
     h, w = size
-    grid = cams.select("cam_idx").crossJoin(cams.sparkSession.range(h * w).select(F.floor(F.col("id") / w).alias("y"), (F.col("id") % w).alias("x")))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    grid = cams.select("cam_idx", upto(h).alias("y")).select("cam_idx", "y", upto(w).alias("x"))
     grid = grid.join(masked, ["cam_idx", "y", "x"], "left_anti")
     # the upper sides belong to the next pixel; draws come nearer to them than this
     ends = lambda c, n: (F.greatest(F.col(c) + 0.0, F.lit(n * margin)), F.least(F.col(c) + 1.0, F.lit(n - n * margin)) - n / DRAWS * 4)
@@ -226,27 +239,29 @@ def _depth_left(cams: DataFrame, pixels: DataFrame, masked: DataFrame, size: tup
 def sample_depth_points_exact(cams: DataFrame, pixels: DataFrame, size: tuple[int, int], n: int, seed: int, margin: float = 0.01) -> DataFrame:
     """Single-image form: draws on a dilated mask or without depth are replaced until each camera has n points.
 
-    It is an error if a camera has no place left to draw from.
+    A round draws only for the cameras that are still short of points, and goes on where their last draws have ended; what it accepts is
+    stored. It is an error if a camera has no place left to draw from.
     """
     h, w = size
     mask = pixels.select("cam_idx", "y", "x", F.when(F.col("ignore"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("m"))
     wide = untiled(dilate(tiled(mask, ["cam_idx"], 1), ["cam_idx"], ["m"], 1)).where("m > 0").select("cam_idx", "y", "x")
-    per = 2 * n
+    left, got, start, per = cams.select("cam_idx"), None, 0, 2 * n
     while True:
-        pts = cams.select("cam_idx").crossJoin(cams.sparkSession.range(per).withColumnRenamed("id", "k"))
+        pts = _numbers(left, start, per, "k")
         did = F.col("cam_idx") * 1_000_000_007 + F.col("k")
         at = lambda dim, s: dim * margin + hash01(did, s) * (dim - 2.0 * dim * margin)
         pts = pts.withColumns({"u": at(w, seed), "v": at(h, seed + 1)}).withColumns({"y": F.floor("v"), "x": F.floor("u")})
         pts = pts.join(wide, ["cam_idx", "y", "x"], "left_anti").select("cam_idx", "k", "u", "v")
-        got = sample_bilinear(pts, pixels, ["cam_idx", "k", "u", "v"], "cam_idx", ["depth", "b", "g", "r"], F.lit(w), F.lit(h))
-        got = got.where(F.col("depth") >= geom.Z_NEAR)
-        short = cams.select("cam_idx").join(got.groupBy("cam_idx").agg(F.count(F.lit(1)).alias("c")), "cam_idx", "left")
-        short = short.where(F.coalesce("c", F.lit(0)) < n)
-        if short.isEmpty():
+        new = sample_bilinear(pts, pixels, ["cam_idx", "k", "u", "v"], "cam_idx", ["depth", "b", "g", "r"], F.lit(w), F.lit(h))
+        new = cut_lineage(new.where(F.col("depth") >= geom.Z_NEAR))
+        got = new if got is None else got.unionByName(new)
+        have = got.groupBy("cam_idx").agg(F.count(F.lit(1)).alias("c"))
+        left = cut_lineage(left.join(have, "cam_idx", "left").where(F.coalesce("c", F.lit(0)) < n).select("cam_idx"))
+        if left.isEmpty():
             break
-        if per > 1000 * n and (per > DRAWS or not short.join(_depth_left(cams, pixels, wide, size, margin), "cam_idx", "left_anti").isEmpty()):
+        if per > 1000 * n and (per > DRAWS or not left.join(_depth_left(left, pixels, wide, size, margin), "cam_idx", "left_anti").isEmpty()):
             raise ValueError("a camera has no pixel left to draw from")
-        per *= 2
+        start, per = per, 2 * per
     rank = F.row_number().over(Window.partitionBy("cam_idx").orderBy("k"))
     kept = got.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
     return unproject(kept, cams)
