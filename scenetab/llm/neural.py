@@ -19,7 +19,7 @@ from scenetab.llm.common import stored
 from scenetab.llm.tokens import BLANKS, runs, texts_of
 
 # words with a class of their own, classes of the other words, words before a word that predict it, and numbers per word
-WORDS, ENDINGS, CONTEXT, WIDTH = 256, 64, 5, 24
+WORDS, ENDINGS, CONTEXT, WIDTH = 256, 64, 4, 16
 # the most frequent words, whose counts every task holds; the others are looked up by a join
 KNOWN = 1 << 17
 # tokens of a step and its noise words, tokens that are shuffled or scored together, distinct words a task counts at once
@@ -118,24 +118,21 @@ def initial(shares: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
 
 def _scattered(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sums of ``values`` by row number."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    out = np.zeros((size, values.shape[1]), values.dtype)
-    out[rows[begins]] = np.add.reduceat(values[order], begins, axis=0)
-    return out
+    wide = values.shape[1]
+    cells = (rows[:, None] * wide + np.arange(wide)).ravel()
+    return np.bincount(cells, values.ravel(), size * wide).reshape(size, wide).astype(values.dtype)
 
 
-def guesses(p: dict[str, np.ndarray], before: np.ndarray) -> np.ndarray:
-    """The sum of the context words' numbers, each weighed by its place."""
+def guesses(p: dict[str, np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+    """The sum of the context words' numbers, each weighed by its place; ``before``: the classes one place back, two places, ..."""
     table = p["context"] * p["place"][:, None, :]  # small, unlike the rows that are taken from it
-    guess = table[0][before[:, 0]]
+    guess = table[0].take(before[0], 0)
     for j in range(1, len(table)):
-        guess += table[j][before[:, j]]
+        guess += table[j].take(before[j], 0)
     return guess
 
 
-def gradients(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, noise: np.ndarray, shares: np.ndarray) -> dict[str, np.ndarray]:
+def gradients(p: dict[str, np.ndarray], before: list[np.ndarray], target: np.ndarray, noise: np.ndarray, shares: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss with which tokens are told from ``noise`` words drawn by ``shares``; all tokens share the noise."""
     n, k = len(target), len(noise)
     guess = guesses(p, before)
@@ -153,7 +150,7 @@ def gradients(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray,
     np.add.at(g_target, noise, np.c_[g_false.T @ guess, g_false.sum(0)])
     own *= g_true[:, None]
     g_guess = own + g_false @ p["target"][noise]
-    g_table = np.stack([_scattered(before[:, j], g_guess, len(p["context"])) for j in range(before.shape[1])])
+    g_table = np.stack([_scattered(b, g_guess, len(p["context"])) for b in before])
     return {
         "context": (g_table * p["place"][:, None, :]).sum(0),
         "place": (g_table * p["context"]).sum(1),
@@ -169,7 +166,7 @@ def _trainer(known: Broadcast, words: int, start: Broadcast, shares: np.ndarray,
         rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
         p = {name: v.astype(np.float32) for name, v in start.value.items()}
         squares = {name: np.full_like(v, 1e-6) for name, v in p.items()}
-        stream, back = Stream(*known.value, words), np.arange(1, CONTEXT + 1)
+        stream = Stream(*known.value, words)
         limits = np.cumsum(shares)
         learned = 0
 
@@ -179,7 +176,7 @@ def _trainer(known: Broadcast, words: int, start: Broadcast, shares: np.ndarray,
             for at in range(0, len(places), STEP):
                 some = places[at : at + STEP]
                 noise = np.minimum(np.searchsorted(limits, rng.random(NOISE)), len(shares) - 1)
-                for name, g in gradients(p, classes[some[:, None] - back], classes[some], noise, shares).items():
+                for name, g in gradients(p, [classes[some - j] for j in range(1, CONTEXT + 1)], classes[some], noise, shares).items():
                     squares[name] += g * g
                     p[name] -= rate * g / np.sqrt(squares[name])
             return len(places)
@@ -252,7 +249,7 @@ def fit(docs: DataFrame, text_col: str = "text", words: int = WORDS, rounds: int
     return Model(table, np.log10(n + 1.0), dens, p, total, distinct, ends_of_texts, None if distinct <= known else tail)
 
 
-def log_probabilities(p: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray) -> np.ndarray:
+def log_probabilities(p: dict[str, np.ndarray], before: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     """log10 of the class probabilities, which sum to 1 over all classes."""
     scores = guesses(p, before) @ p["target"].T
     scores += p["bias"]
@@ -270,7 +267,6 @@ def _scorer(known: Broadcast, logs: np.ndarray, dens: np.ndarray, parameters: Br
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = {name: v.astype(np.float32) for name, v in parameters.value.items()}
-        back = np.arange(1, CONTEXT + 1)
         log = np.r_[logs, 0.0]  # the last one is for words without number
         for batch in batches:
             size = batch.num_rows
@@ -279,10 +275,13 @@ def _scorer(known: Broadcast, logs: np.ndarray, dens: np.ndarray, parameters: Br
 
             def score():
                 classes, places, owner = stream.take()
-                for at in range(0, len(places), SCORED):
-                    some, who = places[at : at + SCORED], owner[at : at + SCORED]
-                    found = log_probabilities(p, classes[some[:, None] - back], classes[some])
-                    np.add.at(model, who, found.astype(np.float64))
+                found = np.zeros(len(classes))
+                # a run of places at a time, with those of the context among them, whose results aren't used
+                for at in range(CONTEXT, len(classes), SCORED):
+                    end = min(at + SCORED, len(classes))
+                    target = np.minimum(classes[at:end], words + ENDINGS - 1)
+                    found[at:end] = log_probabilities(p, [classes[at - j : end - j] for j in range(1, CONTEXT + 1)], target)
+                np.add.at(model, owner, found[places])
 
             for k, text in enumerate(texts_of(batch)):
                 rare: Counter = Counter()

@@ -183,7 +183,7 @@ def test_scores_are_the_models_probabilities(odd, odd_rows, known):
 
 def test_probabilities_sum_to_one(odd):
     model = neural.fit(odd, words=10)
-    before = np.random.default_rng(0).integers(0, len(model.dens) + 1, (40, neural.CONTEXT))
+    before = list(np.random.default_rng(0).integers(0, len(model.dens) + 1, (neural.CONTEXT, 40)))
     each = [neural.log_probabilities(model.parameters, before, np.full(40, c)) for c in range(len(model.dens))]
     assert np.allclose((10 ** np.array(each)).sum(0), 1)
     # within the classes: every counted word and one place for all others
@@ -197,10 +197,10 @@ def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(2)
     shares = rng.dirichlet(np.ones(12))
     p = {name: v + rng.normal(0, 0.2, v.shape) for name, v in neural.initial(shares).items()}
-    before, target, noise = rng.integers(0, 13, (9, neural.CONTEXT)), rng.integers(0, 12, 9), rng.integers(0, 12, 7)
+    before, target, noise = list(rng.integers(0, 13, (neural.CONTEXT, 9))), rng.integers(0, 12, 9), rng.integers(0, 12, 7)
 
     def loss():
-        guess = (p["context"][before] * p["place"]).sum(1)
+        guess = sum(p["context"][b] * p["place"][j] for j, b in enumerate(before))
         delta = guess @ p["target"].T + p["bias"] - np.log(len(noise) * shares)
         true = np.log1p(np.exp(-delta[np.arange(9), target]))
         return (true + np.log1p(np.exp(delta[:, noise])).sum(1)).mean()
