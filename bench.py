@@ -16,7 +16,7 @@ from scenetab.plans import catalog  # noqa: E402
 HEADLINE = [
     "points_per_camera", "visibility_count", "color_points", "knn_spacing", "build_tracks", "reweight_tracks", "match_descriptors",
     "erode_frames", "gaussian_blur", "apply_warp", "stabilize_depth", "three_layer_scores_new", "layer_alphas", "pack_ldi",
-    "composite_rays", "importance_depths", "spawn_splats", "encode_splats", "composite_tiles", "interpolate_keyframes", "moving_average",
+    "composite_rays", "importance_depths", "spawn_splats", "encode_splats", "interpolate_keyframes", "moving_average",
 ]
 
 
