@@ -78,24 +78,39 @@ def thin_keypoints(kps: DataFrame, radius: float, existing: DataFrame | None = N
 # ---- matching ----------------------------------------------------------------------------------------------------
 
 
+# partners in one row, pairs made by one task, and the bound of the tasks
+PIECE, PAIRS_PER_TASK, MOST_TASKS = 4096, 1 << 22, 1 << 14
+
+
 def candidate_pairs(images: DataFrame, window: int, interval: int = 5, image: str = "image_idx") -> DataFrame:
     """Pairs i < j of dense image indices within the window, or both keyframes; a window of 0 means all pairs.
 
-    Each image generates its own partners, so no product of images is formed.
+    Each image generates its own partners, so no product of images is formed. They are runs of numbers, which are cut into pieces of at
+    most PIECE partners and dealt to tasks of some PAIRS_PER_TASK pairs, so no row or task grows with the number of images.
     """
     n = images.agg(F.coalesce(F.max(image), F.lit(-1)).alias("m")).first()["m"] + 1
     last = F.lit(n - 1).cast("bigint")
-    i = F.col(image).cast("bigint")
-    none = F.array().cast("array<bigint>")
-    upto = lambda start, stop, step=1: F.when(start <= stop, F.sequence(start, stop, F.lit(step).cast("bigint"))).otherwise(none)
+    i = F.col("image_idx1")
+    run = lambda start, stop, step: F.struct(start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), F.lit(step).cast("bigint").alias("step"))
     if window == 0:
-        partners = upto(i + 1, last)
+        runs = F.array(run(i + 1, last, 1))
     else:
-        near = upto(i + 1, F.least(i + window, last))
-        marks = upto((F.floor(i / interval) + 1).cast("bigint") * interval, last, interval)
-        far = F.when((i % interval == 0) | (i == last), F.concat(marks, F.when(i < last, F.array(last)).otherwise(none))).otherwise(none)
-        partners = F.array_distinct(F.concat(near, far))
-    return images.select(i.alias("image_idx1"), F.explode(partners).alias("image_idx2"))
+        # no run has a number of another one: keyframes begin beyond the window, and the last image is added unless it is one
+        beyond = i + max(window, 0)
+        first = beyond - F.pmod(beyond, F.lit(interval).cast("bigint")) + interval
+        marks, end = run(first, last, interval), run(F.greatest(beyond + 1, last), last, 1)
+        far = F.array(marks, end) if (n - 1) % interval else F.array(marks)
+        near = F.array(run(i + 1, F.least(i + window, last), 1))
+        runs = F.when((i % interval == 0) | (i == last), F.concat(near, far)).otherwise(near)
+    held = images.select(F.col(image).cast("bigint").alias("image_idx1")).where(i.isNotNull())
+    held = held.select("image_idx1", F.inline(F.filter(runs, lambda r: r["start"] <= r["stop"])))
+    piece = F.col("step") * PIECE
+    pairs = held.agg(F.sum(F.expr("(stop - start) div step + 1"))).first()[0] or 0
+    held = held.select("image_idx1", "step", "stop", piece.alias("_piece"), F.explode(F.sequence(F.col("start"), F.col("stop"), piece)).alias("start"))
+    if pairs > PAIRS_PER_TASK:
+        held = held.repartition(min(MOST_TASKS, -(-pairs // PAIRS_PER_TASK)), "image_idx1", "start")
+    stop = F.least(F.col("stop"), F.col("start") + F.col("_piece") - F.col("step"))
+    return held.select("image_idx1", F.explode(F.sequence(F.col("start"), stop, F.col("step"))).alias("image_idx2"))
 
 
 BLOCK = 1024
