@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenetab.functions import geom
 from scenetab.functions.columns import settle
 from scenetab.functions.hashing import hash01
 from scenetab.functions.ranks import exact_rank, take_smallest
 from scenetab.functions.session import broadcast_if_small, cut_lineage
-from scenetab.operators.rigs import in_cam, over_rig, per_camera
+from scenetab.operators.rigs import CAMS_PER_ROW, in_cam, over_rig, per_camera
 
 CAM_FIELDS = ["cam_idx", "width", "height"]
 
@@ -108,8 +111,79 @@ def visibility_count(points: DataFrame, cams: DataFrame, key: list[str], scene:
     return out.withColumnRenamed("value", "visible_in").withColumn("visible_in", F.col("visible_in").cast("bigint"))
 
 
+# cameras of a scene in the first round and at most in one round, and positions that meet them in one group
+FIRST_CAMS, MOST_CAMS, GROUP = 1 << 10, 1 << 16, 1 << 14
+_SEEN_BY = [*geom.POSE, "width", "height", "fx", "fy", "cx", "cy"]
+
+
+def _watched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Positions of ``left`` that no camera of ``right`` has too near; ``wide`` is set for those that one sees."""
+    at = [left[c].to_numpy("f8") for c in "xyz"]
+    wide, rest = left["wide"].to_numpy(bool, copy=True), np.arange(len(left))
+    cams = {c: right[f"_{c}"].to_numpy("f8") for c in _SEEN_BY}
+
+    def turned(i: int, cam: dict, rows: np.ndarray) -> np.ndarray:
+        x, y, z = (v[rows, None] for v in at)
+        return cam[f"r{i}0"] * x + cam[f"r{i}1"] * y + cam[f"r{i}2"] * z + cam[f"t{i}"]
+
+    with np.errstate(all="ignore"):
+        for lo in range(0, len(right), CAMS_PER_ROW):
+            cam = {c: v[lo : lo + CAMS_PER_ROW] for c, v in cams.items()}
+            z = turned(2, cam, rest)
+            free = ~((z > 0) & (z < 0.01)).any(axis=1)
+            rest, z = rest[free], z[free]
+            new = ~wide[rest]
+            if new.any():
+                rows, z = rest[new], z[new]
+                u = turned(0, cam, rows) / z * cam["fx"] + cam["cx"]
+                v = -turned(1, cam, rows) / z * cam["fy"] + cam["cy"]
+                w, h = cam["width"], cam["height"]
+                wide[rows] = ((z > geom.Z_NEAR) & (u >= -w) & (u < w * 2.0) & (v >= -h) & (v < h * 2.0)).any(axis=1)
+            if not len(rest):
+                break
+    return left.assign(wide=wide).iloc[rest]
+
+
+def _visible_positions(splats: DataFrame, cams: DataFrame, scene: str) -> DataFrame:
+    """Distinct (scene, x, y, z) that are visible, for scenes of many cameras.
+
+    Cameras are tried in rounds of growing number, and a position goes on only while none has it too near. In a round, positions
+    of a scene are dealt to groups of some ``GROUP``, each of which meets the round's cameras of its scene.
+    """
+    order = F.row_number().over(Window.partitionBy(scene).orderBy("cam_idx")) - 1
+    rig = cut_lineage(cams.where(F.col(scene).isNotNull()).select(scene, *[F.col(c).cast("double").alias(f"_{c}") for c in _SEEN_BY], order.alias("_n")))
+    have = rig.groupBy(scene).agg(F.count(F.lit(1)).alias("_cams"))
+    top = have.agg(F.max("_cams")).first()[0] or 0
+    # a position with a missing coordinate or camera is never visible
+    pos = splats.select(scene, "x", "y", "z").where(" AND ".join(f"{c} IS NOT NULL" for c in "xyz")).distinct()
+    pos = cut_lineage(pos.join(broadcast_if_small(have), scene).withColumn("wide", F.lit(False)))
+    seen, lo, width = pos.limit(0), 0, FIRST_CAMS
+    while lo < top:
+        groups = broadcast_if_small(pos.groupBy(scene).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_parts")))
+        dealt = pos.join(groups, scene).withColumn("_part", F.pmod(F.xxhash64("x", "y", "z"), F.col("_parts")).cast("int")).drop("_parts")
+        some = rig.where(F.col("_n").between(lo, lo + width - 1)).join(groups, scene)
+        some = some.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        out = T.StructType([f for f in dealt.schema if f.name != "_part"])
+        met = dealt.groupBy(scene, "_part").cogroup(some.groupBy(scene, "_part"))
+        left = cut_lineage(met.applyInPandas(lambda a, b: _watched(a, b).drop(columns="_part"), out))
+        lo, width = lo + width, min(width * 4, MOST_CAMS)
+        seen = seen.unionByName(left.where("wide").where(F.col("_cams") <= lo))
+        pos = left.where(F.col("_cams") > lo)
+        if lo < top and pos.isEmpty():
+            break
+    return seen.select(scene, "x", "y", "z")
+
+
 def visible_to_any(splats: DataFrame, cams: DataFrame, key: list[str], scene: str = "scene_id") -> DataFrame:
-    """Splat rule: some rectilinear camera sees it within one image size of margin, none has it nearer than 0.01."""
+    """Splat rule: some rectilinear camera sees it within one image size of margin, none has it nearer than 0.01.
+
+    Scenes of at most 64 cameras are answered on the packed array. Otherwise cameras are tried in rounds, since the rows times the
+    cameras of a large scene are too many: most positions are settled by the first cameras that have them too near.
+    """
+    if (cams.groupBy(scene).count().agg(F.max("count")).first()[0] or 0) > CAMS_PER_ROW:
+        found = _visible_positions(splats, cams, scene).withColumn("visible", F.lit(True)).hint("merge")
+        out = splats.join(found, [scene, "x", "y", "z"], "left")
+        return out.select(*splats.columns, F.coalesce("visible", F.lit(False)).alias("visible"))
 
     def wide(c: Column) -> Column:
         xc, yc, zc = in_cam(c)

@@ -27,3 +27,42 @@ def test_candidate_pairs_in_pieces(spark, monkeypatch, n, window, interval):
     assert len(rows) == len(set(rows)) and set(rows) == want
     if len(want) > 20:
         assert got.rdd.getNumPartitions() == -(-len(want) // 20)
+
+
+def _cameras(spark, n, scenes, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        a = rng.uniform(-3, 3)
+        rot = [np.cos(a), 0, -np.sin(a), 0, 1, 0, np.sin(a), 0, np.cos(a)]
+        rows.append((scenes[i % len(scenes)], i, 640, 480, 400.0, 410.0, 320.0, 240.0, *map(float, rot), *map(float, rng.uniform(-9, 9, 3))))
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
+    schema = "scene_id long, cam_idx long, width int, height int, fx double, fy double, cx double, cy double, " + ", ".join(f"{c} double" for c in names)
+    return spark.createDataFrame(rows, schema), rows
+
+
+def test_visibility_in_rounds(spark, monkeypatch):
+    for name, value in (("FIRST_CAMS", 64), ("MOST_CAMS", 128), ("GROUP", 25)):
+        monkeypatch.setattr(points, name, value)
+    cams, rows = _cameras(spark, 700, [0, 0, 0, 1, None])
+    rng = np.random.default_rng(5)
+    at = [(i, i % 3, *map(float, rng.uniform(-8, 8, 3))) for i in range(300)] + [(300, None, 0.0, 0.0, 1.0), (301, 0, None, 0.0, 1.0)]
+    at += [(i, *at[i][1:]) for i in range(20)]
+    src = spark.createDataFrame(at, "splat_idx long, scene_id long, x double, y double, z double").withColumn("frame_idx", F.lit(0))
+    got = sorted((r.splat_idx, r.visible) for r in points.visible_to_any(src, cams, ["frame_idx", "splat_idx"]).collect())
+
+    def seen(scene, x, y, z):
+        wide = False
+        for s, _, w, h, fx, fy, cx, cy, *m in rows:
+            if s is None or s != scene or None in (x, y, z):
+                continue
+            xc, yc, zc = (m[3 * i] * x + m[3 * i + 1] * y + m[3 * i + 2] * z + m[9 + i] for i in range(3))
+            if 0 < zc < 0.01:
+                return False
+            if zc > 0.01:
+                u, v = xc / zc * fx + cx, -yc / zc * fy + cy
+                wide |= -w <= u < 2 * w and -h <= v < 2 * h
+        return wide
+
+    assert got == sorted((i, seen(*p)) for i, *p in at)
+    assert {v for _, v in got} == {True, False}
