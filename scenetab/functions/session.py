@@ -23,9 +23,11 @@ RECOMMENDED_CONF = {
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the side; beyond the bound Spark shuffles as usual."""
+    """Hint a broadcast only after counting the side. Beyond the bound both sides are shuffled, whatever size Spark guesses:
+    its guess takes no account of exploded rows, and would send millions of them through the driver.
+    """
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if n <= max_rows else df.hint("merge")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -29,6 +29,17 @@ def test_candidate_pairs_in_pieces(spark, monkeypatch, n, window, interval):
         assert got.rdd.getNumPartitions() == -(-len(want) // 20)
 
 
+def test_large_exploded_sides_are_not_broadcast(spark):
+    """Spark takes the exploded cells of 4,000 cameras for a small table; they have 108,000 rows."""
+    pts = spark.range(100).select(F.col("id").alias("point_id"), F.lit(0).cast("long").alias("scene_id"), *[(F.col("id") % 10).cast("double").alias(c) for c in "xyz"])
+    eye = {c: F.lit(1.0 if c in ("r00", "r11", "r22") else 0.0) for c in [f"r{i}{j}" for i in range(3) for j in range(3)]}
+    cams = spark.range(4000).select(F.lit(0).cast("long").alias("scene_id"), *[v.alias(c) for c, v in eye.items()], *[(-F.col("id") / 1000).alias(f"t{i}") for i in range(3)])
+    left = points.drop_near_cameras(pts, cams, 0.25)
+    assert "Broadcast" not in plan(left)
+    assert {r.x for r in left.collect()} == {5.0, 6.0, 7.0, 8.0, 9.0}
+    assert "Broadcast" in plan(pts.join(session.broadcast_if_small(cams.limit(5)), "scene_id"))
+
+
 def _cameras(spark, n, scenes, seed=3):
     rng = np.random.default_rng(seed)
     rows = []
