@@ -6,6 +6,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from scenetab.functions import geom
 from scenetab.sources.files import in_order, lines_of, write_files
-from scenetab.sources.paths import files_of, open_fs, qualified
+from scenetab.sources.paths import files_of, open_fs, qualified, shared
 
 CSV_SCHEMA = "x DOUBLE, y DOUBLE, z DOUBLE, r INT, g INT, b INT"
 BATCH = 65536
@@ -110,15 +111,15 @@ def write_meshes(vertices: DataFrame, triangles: DataFrame, path: str, key: str)
 # ---- binary files ------------------------------------------------------------------------------------------------
 
 
-class RecordRange(InputPartition):
-    """The records of a file that begin in a range of its bytes."""
+class RecordRanges(InputPartition):
+    """Ranges (path, start, end): the records of a file that begin in a range of its bytes."""
 
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class RecordReader(DataSourceReader):
-    """Fixed-size records after a header; a partition is a range of bytes, whose task reads the header and then its records in batches."""
+    """Fixed-size records after a header; a task reads ranges of bytes, of each the header and then its records in batches."""
 
     def __init__(self, options, dtype: np.dtype, suffix: str, schema: pa.Schema):
         self.path, self.dtype, self.suffix, self.schema = options["path"], dtype, suffix, schema
@@ -131,24 +132,24 @@ class RecordReader(DataSourceReader):
     def partitions(self):
         # files are listed, not opened
         step = self.per_split * self.dtype.itemsize
-        found = [RecordRange(path, at, at + step) for path, size in files_of(self.path, (self.suffix,)) for at in range(0, size, step)]
-        return found or [RecordRange("", 0, 0)]
+        found = [(path, at, min(at + step, size)) for path, size in files_of(self.path, (self.suffix,)) for at in range(0, size, step)]
+        return [RecordRanges(r) for r in shared(found, lambda r: r[2] - r[1])] or [RecordRanges([])]
 
-    def read(self, part: RecordRange) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def read(self, part: RecordRanges) -> Iterator[pa.RecordBatch]:
         where, _ = open_fs(self.path)
         item = self.dtype.itemsize
-        start, n = self.header(where, part.path)
-        lo, hi = (min(max(-(-(at - start) // item), 0), n) for at in (part.start, part.end))
-        with where.open_input_file(part.path) as f:
-            if start + n * item > f.size():
-                raise ValueError(f"{part.path}: {n} records do not fit in {f.size()} bytes")
-            f.seek(start + lo * item)
-            for at in range(lo, hi, BATCH):
-                rec = np.frombuffer(f.read(min(hi - at, BATCH) * item), self.dtype)
-                values = [pa.array(np.ascontiguousarray(rec[c]).astype(self.schema.field(c).type.to_pandas_dtype())) for c in self.schema.names if c != "path"]
-                yield pa.RecordBatch.from_arrays([*values, pa.repeat(part.path, len(rec))], schema=self.schema)
+        for path, ranges in groupby(part.ranges, lambda r: r[0]):
+            start, n = self.header(where, path)
+            with where.open_input_file(path) as f:
+                if start + n * item > f.size():
+                    raise ValueError(f"{path}: {n} records do not fit in {f.size()} bytes")
+                for _, begin, end in ranges:
+                    lo, hi = (min(max(-(-(at - start) // item), 0), n) for at in (begin, end))
+                    f.seek(start + lo * item)
+                    for at in range(lo, hi, BATCH):
+                        rec = np.frombuffer(f.read(min(hi - at, BATCH) * item), self.dtype)
+                        values = [pa.array(np.ascontiguousarray(rec[c]).astype(self.schema.field(c).type.to_pandas_dtype())) for c in self.schema.names if c != "path"]
+                        yield pa.RecordBatch.from_arrays([*values, pa.repeat(path, len(rec))], schema=self.schema)
 
 
 POINT_DTYPE = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1")])

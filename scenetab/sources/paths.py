@@ -23,6 +23,22 @@ def open_fs(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+# ranges are read by a task each up to this number of tasks; beyond it neighbours share a task up to so many bytes
+TASKS, SHARED = 512, 32 << 20
+
+
+def shared(ranges: list, size_of) -> list[list]:
+    """Ranges of bytes in runs, one for each task, so that many small files don't make as many tasks."""
+    most, out, held = -(-len(ranges) // TASKS), [], SHARED
+    for r in ranges:
+        if held + size_of(r) > SHARED or len(out[-1]) >= most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += size_of(r)
+    return out
+
+
 def files_of(path: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
     """(path, size) of a file, or of the files of a folder that end in one of ``suffixes``, by name."""
     where, p = open_fs(path)

@@ -77,3 +77,17 @@ def test_visibility_in_rounds(spark, monkeypatch):
 
     assert got == sorted((i, seen(*p)) for i, *p in at)
     assert {v for _, v in got} == {True, False}
+
+
+def test_mixed_names_make_few_segments(spark, tmp_path, monkeypatch):
+    """Rows of ten files in turn: a task writes a segment for each file, not one for each row."""
+    made, cut = [], files.cut_lineage
+    monkeypatch.setattr(files, "cut_lineage", lambda df: made.append(cut(df)) or made[-1])
+    rows = spark.range(5000, numPartitions=3).select(F.concat(F.lit("f"), F.col("id") % 10).alias("f"), F.col("id").cast("string").alias("value"))
+    assert files.write_files(rows, f"{tmp_path}/out", "f", files.lines_of(), lambda n: f"{n}\n".encode()) == 10
+    assert made[0].count() == 30 and made[0].select("segment").distinct().count() == 3
+    for k in range(10):
+        assert (tmp_path / f"out/f{k}").read_text() == "500\n" + "".join(f"{i}\n" for i in range(k, 5000, 10))
+    monkeypatch.setattr(files, "HELD", 1000)
+    files.write_files(rows, f"{tmp_path}/again", "f", files.lines_of())
+    assert (tmp_path / "again/f7").read_text() == "".join(f"{i}\n" for i in range(7, 5000, 10))
