@@ -296,19 +296,21 @@ def lift_tracks(obs: DataFrame, cams: DataFrame, radius: float = geom.Z_FAR) ->
 
 # neighbour spacing: fixed values of the rule
 SPACING_LO, SPACING_HI = 0.003, 0.1
-SPACING_RADII = (0.005, 0.04, 0.3)
+SPACING_RADII = (0.005, 0.03, 0.08, 0.3)
 DENSE_CELL = 0.0025
 # a cell with more than this share of all candidates is cut into parts
 SPLIT = 256
 
 
-def split_cells(cand: DataFrame, probe: DataFrame, cells: list[str], key: str, total: int) -> tuple[DataFrame, DataFrame]:
+def split_cells(cand: DataFrame, probe: DataFrame, cells: list[str], key: str, total: int, narrow: bool = True) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join on ``cells`` with one more key ``_part``, so that no key holds more than some total / SPLIT candidates.
 
-    Candidates of a large cell are dealt to its parts, searching rows are copied to each. Only cells with searching rows are kept. There are fewer
-    than SPLIT large cells, so they are broadcast.
+    Candidates of a large cell are dealt to its parts, searching rows are copied to each. Only cells with searching rows are kept, unless
+    ``narrow`` is off, which spares the shuffles that find them. There are fewer than SPLIT large cells, so they are broadcast. The
+    sides are to be joined with the hint ``merge``: Spark guesses the size of exploded rows far too small.
     """
-    cand = cand.join(probe.select(*cells).distinct(), cells, "left_semi")
+    if narrow:
+        cand = cand.join(probe.select(*cells).distinct().hint("merge"), cells, "left_semi")
     sizes = cand.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * SPLIT > F.lit(total))
     large = F.broadcast(cut_lineage(sizes.select(*cells, F.ceil(F.col("_n") * SPLIT / F.lit(max(total, 1))).cast("int").alias("_parts"))))
     parts = F.coalesce("_parts", F.lit(1))
@@ -322,30 +324,31 @@ def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> D
     The clamp makes two short cuts exact. Three points in a cell of side 0.0025 are all at the lower bound, so dense
     clumps and piles of copies are settled by a count. And a neighbour beyond 0.3 puts the result at the upper bound.
     What is left is searched with growing radii; a point goes on to the next radius only while fewer than two others
-    are near, so each cell holds few searching points and the join grows with the cloud, not with its square. A round reads the
-    cells near searching points only; a cell that holds much of the cloud, such as a clump beside a stray, is searched in parts,
-    and the two nearest of each part are merged.
+    are near, so each cell holds few searching points and the join grows with the cloud, not with its square. Cells are two
+    radii wide, so a search touches eight of them at most. A cell that holds much of the cloud, such as a clump beside a stray, is
+    searched in parts, and the two nearest of each part are merged. No side is broadcast but the few large cells.
     """
     cells = ("_gx", "_gy", "_gz")
     xyz = tuple(F.col(c) for c in "xyz")
     fine = [_cell(c, DENSE_CELL).alias(n) for c, n in zip(xyz, cells)]
     pos = points.select(*scope, key, "x", "y", "z")
     counts = pos.select(*scope, *fine).groupBy(*scope, *cells).agg(F.count(F.lit(1)).alias("_n"))
-    crowded = counts.where(F.col("_n") >= 3).select(*scope, *cells)
+    crowded = counts.where(F.col("_n") >= 3).select(*scope, *cells).hint("merge")
     located = pos.withColumns({n: _cell(c, DENSE_CELL) for c, n in zip(xyz, cells)})
     done = located.join(crowded, [*scope, *cells], "left_semi").select(*scope, key, F.lit(SPACING_LO).alias("spacing"))
     todo = cut_lineage(located.join(crowded, [*scope, *cells], "left_anti").drop(*cells))
     total = pos.count()
     for radius in SPACING_RADII:
-        probe = todo
-        for name, arr in _around(radius, xyz, cells).items():
-            probe = probe.withColumn(name, F.explode(arr))
+        probe, side = todo, 2 * radius
+        for name, c in zip(cells, xyz):
+            # a little more than the radius, as the ends are rounded
+            probe = probe.withColumn(name, F.explode(F.sequence(_cell(c - radius * 1.001, side), _cell(c + radius * 1.001, side))))
         probe = probe.select(*scope, *cells, F.col(key).alias("_q"), *[c.alias(f"_q{n}") for c, n in zip(xyz, "xyz")])
-        cand = pos.withColumns({n: _cell(c, radius) for c, n in zip(xyz, cells)})
+        cand = pos.withColumns({n: _cell(c, side) for c, n in zip(xyz, cells)})
         d = geom.norm(*[F.col(c) - F.col(f"_q{c}") for c in "xyz"])
-        cand, probe = split_cells(cand, probe, [*scope, *cells], key, total)
+        cand, probe = split_cells(cand, probe, [*scope, *cells], key, total, narrow=False)
         near = (
-            cand.join(probe, [*scope, *cells, "_part"])
+            cand.join(probe.hint("merge"), [*scope, *cells, "_part"])
             .where(F.col(key) != F.col("_q"))
             .select(*scope, "_q", key, d.alias("_d"))
             .where(F.col("_d") <= radius)
@@ -357,7 +360,7 @@ def knn_spacing(points: DataFrame, scope: list[str], key: str = "point_id") -> D
         found = sums.select(
             *scope, F.col("_q").alias(key), geom.clamp(F.col("_s") / 3.0, SPACING_LO, SPACING_HI).alias("spacing")
         )
-        tried = todo.join(found, [*scope, key], "left")
+        tried = todo.join(found.hint("merge"), [*scope, key], "left")
         if radius == SPACING_RADII[-1]:
             return done.unionByName(tried.select(*scope, key, F.coalesce("spacing", F.lit(SPACING_HI)).alias("spacing")))
         tried = cut_lineage(tried)

@@ -154,7 +154,7 @@ def _from_points(spacing: Column) -> dict[str, Column]:
 
 def init_splats(points: DataFrame, scope: str, max_n: int, seed: int, key: str = "point_id") -> DataFrame:
     """A splat per point, slots by id, padded to ``max_n`` per scope with dead rows on the far sphere."""
-    spaced = points.join(knn_spacing(points, [scope], key), [scope, key])
+    spaced = points.join(knn_spacing(points, [scope], key).hint("merge"), [scope, key])
     ranked = exact_rank(spaced, [scope], key, key, out="splat_idx")
     live = ranked.select(
         F.col(scope).alias("frame_idx"), "splat_idx", *XYZ, *[c.alias(n) for n, c in _from_points(F.col("spacing")).items()],

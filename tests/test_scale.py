@@ -40,6 +40,19 @@ def test_large_exploded_sides_are_not_broadcast(spark):
     assert "Broadcast" in plan(pts.join(session.broadcast_if_small(cams.limit(5)), "scene_id"))
 
 
+def test_spacing_broadcasts_no_points(spark):
+    """Pairs and triples near each other are settled in the first round; no side of the joins goes through the driver."""
+    rows = [(3 * i + k, i % 2, float(i), 0.001 * k, 0.0021 * k) for i in range(30) for k in range(3)]
+    pts = spark.createDataFrame(rows, "point_id long, c long, x double, y double, z double")
+    got = points.knn_spacing(pts, ["c"])
+    assert "BroadcastExchange" not in plan(got)
+    assert len(got.collect()) == 90
+    out = splats.init_splats(pts.withColumns({c: F.lit(0.5) for c in "rgb"}), "c", 50, 1)
+    assert out.where("alive").count() == 90
+    spacing = plan(pts.join(got.hint("merge"), ["c", "point_id"]))
+    assert "BroadcastExchange" not in spacing
+
+
 def _cameras(spark, n, scenes, seed=3):
     rng = np.random.default_rng(seed)
     rows = []
