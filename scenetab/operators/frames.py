@@ -85,7 +85,8 @@ def stabilize_depth(
     """
     halo = dilate + blur_size // 2
     src = pixels.select("frame_idx", "y", "x", "b", "g", "r", "invd").withColumn("blk", _frame_blocks(radius, block))
-    src = S.tiled(src, ["blk"], halo, frame, tile)
+    # a row of the stack makes up to ``radius`` pairs, and the pairs are what is sorted
+    src = S.tiled(src, ["blk"], halo, frame, tile, pixels.count() * (1 + 2 * radius / block) * max(radius, 1))
     place = ["blk", "ty", "tx"]
     stack = src.groupBy(*place, "y", "x").agg(F.collect_list(F.struct("frame_idx", "b", "g", "r", "invd")).alias("fs"))
     own = lambda f: F.floor(f / F.lit(block)) == F.col("blk")
@@ -154,14 +155,16 @@ def three_layer_scores(
     """
     new = variant == "new"
 
-    def level(src: DataFrame, ks: list[tuple[int, int]], size: Size) -> DataFrame:
+    n = pixels.count()
+
+    def level(src: DataFrame, ks: list[tuple[int, int]], size: Size, rows: float) -> DataFrame:
         halo = max(k + k // 2 + 2 for _, k in ks)
-        t = S.tiled(src.select("frame_idx", "y", "x", "invd"), KEY, halo, size, tile)
+        t = S.tiled(src.select("frame_idx", "y", "x", "invd"), KEY, halo, size, tile, rows)
         keep = []
         for i, k in ks:
             lo, hi = f"lo{i}", f"hi{i}"
             t = t.withColumns({lo: F.col("invd"), hi: F.col("invd")})
-            t = S.dilate(S.erode(t, KEY, [lo], k), KEY, [hi], k)
+            t = S.erode_dilate(t, KEY, lo, hi, k)
             t = S.blur(t, KEY, [lo, hi], k, k / 2.0)
             t = t.withColumns(
                 {f"md{i}": F.col("invd") - F.col(lo), f"bg{i}": F.col(hi) - F.col("invd"), f"sc{i}": F.col(hi) - F.col(lo)}
@@ -178,12 +181,12 @@ def three_layer_scores(
     coarse = [(i, k // shrink) for i, k in enumerate(kernels) if k > big]
     out = pixels.select("frame_idx", "y", "x", "invd")
     if fine:
-        out = out.join(level(pixels, fine, frame), ["frame_idx", "y", "x"])
+        out = out.join(level(pixels, fine, frame, n), ["frame_idx", "y", "x"])
     if coarse:
         small = (frame[0] // shrink, frame[1] // shrink)
-        low = level(S.shrink(pixels, KEY, ["invd"], shrink), coarse, small)
+        low = level(S.shrink(pixels, KEY, ["invd"], shrink), coarse, small, n / shrink**2)
         cols = [c for c in low.columns if c not in ("frame_idx", "y", "x")]
-        out = out.join(S.enlarge(low, KEY, cols, shrink, small, tile), ["frame_idx", "y", "x"])
+        out = out.join(S.enlarge(low, KEY, cols, shrink, small, tile, n / shrink**2), ["frame_idx", "y", "x"])
     far = F.greatest(F.lit(0.0), 1.0 - 20.0 * F.col("invd"))
     fg, bg, md = F.lit(0.0), F.lit(0.0), F.lit(0.0 if new else 3.0)
     for i in range(len(kernels)):
@@ -200,14 +203,14 @@ def three_layer_scores(
     total = F.col("_f") + F.col("_b") + F.col("_m") + (0.0 if new else 1e-6)
     top, mid, bot = F.col("_f") / total, F.col("_m") / total, F.col("_b") / total
     scores = out.select("frame_idx", "y", "x", top.alias("s_top"), mid.alias("s_mid"), bot.alias("s_bot"))
-    return S.enlarge(scores, KEY, ["s_top", "s_mid", "s_bot"], 2, frame, tile) if double else scores
+    return S.enlarge(scores, KEY, ["s_top", "s_mid", "s_bot"], 2, frame, tile, n) if double else scores
 
 
 def depth_edges(pixels: DataFrame, frame: Size, cx: float, cy: float, radius: float, k: int = 13, tile: int = S.TILE) -> DataFrame:
     """Strength of near-side and far-side depth edges, each less the other."""
-    t = S.tiled(pixels.select("frame_idx", "y", "x", "invd"), KEY, k + 2, frame, tile)
+    t = S.tiled(pixels.select("frame_idx", "y", "x", "invd"), KEY, k + 2, frame, tile, pixels.count())
     t = t.withColumns({"lo": F.col("invd"), "hi": F.col("invd")})
-    t = S.dilate(S.erode(t, KEY, ["lo"], k), KEY, ["hi"], k)
+    t = S.erode_dilate(t, KEY, "lo", "hi", k)
     # a mirrored copy takes the position of the pixel it shows
     dx, dy = (_shown("x", frame[1]) - cx), (_shown("y", frame[0]) - cy)
     r2 = dx * dx + dy * dy
@@ -235,7 +238,7 @@ def _shown(axis: str, size: int) -> Column:
 def layer_alphas(scores: DataFrame, frame: Size, reach: int, tile: int = S.TILE, spread: int = 17) -> DataFrame:
     """Alphas, fill masks and blend weights of the upper layers, with gaps in smooth transitions suppressed."""
     halo = 1 + max(2 * reach, spread + 2)
-    t = S.tiled(scores.select("frame_idx", "y", "x", "s_top", "s_mid", "s_bot"), KEY, halo, frame, tile)
+    t = S.tiled(scores.select("frame_idx", "y", "x", "s_top", "s_mid", "s_bot"), KEY, halo, frame, tile, scores.count())
     sharp = lambda d: (F.tanh(10.0 * d) + 1.0) * 0.5
     top, mid, bot = F.col("s_top"), F.col("s_mid"), F.col("s_bot")
     t = t.withColumn("a2", sharp(top - (mid + bot)))

@@ -16,6 +16,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TILE = 128
+# rows of one task: a chain of windows sorts them again and again, and each of its sorts has memory of its own
+ROWS_PER_TASK = 1 << 18
+
+
+def dealt(df: DataFrame, rows: float, *by: str) -> DataFrame:
+    """``df``, which has about ``rows`` rows where they are sorted, shuffled by the columns ``by`` to tasks of some ROWS_PER_TASK rows."""
+    tasks = math.ceil(rows / ROWS_PER_TASK)
+    if tasks <= 1:
+        return df.repartition(*by)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
+def copies(halo: int, size: tuple[int, int] | None, tile: int) -> float:
+    """How many rows ``tiled`` makes of one, on the average."""
+    out = 1.0
+    for n in size or (None, None):
+        if n is None:
+            out *= 1 + 2 * halo / tile
+        else:
+            out *= sum(min(n - 1 + halo, at + tile - 1 + halo) - (at - halo) + 1 for at in range(0, n, tile)) / n
+    return out
 
 
 def _mirrored(name: str, size: int, halo: int) -> Column:
@@ -37,8 +58,11 @@ def _tiles_of(name: str, tile: int, halo: int) -> Column:
     return F.sequence(lo, hi)
 
 
-def tiled(df: DataFrame, keys: list[str], halo: int, size: tuple[int, int] | None = None, tile: int = TILE) -> DataFrame:
-    """``size`` is (height, width); without it pixels outside the frame are simply absent."""
+def tiled(df: DataFrame, keys: list[str], halo: int, size: tuple[int, int] | None = None, tile: int = TILE, rows: float | None = None) -> DataFrame:
+    """``size`` is (height, width); without it pixels outside the frame are simply absent.
+
+    With ``rows``, the number of rows of ``df``, there are as many tasks as that takes, otherwise as many as the session's shuffles have.
+    """
     out = df.withColumns({"y": F.col("y").cast("bigint"), "x": F.col("x").cast("bigint")})
     if size is not None and halo > 0:
         out = out.withColumn("y", F.explode(_mirrored("y", size[0], halo)))
@@ -47,7 +71,7 @@ def tiled(df: DataFrame, keys: list[str], halo: int, size: tuple[int, int] | Non
     if size is not None:
         top = lambda n: (n - 1) // tile
         out = out.where(F.col("ty").between(0, top(size[0])) & F.col("tx").between(0, top(size[1])))
-    return out.repartition(*keys, "ty", "tx")
+    return dealt(out, (rows or 0) * copies(halo, size, tile), *keys, "ty", "tx")
 
 
 def untiled(df: DataFrame, size: tuple[int, int] | None = None, tile: int = TILE) -> DataFrame:
@@ -78,6 +102,14 @@ def dilate(df: DataFrame, keys: list[str], cols: list[str], k: int) -> DataFrame
     return _both(df, keys, cols, lambda c, w: F.max(c).over(w.rangeBetween(-k, k)))
 
 
+def erode_dilate(df: DataFrame, keys: list[str], low: str, high: str, k: int) -> DataFrame:
+    """``erode`` of one column and ``dilate`` of another one, with the sorts of one of them."""
+    out = df
+    for w in (w.rangeBetween(-k, k) for w in _axes(keys)):
+        out = out.withColumns({low: F.min(low).over(w), high: F.max(high).over(w)})
+    return out
+
+
 def box_sum(df: DataFrame, keys: list[str], cols: list[str], k: int) -> DataFrame:
     return _both(df, keys, cols, lambda c, w: F.sum(c).over(w.rangeBetween(-k, k)))
 
@@ -132,8 +164,8 @@ def shrink(df: DataFrame, keys: list[str], cols: list[str], factor: int) -> Data
     return df.withColumns(at).groupBy(*keys, "y", "x").agg(*[F.avg(c).alias(c) for c in cols])
 
 
-def enlarge(df: DataFrame, keys: list[str], cols: list[str], factor: int, size: tuple[int, int], tile: int = TILE) -> DataFrame:
-    """Linear enlargement with pixel centres aligned. ``size`` is the size before.
+def enlarge(df: DataFrame, keys: list[str], cols: list[str], factor: int, size: tuple[int, int], tile: int = TILE, rows: float | None = None) -> DataFrame:
+    """Linear enlargement with pixel centres aligned. ``size`` is the size before, ``rows`` as in ``tiled``.
 
     Every pixel learns its right, lower and diagonal neighbour from two window passes and then emits the
     output pixels between them, so nothing is aggregated afterwards.
@@ -146,7 +178,7 @@ def enlarge(df: DataFrame, keys: list[str], cols: list[str], factor: int, size:
         parts = [F.array(c), F.when(c == 0, F.array(c - 1)).otherwise(F.array().cast("array<bigint>")),
                  F.when(c == n - 1, F.array(c + 1)).otherwise(F.array().cast("array<bigint>"))]
         ext = ext.withColumn(a, F.explode(F.concat(*parts)))
-    ext = tiled(ext, keys, 1, None, tile)
+    ext = tiled(ext, keys, 1, None, tile, rows)
     row, col = _axes(keys)
     ext = ext.withColumns({f"_r{c}": F.lead(c, 1).over(row) for c in cols})
     ext = ext.withColumns({f"_{p}{c}": F.lead(s, 1).over(col) for c in cols for p, s in (("b", c), ("d", f"_r{c}"))})

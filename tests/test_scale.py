@@ -104,3 +104,28 @@ def test_mixed_names_make_few_segments(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "HELD", 1000)
     files.write_files(rows, f"{tmp_path}/again", "f", files.lines_of())
     assert (tmp_path / "again/f7").read_text() == "".join(f"{i}\n" for i in range(7, 5000, 10))
+
+
+def _pixels(spark, n):
+    return spark.range(n * 400).select(
+        F.floor(F.col("id") / 400).alias("frame_idx"), F.floor(F.col("id") % 400 / 20).alias("y"), (F.col("id") % 20).alias("x"),
+        *[F.rand(k).alias(c) for k, c in enumerate(("b", "g", "r", "invd", "s_top", "s_mid", "s_bot"))],
+    )
+
+
+def test_tasks_of_windows_grow_with_the_rows(spark, monkeypatch):
+    """The tasks of a chain of windows hold a bounded number of rows, and the rows are those of one task."""
+    px = session.cut_lineage(_pixels(spark, 30))
+    for what in (
+        lambda: frames.layer_alphas(px, (20, 20), 2, tile=16, spread=3), lambda: frames.depth_edges(px, (20, 20), 10.0, 9.0, 9.0, k=2, tile=16),
+        lambda: frames.three_layer_scores(px, (20, 20), (3,), 10, tile=16), lambda: frames.stabilize_depth(px, (20, 20), 3, 2, 3, 8, 16),
+    ):
+        monkeypatch.setattr(stencil, "ROWS_PER_TASK", 1 << 30)
+        want = sorted(map(tuple, what().collect()))
+        monkeypatch.setattr(stencil, "ROWS_PER_TASK", 1000)
+        df = what()
+        assert "REPARTITION_BY_NUM" in plan(df)
+        assert np.allclose(want, sorted(map(tuple, df.collect())), rtol=0, atol=1e-12)
+    alphas = frames.layer_alphas(px, (20, 20), 2, tile=16, spread=3)
+    assert alphas.rdd.getNumPartitions() == -(-30 * 44 * 44 // 1000)
+    assert stencil.copies(6, (20, 20), 16) == pytest.approx(44 * 44 / 400)
