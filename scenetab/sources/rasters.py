@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from scenetab.sources.paths import files_of, open_fs, qualified
+from scenetab.sources.paths import files_of, open_fs, qualified, shared
 
 SUFFIXES = (".pgm", ".ppm", ".pfm", ".tif", ".tiff")
 SPLIT = 32 << 20
@@ -95,39 +96,41 @@ def layout(f, path: str) -> Layout:
     return _tiff(f, path) if start in (b"II", b"MM") else _netpbm(f, path)
 
 
-class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+class ByteRanges(InputPartition):
+    """Ranges (path, start, end) of bytes."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class RasterReader(DataSourceReader):
-    """A partition is a range of bytes of one file; its task reads the header and the rows that begin in the range."""
+    """A task reads ranges of bytes, of each file the header and the rows that begin in a range; ranges of many small files share a task."""
 
     def __init__(self, options):
         self.path, self.split = options["path"], int(options.get("bytesPerPartition", SPLIT))
 
     def partitions(self):
-        found = [ByteRange(p, at, at + self.split) for p, size in files_of(self.path, SUFFIXES) for at in range(0, size, self.split)]
-        return found or [ByteRange("", 0, 0)]
+        found = [(p, at, min(at + self.split, size)) for p, size in files_of(self.path, SUFFIXES) for at in range(0, size, self.split)]
+        return [ByteRanges(r) for r in shared(found, lambda r: r[2] - r[1])] or [ByteRanges([])]
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def read(self, part: ByteRanges) -> Iterator[pa.RecordBatch]:
         where, _ = open_fs(self.path)
-        with where.open_input_file(part.path) as f:
-            size, shape = f.size(), layout(f, part.path)
-            step = shape.row_bytes
-            for first, rows, offset in shape.runs:
-                if offset + rows * step > size:
-                    raise ValueError(f"{part.path} ends before its last row")
-                lo, hi = (min(max(-(-(at - offset) // step), 0), rows) for at in (part.start, part.end))
-                band = max(1, BAND // max(shape.width, 1))
-                for at in range(lo, hi, band):
-                    n = min(band, hi - at)
-                    f.seek(offset + at * step)
-                    px = np.frombuffer(f.read(n * step), shape.dtype).reshape(n, shape.width, shape.channels)
-                    stored = first + at + np.arange(n)
-                    yield self.batch(part.path, px, shape.height - 1 - stored if shape.upward else stored)
+        for path, ranges in groupby(part.ranges, lambda r: r[0]):
+            with where.open_input_file(path) as f:
+                size, shape = f.size(), layout(f, path)
+                step = shape.row_bytes
+                for _, begin, end in ranges:
+                    for first, rows, offset in shape.runs:
+                        if offset + rows * step > size:
+                            raise ValueError(f"{path} ends before its last row")
+                        lo, hi = (min(max(-(-(at - offset) // step), 0), rows) for at in (begin, end))
+                        band = max(1, BAND // max(shape.width, 1))
+                        for at in range(lo, hi, band):
+                            n = min(band, hi - at)
+                            f.seek(offset + at * step)
+                            px = np.frombuffer(f.read(n * step), shape.dtype).reshape(n, shape.width, shape.channels)
+                            stored = first + at + np.arange(n)
+                            yield self.batch(path, px, shape.height - 1 - stored if shape.upward else stored)
 
     def batch(self, path: str, px: np.ndarray, ys: np.ndarray) -> pa.RecordBatch:
         n, width, channels = px.shape

@@ -106,6 +106,16 @@ def test_mixed_names_make_few_segments(spark, tmp_path, monkeypatch):
     assert (tmp_path / "again/f7").read_text() == "".join(f"{i}\n" for i in range(7, 5000, 10))
 
 
+def test_many_small_files_share_tasks(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.pgm").write_bytes(b"P5\n3 2\n255\n" + bytes([i % 256] * 6))
+    px = rasters.read_samples(spark, str(tmp_path), 8)
+    assert px.rdd.getNumPartitions() <= paths.TASKS
+    assert px.count() == 3600 and px.agg(F.sum("r")).first()[0] == 6 * sum(i % 256 for i in range(600))
+    big = [("f", at, at + paths.SHARED) for at in range(0, 2000 * paths.SHARED, paths.SHARED)]
+    assert [len(r) for r in paths.shared(big, lambda r: r[2] - r[1])] == [1] * 2000 and paths.shared([], len) == []
+
+
 def _pixels(spark, n):
     return spark.range(n * 400).select(
         F.floor(F.col("id") / 400).alias("frame_idx"), F.floor(F.col("id") % 400 / 20).alias("y"), (F.col("id") % 20).alias("x"),
