@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenetab.functions import geom
+from scenetab.functions.batches import whole_groups
 from scenetab.functions.session import broadcast_if_small, cut_lineage
 from scenetab.operators import stencil as S
 from scenetab.operators.warps import apply_warp, camera_grid
@@ -225,62 +226,82 @@ COARSE = 32
 EDGES = {"wl": ("x", -1), "wr": ("x", 1), "wu": ("y", -1), "wd": ("y", 1)}
 
 
-def _grid(pdf: pd.DataFrame):
-    """(places in a flat grid with an empty rim, shape, function that lays a column out on it)."""
-    y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+def _cells(pdf: pd.DataFrame, group: np.ndarray) -> tuple[int, np.ndarray, dict[str, np.ndarray]]:
+    """(number of cells, each row's cell, each cell's neighbour by edge); a neighbour that is missing has the number after the last."""
+    y, x = pdf["y"].to_numpy(np.int64), pdf["x"].to_numpy(np.int64)
     y, x = y - y.min() + 1, x - x.min() + 1
-    shape = (y.max() + 2, x.max() + 2)
-    at = y * shape[1] + x
+    high, wide = y.max() + 2, x.max() + 2
+    cells, cell = np.unique((group * high + y) * wide + x, return_inverse=True)
+    near = {}
+    for name, (axis, step) in EDGES.items():
+        want = cells + step * (wide if axis == "y" else 1)
+        at = np.minimum(np.searchsorted(cells, want), len(cells) - 1)
+        near[name] = np.where(cells[at] == want, at, len(cells))
+    return len(cells), cell, near
+
+
+def _swept(sweeps: int, tile: int, keys: list[str]):
+    """Damped Jacobi sweeps of the correction ``z`` on tiles with their margins, and its product ``az`` with the matrix."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group in whole_groups(batches, [*keys, "ty", "tx"]):
+            n, cell, near = _cells(pdf, group)
+
+            def lay(name: str) -> np.ndarray:
+                out = np.zeros(n + 1)
+                out[cell] = pdf[name].to_numpy()
+                return out
+
+            z = lay("z")
+            r, c, *w = (lay(name)[:n] for name in ("r", "c", *EDGES))
+            d = c + w[0] + w[1] + w[2] + w[3]
+
+            def around() -> np.ndarray:
+                left, right, up, down = (e * z[at] for e, at in zip(w, near.values()))
+                return left + right + up + down
+
+            held = np.where(d > 0, d, 1.0)
+            for _ in range(sweeps):
+                z[:n] += np.where(d > 0, 0.8 * ((r + around()) / held - z[:n]), 0.0)
+            az = d * z[:n] - around()
+            pdf = pdf.assign(z=z[cell], az=az[cell])
+            home = (pdf["y"] // tile == pdf["ty"]) & (pdf["x"] // tile == pdf["tx"])
+            yield pdf[home].drop(columns=["ty", "tx"])
 
-    def lay(name: str) -> np.ndarray:
-        out = np.zeros(shape)
-        out.ravel()[at] = pdf[name].to_numpy()
-        return out
-
-    return at, shape, lay
-
-
-def _swept(sweeps: int, tile: int):
-    """Damped Jacobi sweeps of the correction ``z`` on one tile with its margin, and its product ``az`` with the matrix."""
+    return run
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, _, lay = _grid(pdf)
-        z, r, c, wl, wr, wu, wd = (lay(n) for n in ("z", "r", "c", *EDGES))
-        d = c + wl + wr + wu + wd
-
-        def around() -> np.ndarray:
-            out = np.zeros_like(z)
-            out[1:-1, 1:-1] = (wl[1:-1, 1:-1] * z[1:-1, :-2] + wr[1:-1, 1:-1] * z[1:-1, 2:]
-                               + wu[1:-1, 1:-1] * z[:-2, 1:-1] + wd[1:-1, 1:-1] * z[2:, 1:-1])
-            return out
-
-        held = np.where(d > 0, d, 1.0)
-        for _ in range(sweeps):
-            z += np.where(d > 0, 0.8 * ((r + around()) / held - z), 0.0)
-        az = d * z - around()
-        pdf = pdf.assign(z=z.ravel()[at], az=az.ravel()[at])
-        home = (pdf["y"] // tile == pdf["ty"]) & (pdf["x"] // tile == pdf["tx"])
-        return pdf[home].drop(columns=["ty", "tx"])
 
-    return run
+# numbers in the matrices that are solved at once
+MATRICES = 1 << 22
 
 
 def _solved(keys: list[str]):
-    """The coarsest grid of one frame, at most COARSE x COARSE cells, solved directly."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, shape, lay = _grid(pdf)
-        number = np.full(shape, -1)
-        number.ravel()[at] = np.arange(len(pdf))
-        d = pdf[["c", *EDGES]].sum(axis=1).to_numpy()
-        # a part without any fixed pixel has no single solution; the tiny addition picks the one that moves least
-        a = np.diag(np.where(d > 0, d * (1 + 1e-9), 1.0))
-        for name, (axis, step) in EDGES.items():
-            other = number.ravel()[at + step * (shape[1] if axis == "y" else 1)]
-            w = pdf[name].to_numpy()
-            has = (other >= 0) & (w > 0)
-            a[np.flatnonzero(has), other[has]] -= w[has]
-        return pdf[[*keys, "y", "x"]].assign(z=np.linalg.solve(a, np.where(d > 0, pdf["r"].to_numpy(), 0.0)))
+    """The coarsest grids of frames, at most COARSE x COARSE cells each, solved directly; those of equal size at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group in whole_groups(batches, keys):
+            n, cell, near = _cells(pdf, group)
+            row = np.zeros(n + 1, np.int64)
+            row[cell] = np.arange(len(pdf))
+            d = pdf[["c", *EDGES]].sum(axis=1).to_numpy()
+            b = np.where(d > 0, pdf["r"].to_numpy(), 0.0)
+            # a part without any fixed pixel has no single solution; the tiny addition picks the one that moves least
+            own = np.where(d > 0, d * (1 + 1e-9), 1.0)
+            edges = [(near[name][cell], pdf[name].to_numpy()) for name in EDGES]
+            sizes = np.bincount(group)
+            starts = np.cumsum(sizes) - sizes
+            z = np.zeros(len(pdf))
+            for k in np.unique(sizes):
+                same, most = starts[sizes == k], max(1, MATRICES // (k * k))
+                for at in range(0, len(same), most):
+                    rows = same[at : at + most, None] + np.arange(k)
+                    a = np.zeros((len(rows), k, k))
+                    a[:, np.arange(k), np.arange(k)] = own[rows]
+                    for other, w in edges:
+                        f, i = np.nonzero((other[rows] < n) & (w[rows] > 0))
+                        a[f, i, row[other[rows[f, i]]] - rows[f, 0]] -= w[rows[f, i]]
+                    z[rows] = np.linalg.solve(a, b[rows][..., None])[..., 0]
+            yield pdf[[*keys, "y", "x"]].assign(z=z)
 
     return run
 
@@ -302,13 +323,14 @@ def _corrected(state: DataFrame, keys: list[str], depth: int, sweeps: int, tile:
     for _ in range(depth):
         levels.append(_coarser(levels[-1], keys))
     cell = T.StructType([f for f in levels[-1].schema if f.name in (*keys, "y", "x")])
-    z = levels[-1].groupBy(*keys).applyInPandas(_solved(keys), T.StructType(cell.fields + [T.StructField("z", T.DoubleType())]))
+    coarsest = levels[-1].repartition(*keys).sortWithinPartitions(*keys)
+    z = coarsest.mapInPandas(_solved(keys), T.StructType(cell.fields + [T.StructField("z", T.DoubleType())]))
     for level in reversed(levels[:-1]):
         parent = z.select(*keys, F.col("y").alias("_py"), F.col("x").alias("_px"), "z")
         both = level.withColumns({"_py": F.shiftright("y", 1), "_px": F.shiftright("x", 1)}).join(parent, [*keys, "_py", "_px"]).drop("_py", "_px")
         cut = S.tiled(both, keys, sweeps + 1, None, tile)
         kept = [f for f in cut.schema if f.name not in ("ty", "tx")]
-        z = cut.groupBy(*keys, "ty", "tx").applyInPandas(_swept(sweeps, tile), T.StructType(kept + [T.StructField("az", T.DoubleType())]))
+        z = cut.sortWithinPartitions(*keys, "ty", "tx").mapInPandas(_swept(sweeps, tile, keys), T.StructType(kept + [T.StructField("az", T.DoubleType())]))
     return z
 
 

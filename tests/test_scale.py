@@ -139,3 +139,24 @@ def test_tasks_of_windows_grow_with_the_rows(spark, monkeypatch):
     alphas = frames.layer_alphas(px, (20, 20), 2, tile=16, spread=3)
     assert alphas.rdd.getNumPartitions() == -(-30 * 44 * 44 // 1000)
     assert stencil.copies(6, (20, 20), 16) == pytest.approx(44 * 44 / 400)
+
+
+def test_groups_stay_whole_between_batches():
+    rows = pd.DataFrame({"a": [1.0] * 3 + [2.0] * 5 + [np.nan] * 4, "b": [0] * 6 + [1] * 6, "v": range(12)})
+    for cut in (1, 2, 3, 5, 12):
+        found = [list(part.v[group == g]) for part, group in whole_groups(iter([rows[i : i + cut] for i in range(0, 12, cut)]), ["a", "b"]) for g in np.unique(group)]
+        assert found == [[0, 1, 2], [3, 4, 5], [6, 7], [8, 9, 10, 11]]
+    assert list(whole_groups(iter([rows[:0]]), ["a"])) == []
+
+
+def test_fill_of_many_frames_in_one_call(spark):
+    """Frames of several sizes, each with a hole, are filled alike whether they come alone or together."""
+    rng = np.random.default_rng(2)
+    rows = [(f, y, x, float(rng.random()), 0 < y < 3 + f % 3 and 0 < x < 4) for f in range(12) for y in range(5 + f % 3) for x in range(6)]
+    df = spark.createDataFrame(rows, "frame_idx long, y long, x long, invd double, m boolean").repartition(1)
+    fill = lambda d: {(r.frame_idx, r.y, r.x): r.invd for r in layers.relax_grid(d, "invd", mask="m", tol=1e-6, tile=4).collect()}
+    got = fill(df)
+    assert len(got) == len(rows)
+    assert "FlatMapGroupsInPandas" not in plan(layers._corrected(layers._fill_system(df.select("frame_idx", "y", "x", F.col("invd").alias("_v"), F.col("m").alias("_free"), F.lit(0.0).alias("_w"), F.lit(None).cast("double").alias("_b")), ["frame_idx"], 1.0, 2.0, 4), ["frame_idx"], 1, 4, 4))
+    for f in (4, 11):
+        assert all(abs(v - got[k]) < 1e-5 for k, v in fill(df.where(F.col("frame_idx") == f)).items())
