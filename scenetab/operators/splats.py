@@ -7,15 +7,20 @@ Columns: frame_idx, splat_idx, position x y z, raw colour c0 c1 c2, raw alpha, r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scenetab.functions import geom
+from scenetab.functions.batches import whole_groups
 from scenetab.functions.columns import settle
 from scenetab.functions.hashing import hash01
 from scenetab.functions.ranks import exact_rank
-from scenetab.functions.scan import running
+from scenetab.functions.scan import with_chunk
 from scenetab.functions.session import broadcast_if_small
 from scenetab.operators.points import knn_spacing, visible_to_any
 from scenetab.operators.rigs import in_cam, per_camera
@@ -399,22 +404,62 @@ def splats_in_tiles(projected: DataFrame, tile: int = 16) -> DataFrame:
 ALPHA_MIN, ALPHA_MAX = 1.0 / 255.0, 0.999
 
 
+MIXED = ["col0", "col1", "col2", "depth"]
+
+
+def _composited(tile: int):
+    """Sums of each pixel over a chunk of a tile's splats, and what the chunk lets through."""
+    at = np.arange(tile * tile)
+    names = ["u", "v", "cov00", "cov01", "cov11", "_det", "opacity", "width", "height"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, group in whole_groups(batches, [*VIEW, "_c"]):
+            cols = {c: pdf[c].to_numpy("f8")[:, None] for c in names}
+            values, there = pdf[MIXED].to_numpy("f8"), pdf[[f"_has_{c}" for c in MIXED]].to_numpy(bool)
+            ends = np.r_[np.flatnonzero(np.diff(group)) + 1, len(group)]
+            found = []
+            for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+                u, v, c00, c01, c11, det, opacity, width, height = (cols[c][lo:hi] for c in names)
+                y, x = pdf["ty"].iat[lo] * tile + at // tile, pdf["tx"].iat[lo] * tile + at % tile
+                dx, dy = x + 0.5 - u, y + 0.5 - v
+                with np.errstate(all="ignore"):
+                    power = (c11 * dx * dx - 2.0 * c01 * dx * dy + c00 * dy * dy) / det
+                    alpha = np.fmin(ALPHA_MAX, opacity * np.exp(-0.5 * power))
+                hit = (alpha >= ALPHA_MIN) & (y < height) & (x < width)
+                through = np.cumprod(np.where(hit, 1.0 - alpha, 1.0), axis=0)
+                w = np.where(hit, alpha, 0.0)
+                w[1:] *= through[:-1]
+                used = hit.any(axis=0)
+                rows = pdf.iloc[[lo]][["frame_idx", "cam_idx", "_c"]]
+                rows = rows.loc[rows.index.repeat(used.sum())].assign(y=y[used], x=x[used], coverage=w.sum(axis=0)[used], _t=through[-1][used])
+                for k, c in enumerate(MIXED):
+                    rows[c] = np.where(hit, w * values[lo:hi, k, None], 0.0).sum(axis=0)[used]
+                    rows[f"_n_{c}"] = (hit & there[lo:hi, k, None]).sum(axis=0)[used]
+                found.append(rows)
+            yield pd.concat(found, ignore_index=True)
+
+    return run
+
+
 def composite_tiles(tiles: DataFrame, tile: int = 16) -> DataFrame:
-    """Front-to-back colour, inverse depth weight and coverage per pixel."""
+    """Front-to-back colour, inverse depth weight and coverage per pixel.
+
+    The rows of a tile are cut by draw order into chunks, which are shuffled as they are; a task makes their pixels and passes on
+    one row for each pixel of a chunk. What a chunk's pixel gets is then multiplied by what the chunks before it let through.
+    """
     det = F.col("cov00") * F.col("cov11") - F.col("cov01") * F.col("cov01")
-    src = tiles.withColumn("_det", det).where(F.col("_det") > 0)
-    at = F.sequence(F.lit(0), F.lit(tile * tile - 1))
-    px = src.withColumn("_p", F.explode(at))
-    px = px.withColumns({"y": F.col("ty") * tile + F.floor(F.col("_p") / tile), "x": F.col("tx") * tile + F.col("_p") % tile})
-    px = px.where((F.col("y") < F.col("height")) & (F.col("x") < F.col("width")))
-    dx, dy = F.col("x") + 0.5 - F.col("u"), F.col("y") + 0.5 - F.col("v")
-    power = (F.col("cov11") * dx * dx - 2.0 * F.col("cov01") * dx * dy + F.col("cov00") * dy * dy) / F.col("_det")
-    alpha = F.least(F.lit(ALPHA_MAX), F.col("opacity") * F.exp(-0.5 * power))
-    px = settle(px.withColumn("_al", alpha), ["_al"]).where(F.col("_al") >= ALPHA_MIN)
+    src = with_chunk(tiles.withColumn("_det", det).where(F.col("_det") > 0), "draw_order")
+    src = src.select(
+        *VIEW, "_c", "draw_order", "u", "v", "cov00", "cov01", "cov11", "_det", "opacity", "width", "height",
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in MIXED], *[F.col(c).isNotNull().alias(f"_has_{c}") for c in MIXED],
+    )
+    src = src.repartition(*VIEW, "_c").sortWithinPartitions(*VIEW, "_c", "draw_order")
     keys = ["frame_idx", "cam_idx", "y", "x"]
-    px = px.select(*keys, "draw_order", "_al", "depth", "col0", "col1", "col2")
-    px = running(px, keys, "draw_order", 1.0 - F.col("_al"), "_t", kind="product")
-    w = F.col("_al") * F.col("_t")
-    return px.groupBy(*keys).agg(
-        *[F.sum(w * F.col(c)).alias(c) for c in ("col0", "col1", "col2")], F.sum(w * F.col("depth")).alias("depth"), F.sum(w).alias("coverage")
-    )
+    whole = [(c, T.LongType()) for c in ("_c", "y", "x")] + [(c, T.DoubleType()) for c in ("coverage", "_t", *MIXED)] + [(f"_n_{c}", T.LongType()) for c in MIXED]
+    out = T.StructType([f for f in src.schema if f.name in keys] + [T.StructField(*f) for f in whole])
+    px = src.mapInPandas(_composited(tile), out)
+    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    px = px.withColumn("_in", F.coalesce(F.product("_t").over(before), F.lit(1.0)))
+    # a value that no splat of a pixel has stays missing
+    mixed = [F.when(F.sum(f"_n_{c}") > 0, F.sum(F.col("_in") * F.col(c))).alias(c) for c in MIXED]
+    return px.groupBy(*keys).agg(*mixed, F.sum(F.col("_in") * F.col("coverage")).alias("coverage"))

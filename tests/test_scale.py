@@ -160,3 +160,33 @@ def test_fill_of_many_frames_in_one_call(spark):
     assert "FlatMapGroupsInPandas" not in plan(layers._corrected(layers._fill_system(df.select("frame_idx", "y", "x", F.col("invd").alias("_v"), F.col("m").alias("_free"), F.lit(0.0).alias("_w"), F.lit(None).cast("double").alias("_b")), ["frame_idx"], 1.0, 2.0, 4), ["frame_idx"], 1, 4, 4))
     for f in (4, 11):
         assert all(abs(v - got[k]) < 1e-5 for k, v in fill(df.where(F.col("frame_idx") == f)).items())
+
+
+def test_tiles_are_composited_by_chunks(spark, monkeypatch):
+    """One tile of many splats in chunks of seven against a loop; a missing colour adds nothing."""
+    rng = np.random.default_rng(7)
+    rows = [(0, 3, 0, 1, k, *map(float, rng.uniform(3, 9, 2)), 5.0, 0.5, 4.0, 5, 7, float(rng.uniform(0.1, 1.0)), float(k), None if k % 4 == 0 else float(rng.random()), float(rng.random()), None) for k in range(30)]
+    names = "frame_idx long, cam_idx long, ty long, tx long, draw_order long, u double, v double, cov00 double, cov01 double, cov11 double, height int, width int, opacity double, depth double, col0 double, col1 double, col2 double"
+    chunk = splats.with_chunk
+    monkeypatch.setattr(splats, "with_chunk", lambda df, order: chunk(df, order, 7))
+    df = spark.createDataFrame(rows, names)
+    out = splats.composite_tiles(df, 4)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in text
+    got = {(r.y, r.x): r for r in out.collect()}
+    want = {}
+    for y in range(4):
+        for x in range(4, 7):
+            t, sums, n = 1.0, np.zeros(4), 0
+            for r in rows:
+                u, v, a, b, c = r[5:10]
+                dx, dy, det = x + 0.5 - u, y + 0.5 - v, a * c - b * b
+                al = min(splats.ALPHA_MAX, r[12] * np.exp(-0.5 * (c * dx * dx - 2 * b * dx * dy + a * dy * dy) / det))
+                if al >= splats.ALPHA_MIN:
+                    sums += al * t * np.array([r[14] or 0.0, r[15], r[13], 1.0])
+                    t, n = t * (1 - al), n + 1
+            if n:
+                want[y, x] = sums
+    assert got.keys() == want.keys() and len(want) > 5
+    for k, r in got.items():
+        assert np.allclose((r.col0, r.col1, r.depth, r.coverage), want[k], atol=1e-9) and r.col2 is None
