@@ -477,22 +477,33 @@ def _rows(keys, state: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"frame_idx": k[:, 0], "y": k[:, 1], "x": k[:, 2], "wx": state[:, 0], "wy": state[:, 1], "weight": state[:, 2]})
 
 
+SPLAT_TILE = 32
+
+
 def flow_splat(flow: DataFrame, frame: Size, t: float, radius: int = 3, sigma: float = 0.75) -> DataFrame:
     """Forward-splat the displacement of each pixel (fx, fy, scaled by t) to the pixels around where it lands.
 
     Later sources are laid over earlier ones in raster order, larger motion winning, so the order is part of the result.
     """
     h, w = frame
-    src = flow.withColumns({"_fx": F.col("fx") * t, "_fy": F.col("fy") * t})
-    src = src.withColumns({"_px": F.col("x") + F.col("_fx"), "_py": F.col("y") + F.col("_fy"), "src": F.col("y") * w + F.col("x")})
-    reach = F.array(*[F.lit(i).cast("bigint") for i in range(-radius, radius + 1)])
-    src = src.select("frame_idx", "src", "_fx", "_fy", "_px", "_py", F.explode(reach).alias("_i")).withColumn("_j", F.explode(reach))
-    src = src.withColumns({"x": F.col("_px").cast("bigint") + F.col("_i"), "y": F.col("_py").cast("bigint") + F.col("_j")})
-    src = src.where(F.col("x").between(0, w - 1) & F.col("y").between(0, h - 1))
+    size, back = {"y": h, "x": w}, 2 * radius + 1
+    src = flow.select("frame_idx", F.col("y").alias("_sy"), F.col("x").alias("_sx"), (F.col("fx") * t).alias("_fx"), (F.col("fy") * t).alias("_fy"))
+    land = {"y": F.col("_sy") + F.col("_fy"), "x": F.col("_sx") + F.col("_fx")}
+    # sources go to the tiles they reach and become a row for each pixel only there
+    src = src.where(land["y"].isNotNull() & land["x"].isNotNull())
+    lo = {a: F.greatest(p.cast("bigint") - radius, F.lit(0).cast("bigint")) for a, p in land.items()}
+    hi = {a: F.least(p.cast("bigint") + radius, F.lit(size[a] - 1).cast("bigint")) for a, p in land.items()}
+    tiles = {a: F.sequence(F.floor(lo[a] / SPLAT_TILE).cast("bigint"), F.floor(hi[a] / SPLAT_TILE).cast("bigint")) for a in land}
+    src = src.where((lo["y"] <= hi["y"]) & (lo["x"] <= hi["x"])).withColumn("_ty", F.explode(tiles["y"])).withColumn("_tx", F.explode(tiles["x"]))
+    src = S.dealt(src, flow.count() * back * back, "frame_idx", "_ty", "_tx")
+    for a in land:
+        first = F.col(f"_t{a}") * SPLAT_TILE
+        src = src.withColumn(a, F.explode(F.sequence(F.greatest(lo[a], first), F.least(hi[a], first + SPLAT_TILE - 1))))
+    src = src.withColumns({"_px": land["x"], "_py": land["y"], "src": F.col("_sy") * w + F.col("_sx")})
     dx, dy = F.col("x") - F.col("_px"), F.col("y") - F.col("_py")
     g = F.exp(-0.5 * (dx * dx + dy * dy) / (sigma * sigma))
     rows = src.select("frame_idx", "y", "x", "src", (-F.col("_fx")).alias("vx"), (-F.col("_fy")).alias("vy"), g.alias("g"))
-    rows = rows.repartition("frame_idx", "y", "x").sortWithinPartitions("frame_idx", "y", "x", "src").drop("src")
+    rows = rows.sortWithinPartitions("frame_idx", "y", "x", "src").drop("src")
     hit = rows.mapInPandas(_fold, "frame_idx bigint, y bigint, x bigint, wx double, wy double, weight double")
     return flow.select(*PIXEL).join(hit, PIXEL, "left").fillna(0.0, ["wx", "wy", "weight"])
 

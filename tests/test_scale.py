@@ -162,6 +162,19 @@ def test_fill_of_many_frames_in_one_call(spark):
         assert all(abs(v - got[k]) < 1e-5 for k, v in fill(df.where(F.col("frame_idx") == f)).items())
 
 
+def test_splatted_flow_is_shuffled_by_source(spark, monkeypatch):
+    """Tiles of four pixels give what one tile gives, and rows for single pixels are made behind the shuffle."""
+    rng = np.random.default_rng(6)
+    rows = [(f, y, x, float(a), float(b)) for f in range(2) for y in range(11) for x in range(13) for a, b in [rng.normal(size=2) * 6]] + [(2, 0, 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "frame_idx long, y long, x long, fx double, fy double")
+    want = sorted(map(tuple, layers.flow_splat(df, (11, 13), 0.5, 2).collect()))
+    monkeypatch.setattr(layers, "SPLAT_TILE", 4)
+    out = layers.flow_splat(df, (11, 13), 0.5, 2)
+    assert sorted(map(tuple, out.collect())) == want
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Sort [frame_idx") < text.index("Generate explode") < text.index("RepartitionByExpression")
+
+
 def test_tiles_are_composited_by_chunks(spark, monkeypatch):
     """One tile of many splats in chunks of seven against a loop; a missing colour adds nothing."""
     rng = np.random.default_rng(7)
