@@ -79,14 +79,15 @@ def thin_keypoints(kps: DataFrame, radius: float, existing: DataFrame | None = N
 
 
 # partners in one row, pairs made by one task, and the bound of the tasks
-PIECE, PAIRS_PER_TASK, MOST_TASKS = 4096, 1 << 22, 1 << 14
+PIECE, PAIRS_PER_TASK, MOST_TASKS = 512, 1 << 22, 1 << 14
 
 
 def candidate_pairs(images: DataFrame, window: int, interval: int = 5, image: str = "image_idx") -> DataFrame:
     """Pairs i < j of dense image indices within the window, or both keyframes; a window of 0 means all pairs.
 
     Each image generates its own partners, so no product of images is formed. They are runs of numbers, which are cut into pieces of at
-    most PIECE partners and dealt to tasks of some PAIRS_PER_TASK pairs, so no row or task grows with the number of images.
+    most PIECE partners and dealt to tasks of some PAIRS_PER_TASK pairs, so no row or task grows with the number of images. Tasks get
+    tiles of neighbouring images and the same partners, so that written columns have few values and stay small.
     """
     n = images.agg(F.coalesce(F.max(image), F.lit(-1)).alias("m")).first()["m"] + 1
     last = F.lit(n - 1).cast("bigint")
@@ -104,13 +105,21 @@ def candidate_pairs(images: DataFrame, window: int, interval: int = 5, image: st
         runs = F.when((i % interval == 0) | (i == last), F.concat(near, far)).otherwise(near)
     held = images.select(F.col(image).cast("bigint").alias("image_idx1")).where(i.isNotNull())
     held = held.select("image_idx1", F.inline(F.filter(runs, lambda r: r["start"] <= r["stop"])))
-    piece = F.col("step") * PIECE
+    piece, step = F.col("step") * PIECE, F.col("step")
     pairs = held.agg(F.sum(F.expr("(stop - start) div step + 1"))).first()[0] or 0
-    held = held.select("image_idx1", "step", "stop", piece.alias("_piece"), F.explode(F.sequence(F.col("start"), F.col("stop"), piece)).alias("start"))
+    # pieces end at the same numbers for all images, so those of a tile of images have the same partners
+    blocks = F.sequence(F.floor(F.col("start") / piece), F.floor(F.col("stop") / piece))
+    held = held.select("image_idx1", "step", "start", "stop", F.explode(blocks).alias("_block"))
     if pairs > PAIRS_PER_TASK:
-        held = held.repartition(min(MOST_TASKS, -(-pairs // PAIRS_PER_TASK)), "image_idx1", "start")
-    stop = F.least(F.col("stop"), F.col("start") + F.col("_piece") - F.col("step"))
-    return held.select("image_idx1", F.explode(F.sequence(F.col("start"), stop, F.col("step"))).alias("image_idx2"))
+        rows = max(PAIRS_PER_TASK // PIECE // 4, 1)
+        tile = ["step", "_block", F.floor(i / (step * rows))]
+        held = held.repartition(min(MOST_TASKS, -(-pairs // PAIRS_PER_TASK)), *tile).sortWithinPartitions(*tile, "image_idx1")
+    lowest = F.col("_block") * piece
+    # a run's numbers are its start and whole steps on
+    start = F.greatest(F.col("start"), lowest + F.pmod(F.col("start") - lowest, step))
+    stop = F.least(F.col("stop"), lowest + piece - 1)
+    held = held.select("image_idx1", "step", start.alias("start"), stop.alias("stop")).where("start <= stop")
+    return held.select("image_idx1", F.explode(F.sequence("start", "stop", "step")).alias("image_idx2"))
 
 
 BLOCK = 1024

@@ -29,6 +29,19 @@ def test_candidate_pairs_in_pieces(spark, monkeypatch, n, window, interval):
         assert got.rdd.getNumPartitions() == -(-len(want) // 20)
 
 
+def test_candidate_pairs_tasks_have_few_partners(spark, monkeypatch):
+    """A task's pieces are tiles, so its columns hold few values, which are written small; repeated images keep their rows."""
+    monkeypatch.setattr(graph, "PIECE", 16)
+    monkeypatch.setattr(graph, "PAIRS_PER_TASK", 1024)
+    images = spark.range(400).union(spark.range(3)).withColumnRenamed("id", "image_idx")
+    got = graph.candidate_pairs(images, 0).withColumn("task", F.spark_partition_id())
+    rows = [tuple(r) for r in got.collect()]
+    want = [(i, j) for i in [*range(400), 0, 1, 2] for j in range(i + 1, 400)]
+    assert sorted(r[:2] for r in rows) == sorted(want)
+    partners = {(r[2], r[1] // 16, r[0] // 16) for r in rows}
+    assert len(partners) == len({p[1:] for p in partners})
+
+
 def test_large_exploded_sides_are_not_broadcast(spark):
     """Spark takes the exploded cells of 4,000 cameras for a small table; they have 108,000 rows."""
     pts = spark.range(100).select(F.col("id").alias("point_id"), F.lit(0).cast("long").alias("scene_id"), *[(F.col("id") % 10).cast("double").alias(c) for c in "xyz"])
