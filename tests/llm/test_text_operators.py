@@ -103,6 +103,23 @@ def test_shards_look_back_by_binary_search():
         seen.update(own)
 
 
+@pytest.mark.parametrize("width", [1, 8, 100])
+def test_runs_of_repeats_of_a_shard(width):
+    rng = np.random.default_rng(2)
+    pool = [rng.integers(97, 99 if width < 100 else 123, 160).astype(np.uint8).tobytes() for _ in range(4)]
+    one, two, want = suffixes.Shards(width), suffixes.Shards(width), []
+    for _ in range(3):
+        for _ in range(30):
+            a = int(rng.integers(0, 60))
+            string = pool[rng.integers(4)][a : a + max(width, 100)]
+            one.add(1, string), two.add(1, string)
+        got = [set() for _ in range(30)]
+        for s, at, n in zip(*two.close_runs()):
+            got[s] |= set(range(at, at + n))
+        assert got == [set(np.flatnonzero(r).tolist()) for r in one.close()]
+    assert not len(two.close_runs()[0])
+
+
 def test_suffix_array_and_prefixes():
     data = np.frombuffer(b"banana" * 40 + b"\0\0\0" + b"ab" * 30, np.uint8)
     w = suffixes.words_of(data)
